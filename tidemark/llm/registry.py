@@ -6,7 +6,9 @@ from importlib import import_module
 
 #: module, query, name of its SQL (None: SQL cannot express it; tests/llm hold a brute-force version)
 _QUERIES = [
+    ("repeats", "op3_substring_dedup", None),
     ("exact_dedup", "op5_exact_dedup", "OP5_SQL"),
+    ("repeats", "op7_suffix_array_dedup", None),
 ]
 
 
