@@ -9,6 +9,7 @@ _QUERIES = [
     ("repeats", "op3_substring_dedup", None),
     ("exact_dedup", "op5_exact_dedup", "OP5_SQL"),
     ("repeats", "op7_suffix_array_dedup", None),
+    ("near_dedup", "op10_minhash_near_dedup", None),
 ]
 
 
