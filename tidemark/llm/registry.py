@@ -8,6 +8,7 @@ from importlib import import_module
 _QUERIES = [
     ("repeats", "op3_substring_dedup", None),
     ("exact_dedup", "op5_exact_dedup", "OP5_SQL"),
+    ("mixing", "op6_entropy_mixing", None),
     ("repeats", "op7_suffix_array_dedup", None),
     ("near_dedup", "op10_minhash_near_dedup", None),
 ]
