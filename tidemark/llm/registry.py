@@ -10,6 +10,7 @@ _QUERIES = [
     ("exact_dedup", "op5_exact_dedup", "OP5_SQL"),
     ("mixing", "op6_entropy_mixing", None),
     ("repeats", "op7_suffix_array_dedup", None),
+    ("chat", "op8_chat_formatting", "OP8_SQL"),
     ("near_dedup", "op10_minhash_near_dedup", None),
 ]
 
