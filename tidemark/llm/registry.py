@@ -6,12 +6,14 @@ from importlib import import_module
 
 #: module, query, name of its SQL (None: SQL cannot express it; tests/llm hold a brute-force version)
 _QUERIES = [
+    ("quality", "op2_quality_classifier", None),
     ("repeats", "op3_substring_dedup", None),
     ("pii", "op4_feistel_pii", None),
     ("exact_dedup", "op5_exact_dedup", "OP5_SQL"),
     ("mixing", "op6_entropy_mixing", None),
     ("repeats", "op7_suffix_array_dedup", None),
     ("chat", "op8_chat_formatting", "OP8_SQL"),
+    ("langid", "op9_hyperdimensional_langid", None),
     ("near_dedup", "op10_minhash_near_dedup", None),
 ]
 

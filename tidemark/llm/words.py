@@ -82,6 +82,7 @@ class Words:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, kind: str, lower: bool):
         self.data = _lower()[data] if lower else data
+        self.offsets = offsets
         edge = np.zeros(len(data) + 1, bool)
         edge[offsets] = True
         word = ~table(kind)[data]
