@@ -2,7 +2,7 @@
 
 Every letter (and the gap between words) has a random vector of `dim` entries +1 or -1, drawn from a hash of its code point, so that no alphabet is given. An n-gram's
 vector binds its letters' vectors: each is permuted (rotated) once per place that follows it, and they are multiplied. A text's vector bundles (sums) those of
-its n-grams; a language's prototype bundles the unit vectors of its training texts. A text gets the language whose prototype has the largest cosine.
+its n-grams; a language's prototype bundles those of all its training texts. A text gets the language whose prototype has the largest cosine.
 
 In a task, equal n-grams of a batch of texts are bound once, and bundling is the product of the batch's count matrix with their vectors.
 """
@@ -23,7 +23,7 @@ from .words import mix64
 
 DIM = 1024
 ORDER = 3
-BATCH_BYTES = 1 << 19
+BATCH_BYTES = 1 << 18
 PIECE = 4096  # n-grams bound at a time
 _GAP = 32
 
@@ -42,19 +42,52 @@ def _folded() -> np.ndarray:
 
 @lru_cache(maxsize=65536)
 def _letter(code: int, dim: int) -> np.ndarray:
-    words = mix64(np.arange(dim // 64, dtype=np.uint64) + np.uint64(code) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+    words = mix64(np.arange(dim // 64, dtype=np.uint64) + np.uint64((code * 0x9E3779B97F4A7C15 + 1) & (1 << 64) - 1))
     return (np.unpackbits(words.view(np.uint8)).astype(np.int8) * 2 - 1).astype(np.int8)
 
 
 def _bind(grams: np.ndarray, order: int, dim: int) -> np.ndarray:
-    """The vectors of n-grams (21 bits per letter, the last one lowest)."""
+    """The vectors of n-grams given as (n, order) code points."""
     out = np.ones((len(grams), dim), np.int8)
     for k in range(order):
-        codes, where = np.unique((grams >> np.uint64(21 * k)) & np.uint64(0x1FFFFF), return_inverse=True)
-        out *= np.stack([np.roll(_letter(int(c), dim), k) for c in codes])[where]
+        codes, where = np.unique(grams[:, k], return_inverse=True)
+        out *= np.stack([np.roll(_letter(int(c), dim), order - 1 - k) for c in codes])[where]
     return out
 
 
+class _Bound:
+    """The vectors of n-grams bound so far in this process, up to MOST of them."""
+
+    MOST = 32768
+
+    def __init__(self, order: int, dim: int):
+        self.order, self.dim = order, dim
+        self.keys, self.vectors = np.zeros(0, np.uint64), np.zeros((0, dim), np.int8)
+
+    def get(self, grams: np.ndarray) -> np.ndarray:
+        key = np.zeros(len(grams), np.uint64)
+        for k in range(self.order):
+            key = (key << np.uint64(21)) | grams[:, k].astype(np.uint64)
+        at = np.searchsorted(self.keys, key)
+        known = at < len(self.keys)
+        known[known] = self.keys[at[known]] == key[known]
+        out = np.empty((len(grams), self.dim), np.float32)
+        out[known] = self.vectors[at[known]]
+        if not known.all():
+            fresh = _bind(grams[~known], self.order, self.dim)
+            out[~known] = fresh
+            if len(self.keys) + len(fresh) <= self.MOST:
+                keys = np.concatenate([self.keys, key[~known]])
+                sort = np.argsort(keys)
+                self.keys, self.vectors = keys[sort], np.concatenate([self.vectors, fresh])[sort]
+        return out
+
+
+@lru_cache(maxsize=4)
+def _bound(order: int, dim: int) -> _Bound:
+    return _Bound(order, dim)
+
+
 def _sequences(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Folded letters of all texts, every run of others as one gap, and where each text begins (one more at the end)."""
     raw = np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -64,34 +97,51 @@ def _sequences(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     keep = np.ones(len(code), bool)
     keep[1:] = ~(gap[1:] & gap[:-1] & (row[1:] == row[:-1]))
     code = np.where(gap, _GAP, code)[keep]
-    return code.astype(np.uint64), np.searchsorted(row[keep], np.arange(len(texts) + 1))
+    return code, np.searchsorted(row[keep], np.arange(len(texts) + 1))
+
 
+def bundle(texts: list[str], dim: int = DIM, order: int = ORDER, into: np.ndarray | None = None) -> np.ndarray:
+    """(texts, dim): the sum of the n-gram vectors of each text, with a gap before and after it; zeros for a text without letters.
 
-def bundle(texts: list[str], dim: int = DIM, order: int = ORDER) -> np.ndarray:
-    """(texts, dim): the sum of the n-gram vectors of each text, with a gap before and after it; zeros for a text without letters."""
+    into: numbers of bundles from 0 on, one per text, where several texts share a bundle.
+    """
+    into = np.arange(len(texts)) if into is None else into
+    size = int(into.max()) + 1 if len(into) else 0
     # a gap in front, so that a first letter is known as one
     code, first = _sequences([" " + t for t in texts])
-    out = np.zeros((len(texts), dim), np.float32)
+    out = np.zeros((size, dim), np.float32)
     if len(code) < order:
         return out
-    gram = np.zeros(len(code) - order + 1, np.uint64)
+    used = np.zeros(0x110000, np.int32)
+    used[code] = 1
+    letters = np.flatnonzero(used)
+    n = len(letters)
+    used[letters] = np.arange(n)
+    code = used[code]
+    at = np.arange(len(code) - order + 1)
+    row = np.repeat(np.arange(len(texts)), np.diff(first))[: len(at)]
+    ok = at + order <= first[1:][row]
+    gram = np.zeros(len(at), np.int64)
     for k in range(order):
-        gram = (gram << np.uint64(21)) | code[k : k + len(gram)]
-    row = np.searchsorted(first, np.arange(len(gram)), "right") - 1
-    last = first[1:][np.minimum(row, len(texts) - 1)]
-    ok = np.arange(len(gram)) + order <= last
-    kinds, where = np.unique(gram[ok], return_inverse=True)
-    row = row[ok]
+        gram = gram * n + code[k : k + len(at)]
+    gram, row = gram[ok], into[row[ok]]
+    if n**order <= 1 << 21:
+        present = np.bincount(gram, minlength=n**order) > 0
+        kinds = np.flatnonzero(present)
+        where = (np.cumsum(present) - 1)[gram]
+    else:
+        kinds, where = np.unique(gram, return_inverse=True)
+    spelled = np.stack([letters[kinds // n ** (order - 1 - k) % n] for k in range(order)], 1)
     for lo in range(0, len(kinds), PIECE):
         hi = min(lo + PIECE, len(kinds))
         own = (where >= lo) & (where < hi)
-        counts = np.bincount(row[own] * (hi - lo) + where[own] - lo, minlength=len(texts) * (hi - lo)).reshape(len(texts), hi - lo)
-        out += counts.astype(np.float32) @ _bind(kinds[lo:hi], order, dim).astype(np.float32)
+        counts = np.bincount(row[own] * (hi - lo) + where[own] - lo, minlength=size * (hi - lo)).reshape(size, hi - lo)
+        out += counts.astype(np.float32) @ _bound(order, dim).get(spelled[lo:hi])
     return out
 
 
-def unit_vectors(column: pa.Array, dim: int, order: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, last row + 1, unit vectors, whether the text has a letter), by runs of rows of bounded size."""
+def _portions(column: pa.Array) -> Iterator[tuple[int, int, list[str], np.ndarray]]:
+    """(first row, last row + 1, texts, whether they have letters), by runs of rows of bounded size; texts without letters come as empty."""
     size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     row = 0
     ends = np.cumsum(size)
@@ -99,10 +149,7 @@ def unit_vectors(column: pa.Array, dim: int, order: int) -> Iterator[tuple[int,
         stop = max(row + 1, int(np.searchsorted(ends, (ends[row - 1] if row else 0) + BATCH_BYTES, "right")))
         texts = [t or "" for t in column.slice(row, stop - row).to_pylist()]
         letters = np.array([any(map(str.isalpha, t)) for t in texts])
-        v = bundle([t if ok else "" for t, ok in zip(texts, letters, strict=True)], dim, order)
-        v[~letters] = 0
-        v /= np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-9)
-        yield row, stop, v, letters
+        yield row, stop, [t if ok else "" for t, ok in zip(texts, letters, strict=True)], letters
         row = stop
 
 
@@ -111,9 +158,10 @@ def _learn(dim: int, order: int):
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             langs = np.array(batch.column("lang").to_pylist(), object)
-            for a, b, v, _ in unit_vectors(batch.column("text"), dim, order):
-                for lang in set(langs[a:b]):
-                    sums[lang] = sums.get(lang, 0) + v[langs[a:b] == lang].sum(0, dtype=np.float64)
+            for a, b, texts, letters in _portions(batch.column("text")):
+                kinds, into = np.unique(langs[a:b].astype(str), return_inverse=True)
+                for lang, v in zip(kinds.tolist(), bundle(texts, dim, order, into), strict=True):
+                    sums[lang] = sums.get(lang, 0) + v.astype(np.float64)
         for lang, s in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * dim), pa.array(range(dim), pa.int32()), pa.array(s)], ["lang", "i", "v"])
 
@@ -128,7 +176,6 @@ def prototypes(docs: DataFrame, dim: int = DIM, order: int = ORDER) -> tuple[lis
         found.setdefault(r["lang"], np.zeros(dim))[r["i"]] = r["v"]
     langs = sorted(found)
     m = np.stack([found[k] for k in langs]) if langs else np.zeros((0, dim))
-    m = np.round(m, 6)  # sums in another order give the same prototypes
     return langs, m / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-9)
 
 
@@ -137,7 +184,10 @@ def _predict(shared, dim: int, order: int):
         langs, m = shared.value
         m = m.T.astype(np.float32)
         for batch in batches:
-            for a, b, v, letters in unit_vectors(batch.column("text"), dim, order):
+            for a, b, texts, letters in _portions(batch.column("text")):
+                v = bundle(texts, dim, order)
+                v[~letters] = 0
+                v /= np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-9)
                 pred, score = np.array(["und"] * (b - a), object), np.zeros(b - a)
                 if langs:
                     near = v @ m

@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: module, query, name of its SQL (None: SQL cannot express it; tests/llm hold a brute-force version)
 _QUERIES = [
+    ("decontam", "op1_bm25_decontamination", None),
     ("quality", "op2_quality_classifier", None),
     ("repeats", "op3_substring_dedup", None),
     ("pii", "op4_feistel_pii", None),
