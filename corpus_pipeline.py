@@ -1,7 +1,70 @@
-"""placeholder"""
-STAGES = []
+"""The corpus pipeline: quality classifier, exact dedup, near dedup, decontamination, mixing; every stage keeps whole documents."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm.common import shared_folder, table
+from tidemark.llm.decontam import find_leaks
+from tidemark.llm.exact_dedup import exact_dedup
+from tidemark.llm.mixing import mix
+from tidemark.llm.near_dedup import near_dedup
+from tidemark.llm.quality import score_quality
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose id is in ids (null is an id too)."""
+    own = ids.select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(own, docs["doc_id"].eqNullSafe(own["kept_id"]), "left_semi").select(*COLUMNS)
+
+
+def _drop(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    own = ids.select(F.col("doc_id").alias("dropped_id")).distinct()
+    return docs.join(own, docs["doc_id"].eqNullSafe(own["dropped_id"]), "left_anti").select(*COLUMNS)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the quality classifier rejects."""
+    scored = score_quality(docs, table(spark, sf_dir, "labels"))
+    return _drop(docs, scored.where("predicted = 0"))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, keeps the one with the smallest id."""
+    return _drop(docs, exact_dedup(docs).where("NOT kept"))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of near duplicates (runs of five words, similarity 0.8 or more), keeps the one with the smallest id."""
+    return _drop(docs, near_dedup(docs, width=5, percent=80).where("NOT kept"))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that leak a test item."""
+    return _drop(docs, find_leaks(docs, table(spark, sf_dir, "benchmark")))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the mix takes of each document: copies, and the words that they hold."""
+    return mix(docs).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+
+
+STAGES = [("quality", quality), ("exact_dedup", exact), ("near_dedup", near), ("decontamination", decontaminate), ("mixing", mixed)]
+
+#: The classifier, the near duplicates and the leaks have no SQL; tests/llm compare run() with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to documents; each one's result is written to the shared folder and read again."""
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents").select(*COLUMNS)
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return docs
