@@ -142,7 +142,7 @@ def step_filter(df: DataFrame, series: str, t: str, v: str, delta: float = 3.0,
     d = df.withColumn("_i", i).withColumn("_n", m).withColumn("_a", F.first(v).over(whole)).withColumn("_z", F.last(v).over(whole))
     d = d.withColumn("_f", F.collect_list(v).over(frame))
     padded = F.concat(
-        F.array_repeat("_a", F.greatest(F.lit(n + 1) - F.col("_i"), F.lit(0))), F.col("_f"), F.array_repeat("_z", F.greatest(F.col("_i") + n - F.col("_n"), F.lit(0)))
+        F.array_repeat("_a", F.greatest(F.lit(n + 1) - F.col("_i"), F.lit(0))), F.col("_f"), F.array_repeat("_z", F.greatest(F.col("_i") + n - F.col("_n"), F.lit(0)).cast("int"))
     )
     d = d.withColumn("median", F.element_at(F.array_sort(padded), n + 1))
     jump = F.col("median") - F.lag("median").over(w)
