@@ -69,7 +69,7 @@ def modified_julian_day(d: Column) -> Column:
 def record_seconds(mjd: Column, *seconds: Column) -> Column:
     """Seconds since 1985 from a modified Julian day and seconds of the day, as altimeter records hold them."""
     total = sum(seconds[1:], seconds[0])
-    return (mjd + total / 86400 - 46066) * 86400
+    return (mjd - 46066) * 86400 + total
 
 
 def serial_to_seconds(days: Column, year_start: float = 730486.0) -> Column:

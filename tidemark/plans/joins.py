@@ -16,13 +16,13 @@ def track_pairs(spark, d):
 
 
 def crossing(spark, d):
-    p = table(spark, d, "events").selectExpr("user_id AS track", "event_id", "cast(event_id AS double) AS time", "cast(event_id % 97 AS double) AS x", "value * 1.0371D AS y", "value * 2.0173D AS elev")
+    p = table(spark, d, "events").selectExpr("user_id AS track", "event_id", "event_id * 1.0173D AS time", "cast(event_id % 97 AS double) AS x", "value * 1.0371D AS y", "value * 2.0173D AS elev")
     p = p.where("track < 24")
     s = T.segments(p, "track", ["event_id"], ["elev"], "time", 1e9)
     return tidy(T.crossovers(s.where("track % 2 = 0"), s.where("track % 2 = 1"), ["elev"], "time", 25.0), 4)
 
 
-_CROSS = """WITH p AS (SELECT user_id AS track, event_id, event_id::DOUBLE AS time, (event_id % 97)::DOUBLE AS x, value * 1.0371::DOUBLE AS y, value * 2.0173::DOUBLE AS elev FROM events WHERE user_id < 24),
+_CROSS = """WITH p AS (SELECT user_id AS track, event_id, event_id * 1.0173::DOUBLE AS time, (event_id % 97)::DOUBLE AS x, value * 1.0371::DOUBLE AS y, value * 2.0173::DOUBLE AS elev FROM events WHERE user_id < 24),
 s AS (SELECT track, x AS x1, lead(x) OVER w AS x2, y AS y1, lead(y) OVER w AS y2, time AS t1, lead(time) OVER w AS t2, elev AS e1, lead(elev) OVER w AS e2 FROM p WINDOW w AS (PARTITION BY track ORDER BY event_id)),
 a AS (SELECT * FROM s WHERE track % 2 = 0 AND t2 IS NOT NULL), b AS (SELECT * FROM s WHERE track % 2 = 1 AND t2 IS NOT NULL),
 j AS (SELECT a.track AS track1, b.track AS track2, a.x1, a.x2, a.y1, a.y2, a.t1, a.t2, a.e1, a.e2, b.t1 AS bt1, b.t2 AS bt2, b.e1 AS be1, b.e2 AS be2,
