@@ -73,7 +73,8 @@ def mix(
     dual = goal.select(F.col("source").alias("s"), "source_size", "target", F.lit(0.0).alias("lambda"))
     for _ in range(rounds):
         tilted = parts.join(dual, parts["source"].eqNullSafe(dual["s"])).groupBy("s", "source_size", "target", "lambda").agg(
-            F.sum(F.col("tokens") * F.exp("lambda")).alias("tilt")
+            # whole numbers are summed first, so that the sum is the same in any order
+            (F.sum("tokens") * F.exp("lambda")).alias("tilt")
         )
         step = settle(
             tilted.select(
