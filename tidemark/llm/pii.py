@@ -44,6 +44,11 @@ ROUNDS = 8
 _OPEN, _CLOSE = "", ""  # private-use marks around what was found; texts that hold them already are left to the pattern's own text
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once and not written out at every place where it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _noise(key: str, tweak: Column, part: Column) -> Column:
     """A keyed hash as a long from 0 to 2**52 - 1."""
     return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), tweak, part).cast("binary"), 256), 1, 13), 16, 10).cast("long")
@@ -67,42 +72,54 @@ def feistel(value: Column, a: Column, b: Column, key: str, tweak: Column, back:
 
 def _halves(digits: Column, key: str, tweak: str, back: bool) -> Column:
     """Permutes a string of up to 36 digits: its two halves are numbers of Feistel parts of up to 18 digits."""
-    n = F.length(digits)
-    left = F.floor(n / 2).cast("int")
-    a, b = F.pow(F.lit(10.0), left).cast("long"), F.pow(F.lit(10.0), n - left).cast("long")
     steps = F.array(*[F.lit(i) for i in (range(ROUNDS - 1, -1, -1) if back else range(ROUNDS))])
     sign = -1 if back else 1
-    mark = F.concat(F.lit(tweak), n.cast("string"))
+    power = lambda n: F.pow(F.lit(10.0), n).cast("long")
+
+    def permute(d):
+        n = F.length(d)
+        left = F.floor(n / 2).cast("int")
+
+        def step(s, i):
+            even = i % 2 == 0
+            part = F.when(even, s["r"]).otherwise(s["l"])
+            noise = sign * _noise(key, F.concat_ws("|", F.concat(F.lit(tweak), (s["m"] + s["n"]).cast("string")), i.cast("string")), part.cast("string"))
+            return F.struct(
+                F.when(even, F.pmod(s["l"] + F.pmod(noise, power(s["m"])), power(s["m"]))).otherwise(s["l"]).alias("l"),
+                F.when(even, s["r"]).otherwise(F.pmod(s["r"] + F.pmod(noise, power(s["n"])), power(s["n"]))).alias("r"),
+                s["m"].alias("m"),
+                s["n"].alias("n"),
+            )
 
-    def step(s, i):
-        noise = _noise(key, F.concat_ws("|", mark, i.cast("string")), F.when(i % 2 == 0, s["r"]).otherwise(s["l"]).cast("string"))
-        return F.struct(
-            F.when(i % 2 == 0, F.pmod(s["l"] + sign * F.pmod(noise, a), a)).otherwise(s["l"]).alias("l"),
-            F.when(i % 2 == 0, s["r"]).otherwise(F.pmod(s["r"] + sign * F.pmod(noise, b), b)).alias("r"),
+        start = F.struct(
+            F.coalesce(d.substr(F.lit(1), left).try_cast("long"), F.lit(0).cast("long")).alias("l"),
+            F.coalesce(d.substr(left + 1, n - left).try_cast("long"), F.lit(0).cast("long")).alias("r"),
+            left.alias("m"),
+            (n - left).alias("n"),
         )
+        return F.aggregate(
+            steps, start, step,
+            lambda s: F.concat(F.when(s["m"] > 0, F.lpad(s["l"].cast("string"), s["m"], "0")).otherwise(F.lit("")), F.lpad(s["r"].cast("string"), s["n"], "0")),
+        )
 
-    start = F.struct(
-        F.coalesce(digits.substr(F.lit(1), left).try_cast("long"), F.lit(0).cast("long")).alias("l"),
-        F.coalesce(digits.substr(left + 1, n - left).try_cast("long"), F.lit(0).cast("long")).alias("r"),
-    )
-    return F.aggregate(
-        steps, start, step,
-        lambda s: F.concat(F.when(left > 0, F.lpad(s["l"].cast("string"), left, "0")).otherwise(F.lit("")), F.lpad(s["r"].cast("string"), n - left, "0")),
-    )
+    return let(digits, permute)
 
 
 def _refill(shape: Column, chars: Column, holes: str) -> Column:
     """Puts chars, in order, into the characters of shape that match holes."""
     start = F.struct(F.lit(0).alias("i"), F.lit("").alias("s"))
 
-    def step(a, c):
-        hole = c.rlike(holes)
-        return F.struct(
-            F.when(hole, a["i"] + 1).otherwise(a["i"]).alias("i"),
-            F.concat(a["s"], F.when(hole, F.substring(chars, a["i"] + 1, 1)).otherwise(c)).alias("s"),
-        )
+    def step(known):
+        def one(a, c):
+            hole = c.rlike(holes)
+            return F.struct(
+                F.when(hole, a["i"] + 1).otherwise(a["i"]).alias("i"),
+                F.concat(a["s"], F.when(hole, F.substring(known, a["i"] + 1, 1)).otherwise(c)).alias("s"),
+            )
+
+        return one
 
-    return F.aggregate(F.split(shape, ""), start, step, lambda a: a["s"])
+    return let(chars, lambda known: F.aggregate(F.split(shape, ""), start, step(known), lambda a: a["s"]))
 
 
 def _digits(x: Column) -> Column:
@@ -129,29 +146,32 @@ def _mod97(chars: Column) -> Column:
 def _shift(text: Column, key: str, tweak: str, back: bool, holes: str = "[A-Za-z0-9]") -> Column:
     """Permutes a string within its shape: characters of each class by a keyed Feistel of the two halves of the string."""
     sign = -1 if back else 1
-    n = F.length(text)
-    half = F.floor(n / 2).cast("int")
 
     def turn(part, other, i):
         pad = F.sha2(F.concat_ws("|", F.lit(key), F.lit(tweak), i.cast("string"), other).cast("binary"), 512)
 
-        def move(c, j):
-            k = F.conv(F.substring(pad, 1 + 2 * F.pmod(j, F.lit(60)), 4), 16, 10).cast("int") * sign
-            code = F.ascii(c)
-            return (
-                F.when(~c.rlike(holes), c)
-                .when(c.rlike("[0-9]"), F.char(F.pmod(code - 48 + k, F.lit(10)) + 48))
-                .when(c.rlike("[a-z]"), F.char(F.pmod(code - 97 + k, F.lit(26)) + 97))
-                .when(c.rlike("[A-Z]"), F.char(F.pmod(code - 65 + k, F.lit(26)) + 65))
-                .otherwise(c)
-            )
+        def move(pad):
+            def one(c, j):
+                k = F.conv(F.substring(pad, 1 + 2 * F.pmod(j, F.lit(60)), 4), 16, 10).cast("int") * sign
+                code = F.ascii(c)
+                return (
+                    F.when(~c.rlike(holes), c)
+                    .when(code < 58, F.char(F.pmod(code - 48 + k, F.lit(10)) + 48))
+                    .when(code < 91, F.char(F.pmod(code - 65 + k, F.lit(26)) + 65))
+                    .otherwise(F.char(F.pmod(code - 97 + k, F.lit(26)) + 97))
+                )
 
-        return F.array_join(F.transform(F.split(part, ""), move), "")
+            return one
+
+        return let(pad, lambda known: F.array_join(F.transform(F.split(part, ""), move(known)), ""))
 
     steps = F.array(*[F.lit(i) for i in ((3, 2, 1, 0) if back else (0, 1, 2, 3))])
-    start = F.struct(text.substr(F.lit(1), half).alias("l"), text.substr(half + 1, n - half).alias("r"))
+    def halves(t):
+        half = F.floor(F.length(t) / 2).cast("int")
+        return F.struct(t.substr(F.lit(1), half).alias("l"), t.substr(half + 1, F.length(t)).alias("r"))
+
     return F.aggregate(
-        steps, start,
+        steps, let(text, halves),
         lambda s, i: F.struct(
             F.when(i % 2 == 0, turn(s["l"], s["r"], i)).otherwise(s["l"]).alias("l"), F.when(i % 2 == 0, s["r"]).otherwise(turn(s["r"], s["l"], i)).alias("r")
         ),
@@ -160,29 +180,32 @@ def _shift(text: Column, key: str, tweak: str, back: bool, holes: str = "[A-Za-z
 
 
 def _card(x, key, back):
-    d = _digits(x)
-    body = _halves(d.substr(F.lit(1), F.length(d) - 1), key, "card", back)
-    check = F.pmod(-_luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")
-    return F.when(_luhn_sum(d) % 10 == 0, _refill(x, F.concat(body, check), "[0-9]"))
+    def new(d):
+        body = _halves(d.substr(F.lit(1), F.length(d) - 1), key, "card", back)
+        whole = let(body, lambda n: F.concat(n, F.pmod(-_luhn_sum(F.concat(n, F.lit("0"))), F.lit(10)).cast("string")))
+        return F.when(_luhn_sum(d) % 10 == 0, _refill(x, whole, "[0-9]"))
+
+    return let(_digits(x), new)
 
 
 def _iban(x, key, back):
-    plain = F.replace(x, F.lit(" "), F.lit(""))
-    country = F.substring(plain, 1, 2)
-    account = plain.substr(F.lit(5), F.length(plain))
-    new = _shift(account, key, "iban", back)
-    check = F.lpad((98 - _mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
-    # the reference check: country and check digits last leave 1
-    return F.when(_mod97(F.concat(account, F.substring(plain, 1, 4))) == 1, _refill(x, F.concat(country, check, new), "[A-Z0-9]")).otherwise(
-        _shift(x, key, "account", back)
-    )
+    def new(plain):
+        country = F.substring(plain, 1, 2)
+        account = plain.substr(F.lit(5), F.length(plain))
+        check = lambda n: F.lpad((98 - _mod97(F.concat(n, country, F.lit("00")))).cast("string"), 2, "0")
+        # country and check digits last leave 1
+        good = _mod97(F.concat(account, F.substring(plain, 1, 4))) == 1
+        whole = let(_shift(account, key, "iban", back), lambda n: F.concat(country, check(n), n))
+        return F.when(good, _refill(x, whole, "[A-Z0-9]")).otherwise(_shift(x, key, "account", back))
+
+    return let(F.replace(x, F.lit(" "), F.lit("")), new)
 
 
 def _ip(x, key, back):
     parts = F.split(x, r"\.")
     value = reduce(lambda a, i: a * 256 + F.coalesce(parts[i].try_cast("long"), F.lit(0)), range(4), F.lit(0).cast("long"))
     new = feistel(value, F.lit(65536).cast("long"), F.lit(65536).cast("long"), key, F.lit("ip"), back)
-    text = F.concat_ws(".", *[F.pmod(F.floor(new / F.lit(256**k)), F.lit(256)).cast("string") for k in (3, 2, 1, 0)])
+    text = let(new, lambda n: F.concat_ws(".", *[F.pmod(F.floor(n / F.lit(256**k)), F.lit(256)).cast("string") for k in (3, 2, 1, 0)]))
     good = F.forall(parts, lambda p: p.try_cast("int") <= 255)
     return F.when(good, text)
 
@@ -192,16 +215,20 @@ def _date(x, key, back):
     sep = F.substring(x, 3, 1)
     ymd = F.when(iso, x).otherwise(F.concat_ws("-", F.substring(x, 7, 4), F.substring(x, 4, 2), F.substring(x, 1, 2)))
     day = F.datediff(ymd.try_cast("date"), F.lit("1800-01-01").cast("date")).cast("long")
-    new = F.date_add(
-        F.lit("1800-01-01").cast("date"), feistel(F.coalesce(day, F.lit(0).cast("long")), F.lit(_DAY_A).cast("long"), F.lit(_DAY_B).cast("long"), key, F.lit("date"), back).cast("int")
-    )
-    text = F.when(iso, F.date_format(new, "yyyy-MM-dd")).otherwise(F.concat_ws("", F.date_format(new, "dd"), sep, F.date_format(new, "MM"), sep, F.date_format(new, "yyyy")))
-    return F.when(day.between(0, _DAYS - 1), text)
+
+    def moved(day):
+        n = feistel(day, F.lit(_DAY_A).cast("long"), F.lit(_DAY_B).cast("long"), key, F.lit("date"), back).cast("int")
+        return F.when(day.between(0, _DAYS - 1), let(F.date_add(F.lit("1800-01-01").cast("date"), n), written))
+
+    def written(new):
+        return F.when(iso, F.date_format(new, "yyyy-MM-dd")).otherwise(F.concat_ws("", F.date_format(new, "dd"), sep, F.date_format(new, "MM"), sep, F.date_format(new, "yyyy")))
+
+    return let(day, moved)
 
 
 def _phone(x, key, back):
-    d = _digits(x)
-    return F.when(F.length(d).between(8, 16), _refill(x, F.concat(F.substring(d, 1, 1), _halves(d.substr(F.lit(2), F.length(d)), key, "phone", back)), "[0-9]"))
+    new = lambda d: _refill(x, F.concat(F.substring(d, 1, 1), _halves(d.substr(F.lit(2), F.length(d)), key, "phone", back)), "[0-9]")
+    return let(_digits(x), lambda d: F.when(F.length(d).between(8, 16), new(d)))
 
 
 def _ssn(x, key, back):
@@ -224,10 +251,7 @@ _RULES = {"mail": _mail, "secret": _secret, "iban": _iban, "ip": _ip, "date": _d
 
 def pseudonym(x: Column, key: str, back: bool = False) -> Column:
     """The pseudonym of one found value; itself if it fails the validation of every kind whose pattern it fits."""
-    out = x
-    for kind in reversed(_RULES):
-        out = F.when(x.rlike(f"^(?:{PATTERNS[kind]})$"), F.coalesce(_RULES[kind](x, key, back), out)).otherwise(out)
-    return out
+    return F.coalesce(*[F.when(x.rlike(f"^(?:{PATTERNS[kind]})$"), _RULES[kind](x, key, back)) for kind in _RULES], x)
 
 
 def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", back: bool = False) -> DataFrame:
