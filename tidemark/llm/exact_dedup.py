@@ -45,8 +45,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     )
     groups = (
-        salted.repartition("digest")
-        .groupBy("digest", "norm")
+        salted.groupBy("digest", "norm")
         .agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
         .where("group_size > 1")
     )
