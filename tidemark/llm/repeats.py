@@ -1,7 +1,7 @@
 """Operators 3 and 7: removing passages that repeat across or within documents.
 
 Both find *anchors* first, short runs of words at a few selected positions, such that any two equal windows share an equal anchor at the same
-offset. Anchors that occur once cannot lie in a repeated window and end there. Around the others, every window is hashed to 128 bits
+offset. Anchors that occur once cannot lie in a repeated window and end there. Around the others, every window is hashed to 96 bits
 and only windows whose words also start earlier are removed, so the anchors decide what is looked at and never what is removed.
 
 * Operator 3 (difference cover): anchors lie at positions p with p mod 13 in {0, 1, 3, 9}. Every residue modulo 13 is a difference of two members,
@@ -33,6 +33,9 @@ from .words import chunks, inside, runs, signed
 COVER_PERIOD = 13
 COVER = (0, 1, 3, 9)
 
+# Anchors keep 48 bits of their hash: an equal hash of other words costs one look and changes nothing. Windows keep 96.
+ANCHOR_SHIFT = 16
+
 
 def _cover_positions(hashes: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     width = window - COVER_PERIOD + 1
@@ -75,7 +78,7 @@ def _anchors(kind: str, window: int):
                 if len(at):
                     row = np.searchsorted(w.first, at, "right") - 1
                     pos = (at - w.first[row]).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([signed(h), ids.take(pa.array(row + a)), pa.array(pos)], ["h", "doc_id", "pos"])
+                    yield pa.RecordBatch.from_arrays([signed(h >> np.uint64(ANCHOR_SHIFT)), ids.take(pa.array(row + a)), pa.array(pos)], ["h", "doc_id", "pos"])
 
     return emit
 
@@ -106,7 +109,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(window: int, width: int):
-    """The starts of all windows that hold a repeated anchor, with 128 bits of their words."""
+    """The starts of all windows that hold a repeated anchor, with 96 bits of their words."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,7 +134,7 @@ def _windows(window: int, width: int):
                 h = w.hashes()
                 row = np.searchsorted(w.first, at, "right") - 1
                 yield pa.RecordBatch.from_arrays(
-                    [signed(runs(h, window)[at]), signed(runs(h ^ np.uint64(0x5851F42D4C957F2D), window, 1)[at]), ids.take(pa.array(row + a)), pa.array((at - w.first[row]).astype(np.int32))],
+                    [signed(runs(h, window)[at]), pa.array((runs(h ^ np.uint64(0x5851F42D4C957F2D), window, 1)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)), ids.take(pa.array(row + a)), pa.array((at - w.first[row]).astype(np.int32))],
                     ["h1", "h2", "doc_id", "pos"],
                 )
 
@@ -191,12 +194,12 @@ def repeated_spans(docs: DataFrame, window: int, kind: str) -> DataFrame:
     )
     marks = settle(repeated.groupBy("doc_id").agg(F.sort_array(F.collect_list("pos")).alias("marks")))
     looked_at = docs.join(marks, docs["doc_id"].eqNullSafe(marks["doc_id"])).select(docs["doc_id"], "text", "marks")
-    found = looked_at.mapInArrow(_windows(window, _WIDTH[kind](window)), f"h1 long, h2 long, doc_id {id_type}, pos int")
+    found = looked_at.mapInArrow(_windows(window, _WIDTH[kind](window)), f"h1 long, h2 int, doc_id {id_type}, pos int")
     key = f"doc_id {id_type}, pos int"
     later = settle(
         found.repartitionByRange("h1", "h2", "doc_id", "pos")
         .sortWithinPartitions("h1", "h2", "doc_id", "pos")
-        .mapInArrow(_later, f"{key}, part int, edge int, h1 long, h2 long")
+        .mapInArrow(_later, f"{key}, part int, edge int, h1 long, h2 int")
     )
     # The first row of a partition is a later start if the last row of the partition before has its hash: two rows a partition, in order.
     order = Window.orderBy("part", "edge")
@@ -216,7 +219,7 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def out(batch, edge):
         n = len(batch)
-        own = [batch.column(k) for k in ("h1", "h2")] if edge is not None else [pa.nulls(n, pa.int64())] * 2
+        own = [batch.column(k) for k in ("h1", "h2")] if edge is not None else [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())]
         return pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("pos"), pa.array([part] * n, pa.int32()), pa.array([edge] * n, pa.int32()), *own],
             ["doc_id", "pos", "part", "edge", "h1", "h2"],
