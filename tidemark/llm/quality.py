@@ -175,7 +175,8 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = 6000, smooth: floa
     """The model from all rows of docs (doc_id, text) with a label (doc_id, label 0 or 1); see the module's text. fit_rows: rows of the hinge-loss sample, about."""
     spark = docs.sparkSession
     spot = F.xxhash64(F.col("doc_id").cast("string"))
-    labelled = docs.join(labels, "doc_id")
+    # texts and labels meet by a shuffle at every size: labels grow with the corpus, so a broadcast of them has no bound
+    labelled = docs.join(labels.hint("merge"), "doc_id")
     counts = (
         labelled.select("label", "text")
         .mapInArrow(_count, "label int, slice int, counts array<long>")
