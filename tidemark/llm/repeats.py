@@ -193,7 +193,8 @@ def repeated_spans(docs: DataFrame, window: int, kind: str) -> DataFrame:
         .mapInArrow(_neighbours, f"doc_id {id_type}, pos int")
     )
     marks = settle(repeated.groupBy("doc_id").agg(F.sort_array(F.collect_list("pos")).alias("marks")))
-    looked_at = docs.join(marks, docs["doc_id"].eqNullSafe(marks["doc_id"])).select(docs["doc_id"], "text", "marks")
+    # marks and spans grow with the corpus, so both joins are merge joins at every size
+    looked_at = docs.join(marks.hint("merge"), docs["doc_id"].eqNullSafe(marks["doc_id"])).select(docs["doc_id"], "text", "marks")
     found = looked_at.mapInArrow(_windows(window, _WIDTH[kind](window)), f"h1 long, h2 int, doc_id {id_type}, pos int")
     key = f"doc_id {id_type}, pos int"
     later = settle(
@@ -274,7 +275,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, kind: str = "cover", id_co
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     spans = repeated_spans(docs, window, kind)
-    joined = docs.join(spans, docs["doc_id"].eqNullSafe(spans["doc_id"]), "left").select(docs["doc_id"], "text", "gone")
+    joined = docs.join(spans.hint("merge"), docs["doc_id"].eqNullSafe(spans["doc_id"]), "left").select(docs["doc_id"], "text", "gone")
     return joined.mapInArrow(
         _cut(window), f"doc_id {id_type}, n_words long, n_removed long, kept_sha256 string, kept_text string, removed_spans {_SPANS}"
     )
