@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import cells, chain, joins, kernels, ordered, scalars
+from .plans import cells, chain, joins, kernels, ordered, pieces, scalars
 
 FLAGSHIP = "OP-AGG-GRID"
-_ALL = [q for m in (cells, ordered, joins, chain, scalars, kernels) for q in m.QUERIES]
+_ALL = [q for m in (cells, ordered, joins, chain, scalars, pieces, kernels) for q in m.QUERIES]
 
 
 def queries() -> dict:
