@@ -103,3 +103,46 @@ def test_step_filter_matches_a_loop(spark):
     m = np.array([np.median(padded[i : i + 7]) for i in range(40)])
     jump = np.diff(m, prepend=m[0])
     assert np.allclose(got, v - np.cumsum(np.where(np.abs(jump) > 3, jump, 0)))
+
+
+def many_tracks(spark, folder):
+    """Events of 60 users, ten each: more than any id bound that a query could have."""
+    rng = np.random.default_rng(11)
+    rows = [(k, 1704067200 + 7919 * k, k // 10, ("click", "view")[k % 2], float(rng.uniform(0, 100))) for k in range(600) if k % 10 < 9 or k // 10 % 3]
+    df = spark.createDataFrame(rows, "event_id long, ts long, user_id long, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp"))
+    df.write.parquet(f"{folder}/events.parquet")
+    return rows
+
+
+def test_crossovers_of_all_tracks(spark, tmp_path):
+    from tidemark import queries as core
+
+    rows = many_tracks(spark, tmp_path)
+    parts = {0: [], 1: []}
+    for a, b in zip(rows, rows[1:]):
+        if a[2] == b[2]:
+            parts[a[2] % 2].append((a[2], a[0] % 97, b[0] % 97, a[4] * 1.0371, b[4] * 1.0371))
+    want = {}
+    for i, ax, bx, ay, by in parts[0]:
+        for j, cx, dx, cy, dy in parts[1]:
+            det = (bx - ax) * (dy - cy) - (by - ay) * (dx - cx)
+            if det:
+                s, t = ((cx - ax) * (dy - cy) - (cy - ay) * (dx - cx)) / det, ((cx - ax) * (by - ay) - (cy - ay) * (bx - ax)) / det
+                if 0 <= s < 1 and 0 <= t < 1:
+                    want[i, j] = want.get((i, j), 0) + 1
+    got = {}
+    for r in core.queries()["OP-JOIN-XOVER"](spark, str(tmp_path)).collect():
+        got[r["track1"], r["track2"]] = got.get((r["track1"], r["track2"]), 0) + 1
+    assert got == want and max(i for i, _ in want) > 50
+
+
+def test_pairs_of_all_tracks(spark, tmp_path):
+    from tidemark import queries as core
+
+    tracks_ = {}
+    for _, at, user, _, _ in many_tracks(spark, tmp_path):
+        tracks_.setdefault(user, []).append(at // 86400)
+    fact = {u: (min(days), len(days) % 2) for u, days in tracks_.items()}
+    want = {(a % 4, a, b) for a in fact for b in fact if a < b and a % 4 == b % 4 and fact[a][0] != fact[b][0] and fact[a][1] != fact[b][1]}
+    got = [tuple(r) for r in core.queries()["OP-JOIN-XPAIR"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) and set(got) == want and max(b for _, _, b in want) > 50

@@ -10,14 +10,13 @@ from .views import POINTS, points, table, tidy
 
 
 def track_pairs(spark, d):
-    t = points(spark, d).where("track < 40").groupBy("track").agg(F.count(F.lit(1)).alias("n"), F.date_format(F.min("ts"), "yyyy-MM-dd").alias("day"))
+    t = points(spark, d).groupBy("track").agg(F.count(F.lit(1)).alias("n"), F.date_format(F.min("ts"), "yyyy-MM-dd").alias("day"))
     t = t.selectExpr("track % 4 AS sector", "track AS name", "day", "n % 2 AS trk")
     return T.track_pairs(t, "sector", "name", "day", "trk")
 
 
 def crossing(spark, d):
     p = table(spark, d, "events").selectExpr("user_id AS track", "event_id", "event_id * 1.0173D AS time", "cast(event_id % 97 AS double) AS x", "value * 1.0371D AS y", "value * 2.0173D AS elev")
-    p = p.where("track < 24")
     s = T.segments(p, "track", ["event_id"], ["elev"], "time", 1e9)
     return tidy(T.crossovers(s.where("track % 2 = 0"), s.where("track % 2 = 1"), ["elev"], "time", 25.0), 4)
 
