@@ -87,6 +87,27 @@ def test_repeats(spark, kind, window):
         assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got} == want
 
 
+@pytest.mark.parametrize("batch", [1, 10_000])
+@pytest.mark.parametrize("kind,window", [("cover", 20), ("minimiser", 50)])
+def test_repeated_rows_keep_their_words(spark, kind, window, batch):
+    """Rows that repeat id and text are one document, whatever batch or partition holds their windows."""
+    null_twice = [(None, " ".join(f"n{i}" for i in range(60)))] * 2
+    df = awkward(spark).select("doc_id", "text").where("doc_id IS NOT NULL").unionByName(spark.createDataFrame(null_twice, "doc_id long, text string"))
+    rows = [(r["doc_id"], r["text"]) for r in df.collect()]
+    want = brute_repeats(list(dict.fromkeys(rows)), window)
+    assert want[7][1] == 0
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, batch)
+    try:
+        got = repeats.remove_repeats(df, window, kind).collect()
+    finally:
+        spark.conf.set(conf, before)
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r["n_words"], r["n_removed"], r["kept_sha256"]) == want[r["doc_id"]], r["doc_id"]
+
+
 def test_cover_has_all_differences():
     assert {(a - b) % repeats.COVER_PERIOD for a in repeats.COVER for b in repeats.COVER} == set(range(repeats.COVER_PERIOD))
 

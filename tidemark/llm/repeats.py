@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -205,18 +206,25 @@ def repeated_spans(docs: DataFrame, window: int, kind: str) -> DataFrame:
     # The first row of a partition is a later start if the last row of the partition before has its hash: two rows a partition, in order.
     order = Window.orderBy("part", "edge")
     edges = later.where("edge IS NOT NULL").select(
-        "doc_id", "pos", "edge", (F.lag("h1").over(order).eqNullSafe(F.col("h1")) & F.lag("h2").over(order).eqNullSafe(F.col("h2"))).alias("same")
-    )
+        "doc_id", "pos", "edge",
+        (
+            F.lag("h1").over(order).eqNullSafe(F.col("h1"))
+            & F.lag("h2").over(order).eqNullSafe(F.col("h2"))
+            & ~(F.lag("doc_id").over(order).eqNullSafe(F.col("doc_id")) & F.lag("pos").over(order).eqNullSafe(F.col("pos")))
+        ).alias("same"),
+    )
     later = later.where("edge IS NULL").select("doc_id", "pos").unionByName(edges.where("edge = 0 AND same").select("doc_id", "pos"))
     starts = later.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("starts"))
     return settle(starts.mapInArrow(_merge(window), f"doc_id {id_type}, gone {_SPANS}"))
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of windows sorted by (hash, document, position): those after another one of their hash; edge 0 and 1: the partition's first and last."""
+    """Of windows sorted by (hash, document, position): those after another one of their hash; edge 0 and 1: the partition's first and last.
+
+    Repeated rows give the same window at the same place several times: it is not later than itself.
+    """
     part = TaskContext.get().partitionId()
-    before = None
-    last = None
+    last = None  # the last row so far, (h1, h2, doc_id, pos)
 
     def out(batch, edge):
         n = len(batch)
@@ -232,13 +240,17 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h1, h2 = batch.column("h1").to_numpy(), batch.column("h2").to_numpy()
         same = np.zeros(len(h1), bool)
         same[1:] = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
-        if before is None:
+        ids, pos = batch.column("doc_id"), batch.column("pos").to_numpy()
+        equal_ids = pc.fill_null(pc.equal(ids.slice(1), ids.slice(0, len(ids) - 1)), False).to_numpy(zero_copy_only=False)
+        both_null = pc.and_(pc.is_null(ids.slice(1)), pc.is_null(ids.slice(0, len(ids) - 1))).to_numpy(zero_copy_only=False)
+        same[1:] &= ~((equal_ids | both_null) & (pos[1:] == pos[:-1]))
+        if last is None:
             yield out(batch.slice(0, 1), 0)
         else:
-            same[0] = (h1[0], h2[0]) == before
+            same[0] = (h1[0], h2[0]) == tuple(last.column(k)[0].as_py() for k in ("h1", "h2")) and (ids[0].as_py(), pos[0]) != tuple(last.column(k)[0].as_py() for k in ("doc_id", "pos"))
         if same.any():
             yield out(batch.filter(pa.array(same)), None)
-        before, last = (h1[-1], h2[-1]), batch.slice(len(batch) - 1)
+        last = batch.slice(len(batch) - 1)
     if last is not None:
         yield out(last, 1)
 
