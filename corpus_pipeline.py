@@ -17,36 +17,45 @@ from tidemark.llm.quality import score_quality
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose id is in ids (null is an id too)."""
-    own = ids.select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(own, docs["doc_id"].eqNullSafe(own["kept_id"]), "left_semi").select(*COLUMNS)
+def _rows(docs: DataFrame) -> DataFrame:
+    """The columns, and all of them as one, for operators that pass it along."""
+    return docs.select(*COLUMNS, F.struct(*COLUMNS).alias("row"))
 
 
-def _drop(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    own = ids.select(F.col("doc_id").alias("dropped_id")).distinct()
-    return docs.join(own, docs["doc_id"].eqNullSafe(own["dropped_id"]), "left_anti").select(*COLUMNS)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The columns, and a key of id and text: rows that share both share every decision, rows that share an id alone (null is one too) share none."""
+    text = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256)
+    return docs.select(*COLUMNS, F.struct(F.col("doc_id"), text.alias("digest")).alias("key"))
+
+
+def _drop(keyed: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows whose key isn't in keys."""
+    own = keys.select(F.col("key.doc_id").alias("dropped_id"), F.col("key.digest").alias("dropped_digest")).distinct()
+    same = (F.col("key.digest") == F.col("dropped_digest")) & F.col("key.doc_id").eqNullSafe(F.col("dropped_id"))
+    return keyed.join(own, same, "left_anti").select(*COLUMNS)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the quality classifier rejects."""
-    scored = score_quality(docs, table(spark, sf_dir, "labels"))
-    return _drop(docs, scored.where("predicted = 0"))
+    """Drops the rows that the quality classifier rejects, each by its own text; other rows of its id, null or not, stay."""
+    scored = score_quality(_rows(docs), table(spark, sf_dir, "labels"), carry="row")
+    return scored.where("predicted = 1").select("row.*")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, keeps the one with the smallest id."""
-    return _drop(docs, exact_dedup(docs).where("NOT kept"))
+    """Of equal texts, keeps the rows with the smallest id. A null id stays only if no row of its text has an id; rows that repeat id and text stay or go together."""
+    return exact_dedup(_rows(docs), carry="row").where("kept").select("row.*")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near duplicates (runs of five words, similarity 0.8 or more), keeps the one with the smallest id."""
-    return _drop(docs, near_dedup(docs, width=5, percent=80).where("NOT kept"))
+    """Of every group of near duplicates (runs of five words, similarity 0.8 or more), keeps the one with the smallest id. Rows with a null id are linked with nothing and stay."""
+    keyed = _keyed(docs)
+    return _drop(keyed, near_dedup(keyed, width=5, percent=80, carry="key").where("NOT kept"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that leak a test item."""
-    return _drop(docs, find_leaks(docs, table(spark, sf_dir, "benchmark")))
+    """Drops the rows that leak a test item, each by its own text; other rows of its id, null or not, stay."""
+    keyed = _keyed(docs)
+    return _drop(keyed, find_leaks(keyed, table(spark, sf_dir, "benchmark"), id_col="key").select(F.col("doc_id").alias("key")))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -404,6 +404,40 @@ def test_pipeline_matches_brute_force(spark):
     assert all(r["size"] == len(words(rows[r["doc_id"]][0])) for r in got)
 
 
+def test_stages_decide_row_by_row(spark, tmp_path):
+    """One rejected, equal, similar or leaking row takes no other row of its id (null is one) with it."""
+    import corpus_pipeline as pipeline
+
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(17)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    item = " ".join(f"q{i}" for i in range(40))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = " ".join(f"clean{i}" for i in range(60))
+    extra = [(None, item), (None, clean), (None, "one"), (5, item), (5, clean + " five")]
+    df = awkward(spark).unionByName(spark.createDataFrame(extra, "doc_id long, text string"), allowMissingColumns=True).select(*pipeline.COLUMNS)
+    rows = [(r["doc_id"], r["text"]) for r in df.collect()]
+    run = lambda stage: sorted(((r["doc_id"], r["text"]) for r in stage(spark, df, str(tmp_path)).select("doc_id", "text").collect()), key=str)
+
+    leaks = {item}
+    assert run(pipeline.decontaminate) == sorted((r for r in rows if r[1] not in leaks), key=str)
+
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    least = {}
+    for i, t in rows:
+        least[norm(t)] = min((x for x in (i, least.get(norm(t))) if x is not None), default=None)
+    kept = run(pipeline.exact)
+    assert kept == sorted((r for r in rows if r[0] == least[norm(r[1])]), key=str) and (None, clean) in kept and (None, "one") not in kept
+
+    kept = run(pipeline.near)
+    assert {r for r in rows if r[0] is None} <= set(kept) and (5, item) in kept and (5, clean + " five") in kept
+    assert (12, rows[12][1]) not in kept and (10, rows[10][1]) in kept
+
+    scored = quality.score_quality(df.withColumn("own", F.col("text")), labels, carry="own").collect()
+    assert run(pipeline.quality) == sorted(((r["doc_id"], r["own"]) for r in scored if r["predicted"] == 1), key=str)
+    verdicts = {r["predicted"] for r in scored}
+    assert len(run(pipeline.quality)) == sum(r["predicted"] for r in scored) and verdicts
+
+
 def test_registry_has_all_ten():
     assert [int(re.match(r"op(\d+)_", q)[1]) for q in registry.queries()] == list(range(1, 11))
     assert set(registry.oracle_sql()) <= set(registry.queries())

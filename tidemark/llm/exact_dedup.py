@@ -28,14 +28,15 @@ def normalised(text: str):
     return F.regexp_replace(F.coalesce(F.col(text).cast("string"), F.lit("")), _RUN, " ")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16, digest_bits: int = 256) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16, digest_bits: int = 256, carry: str | None = None) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     The row with the smallest doc_id of equal texts stays. Null text counts as empty text; a null id is never the smallest unless the group has no
-    other, and then keep_id is null and kept true. Repeated rows count one by one, and share the decision. Other columns of docs are ignored.
-    `digest_bits` under 256 shortens the grouping digest (for tests of collisions); text_sha256 is always whole.
+    other, and then keep_id is null and kept true. Repeated rows count one by one, and share the decision. Other columns of docs are ignored, but the
+    one named carry is passed along. `digest_bits` under 256 shortens the grouping digest (for tests of collisions); text_sha256 is always whole.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), normalised(text_col).alias("norm"))
+    own = [F.col(carry)] if carry else []
+    rows = docs.select(F.col(id_col).alias("doc_id"), normalised(text_col).alias("norm"), *own)
     rows = rows.withColumn("text_sha256", F.sha2(F.col("norm").cast("binary"), 256))
     rows = rows.withColumn("digest", F.substring("text_sha256", 1, digest_bits // 4))
 
@@ -60,6 +61,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
         F.when(F.col("group_size").isNull(), F.lit(True)).otherwise(F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
         "text_sha256",
+        *own,
     )
 
 

@@ -60,7 +60,7 @@ def signatures(values: np.ndarray, offsets: np.ndarray, size: int) -> np.ndarray
     return out
 
 
-def _sign(width: int, bands: int, rows: int):
+def _sign(width: int, bands: int, rows: int, carry: str | None = None):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id")
@@ -84,8 +84,10 @@ def _sign(width: int, bands: int, rows: int):
                 lengths = np.zeros(len(n) + 1, np.int32)
                 lengths[1:][full] = bands
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum(lengths, dtype=np.int32)), signed(bucket.T.ravel()))
+                own = [batch.column(carry).slice(a, b - a)] if carry else []
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a), pa.array(n), signed(keys[0]), signed(keys[1]), lists], ["doc_id", "n_shingles", "k1", "k2", "bands"]
+                    [ids.slice(a, b - a), pa.array(n), signed(keys[0]), signed(keys[1]), lists, *own],
+                    ["doc_id", "n_shingles", "k1", "k2", "bands", *([carry] if carry else [])],
                 )
 
     return emit
@@ -174,17 +176,20 @@ def _compare(percent: int, least: int):
 
 
 def near_dedup(
-    docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 40, rows: int = 5, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
+    docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 40, rows: int = 5, id_col: str = "doc_id", text_col: str = "text",
+    carry: str | None = None,
+) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (the smallest id reachable over links), kept (doc_id is component_id).
 
     A document's set: its distinct runs of `width` words (A-Z lower-cased); with fewer words, the whole sequence as one. Two documents are linked if 100 *
     intersection size >= percent * union size. Null text and text without words: empty set, linked with nothing. A null id: linked with nothing,
     component_id null, kept true. Ids are integers; rows that repeat an id are judged by their own texts and share a decision if these are
-    equal. Other columns are ignored.
+    equal. Other columns are ignored, but the one named carry is passed along.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed_docs = settle(docs.mapInArrow(_sign(width, bands, rows), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"))
+    own = [carry] if carry else []
+    carried = f", {carry} {docs.schema[carry].dataType.simpleString()}" if carry else ""
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *own)
+    signed_docs = settle(docs.mapInArrow(_sign(width, bands, rows, carry), f"doc_id long, n_shingles long, k1 long, k2 long, bands array<long>{carried}"))
     some = signed_docs.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = settle(some.groupBy("k1", "k2", "n_shingles").agg(F.min(F.struct("doc_id", "bands")).alias("m")).select(
         "k1", "k2", "n_shingles", F.col("m.doc_id").alias("rep"), F.col("m.bands").alias("bands")
@@ -202,7 +207,7 @@ def near_dedup(
         .select(F.col("rep").alias("x"), (-F.col("m.c")).alias("c"))
     )
     needed = member.select(F.col("rep").alias("doc_id")).distinct()
-    sets = settle(docs.join(needed, "doc_id").mapInArrow(_sets(width), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]))
+    sets = settle(docs.select("doc_id", "text").join(needed, "doc_id").mapInArrow(_sets(width), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]))
 
     one = sets.select(F.col("doc_id").alias("x"), F.col("shingles").alias("sx"))
     two = sets.select(F.col("doc_id").alias("c"), F.col("shingles").alias("sc"))
@@ -253,9 +258,9 @@ def near_dedup(
         .select("k1", "k2", "n_shingles", F.coalesce("r2", "r1").alias("component_id"))
     )
     return (
-        signed_docs.select("doc_id", "n_shingles", "k1", "k2")
+        signed_docs.select("doc_id", "n_shingles", "k1", "k2", *own)
         .join(roots, ["k1", "k2", "n_shingles"], "left")
-        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), *own)
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
 

@@ -225,26 +225,29 @@ def _score(shared):
 
 def score_quality(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, held: int = 0,
-    threshold: float = 0.3, fit_rows: int = 6000,
+    threshold: float = 0.3, fit_rows: int = 6000, carry: str | None = None,
 ) -> DataFrame:
     """Per row of docs: doc_id, held_out (crc32 of the id as text modulo folds is held), score (0 to 1, higher: label 1 likelier), predicted (1 if score >= threshold).
 
     Only labels of rows that aren't held out are learned; an id with several labels has its smallest. Null labels are ignored. Null text counts as empty and gets the
-    score of a text without n-grams. Repeated rows count one by one. Without any labelled row the score is 0.5. Other columns are ignored.
+    score of a text without n-grams. Repeated rows count one by one. Without any labelled row the score is 0.5. Other columns are ignored, but
+    the one named carry is passed along.
     """
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    own = [F.col(carry)] if carry else []
+    carried = f"{carry} {docs.schema[carry].dataType.simpleString()}, " if carry else ""
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *own)
     learned = (
         labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label"))
         .where((crc_mod("doc_id", folds) != held) & F.col("label").isin(0, 1))
         .groupBy("doc_id")
         .agg(F.min("label").alias("label"))
     )
-    model = train(docs, learned, fit_rows)
+    model = train(docs.select("doc_id", "text"), learned, fit_rows)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return (
-        docs.mapInArrow(_score(shared), f"doc_id {id_type}, score double")
-        .select("doc_id", (crc_mod("doc_id", folds) == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+        docs.mapInArrow(_score(shared), f"doc_id {id_type}, {carried}score double")
+        .select("doc_id", (crc_mod("doc_id", folds) == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *own)
     )
 
 
