@@ -163,6 +163,21 @@ def test_near_dedup_joins_chains(spark):
     assert got == want and len({c for _, c in want.values()}) == 1
 
 
+@pytest.mark.parametrize("shared,links", [((3,), 1), ((3, 5), 1), ((5,), 0), ((), 0)])
+def test_blocks_compare_every_pair_that_shares_a_bucket(shared, links):
+    """One common bucket is enough; a pair with several is compared in the first one only."""
+    import pyarrow as pa
+
+    own, other = list(range(8)), [k if k in shared else 100 + k for k in range(8)]
+    batch = pa.RecordBatch.from_pydict(
+        {
+            "bucket": pa.array([3, 3]), "mb": pa.array([0, 0], pa.int32()), "qb": pa.array([0, 0], pa.int32()), "asks": np.array([True, False]), "outer": np.array([True, False]),
+            "band": pa.array([3, 3], pa.int32()), "rep": pa.array([1, 2]), "root": pa.array([1, 2]), "bands": pa.array([own, other], pa.list_(pa.int64())), "shingles": pa.array([[1, 2, 3], [1, 2, 3]], pa.list_(pa.int64())),
+        }
+    )
+    assert sum(len(r) for r in near_dedup._compare(80)(iter([batch]))) == links
+
+
 def test_components(spark):
     rng = np.random.default_rng(1)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))]

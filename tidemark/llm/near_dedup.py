@@ -5,7 +5,7 @@ it on a circle of 2**32 cells, and coordinate k is the smallest value of the sec
 So two permutations make all `bands * rows` coordinates.
 
 Candidates: documents that agree in all rows of a band share a bucket. With 40 bands of 5 rows, a pair of similarity 0.8 misses every bucket with
-probability 1.3e-7 (fewer than two shared buckets: 3e-6).
+probability 1.3e-7.
 
 Links without the pairs of a group:
 
@@ -129,7 +129,7 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
-def _compare(percent: int, least: int):
+def _compare(percent: int):
     """In each block, the links of its queries (q) with members of other components."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +156,7 @@ def _compare(percent: int, least: int):
                 if not len(m):
                     continue
                 shared = bands[m] == bands[q]
-                m = m[(shared.argmax(1) == at) & (shared.sum(1) >= least)]
+                m = m[shared.any(1) & (shared.argmax(1) == at)]
                 if not len(m):
                     continue
                 own = values[begin[q] : begin[q] + size[q]]
@@ -246,7 +246,7 @@ def near_dedup(
         .join(facts, "rep")
         .repartition("bucket", "mb", "qb")
         .sortWithinPartitions("bucket", "mb", "qb")
-        .mapInArrow(_compare(percent, 2), "a long, b long")
+        .mapInArrow(_compare(percent), "a long, b long")
     )
     second = components(found)
 
