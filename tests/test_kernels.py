@@ -146,3 +146,41 @@ def test_pairs_of_all_tracks(spark, tmp_path):
     want = {(a % 4, a, b) for a in fact for b in fact if a < b and a % 4 == b % 4 and fact[a][0] != fact[b][0] and fact[a][1] != fact[b][1]}
     got = [tuple(r) for r in core.queries()["OP-JOIN-XPAIR"](spark, str(tmp_path)).collect()]
     assert len(got) == len(want) and set(got) == want and max(b for _, _, b in want) > 50
+
+
+def places(spark, folder):
+    """Customers of two nations, most with keys that a modulo filter from 3,000 on would drop."""
+    rng = np.random.default_rng(4)
+    rows = [(3001 + k, k % 2, float(rng.uniform(-1000, 9999))) for k in range(400)]
+    spark.createDataFrame(rows, "c_custkey long, c_nationkey int, c_acctbal double").write.parquet(f"{folder}/customer.parquet")
+    return {c: np.array([(b / 1000, k % 20, b / 2000 + k % 7 / 5) for k, n, b in rows if n == c]).T for c in (0, 1)}
+
+
+def test_kriging_takes_all_places(spark, tmp_path):
+    from tidemark import queries as core
+
+    own = places(spark, tmp_path)
+    got = {(r["cell"], r["gx"], r["gy"]): (r["v"], r["e"]) for r in core.queries()["OP-INT-KRIG"](spark, str(tmp_path)).collect()}
+    assert len(got) == 50
+    for c in (0, 1):
+        gx, gy = np.array([k[1:] for k in got if k[0] == c]).T
+        v, e = fits.kriging(*own[c], gx, gy, 3.0)
+        assert np.allclose([got[c, x, y] for x, y in zip(gx, gy)], np.stack([v, e], 1), atol=2e-6)
+
+
+def test_collocation_per_node(spark, tmp_path):
+    from tidemark import queries as core
+
+    own = places(spark, tmp_path)
+    far = np.arange(0, 30, 0.5)
+    few = 0
+    rows = core.queries()["OP-LSC-MAIN"](spark, str(tmp_path)).collect()
+    assert len(rows) == 50
+    for r in rows:
+        x, y, v = own[r["cell"]]
+        at = np.hypot(x - r["gx"], y - r["gy"])
+        x, y, v, at = (a[at <= 4.0] for a in (x, y, v, at))
+        few += len(v) < 30
+        want = fits.collocation(np.hypot(x[:, None] - x, y[:, None] - y), at, v - v.mean(), np.full(len(v), 0.3), far, 4 * np.exp(-((far / 4) ** 2))) if len(v) >= 30 else (0, 0)
+        assert np.allclose((r["signal"], r["error"]), want, atol=2e-6)
+    assert 0 < few < 50

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
-def per_series(df: DataFrame, key: str, order: list[str], kernel: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+def per_series(df: DataFrame, key: str | list[str], order: list[str], kernel: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """Applies a kernel to each group of key, its rows in order."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -175,6 +175,48 @@ def kriging(x: np.ndarray, y: np.ndarray, v: np.ndarray, gx: np.ndarray, gy: np.
     return v.mean() + w.T @ np.linalg.solve(low, v - v.mean()), np.sqrt(np.maximum(var * (1 + nugget - (w**2).sum(0)), 0))
 
 
+def kriging_features(lows: tuple[float, float], highs: tuple[float, float], length: float, least: float = 1e-14) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """The function from places in a box to (places, m) features whose products are kriging's covariance.
+
+    exp(-(a - b)**2 / 2) is the sum over k of f_k(a) f_k(b) with f_k(a) = exp(-a**2 / 2) a**k / sqrt(k!); products of two such, one a direction, that nowhere in the box reach `least` are
+    under the rounding of the others. m depends on the box's sides over the length and not on the number of places.
+    """
+    mid = [(a + b) / 2 for a, b in zip(lows, highs, strict=True)]
+    most = []
+    for a, b in zip(lows, highs, strict=True):
+        half, bound, k = (b - a) / 2 / length, [], 0
+        while k <= half**2 or bound[-1] >= least:
+            u = min(half, k**0.5)
+            bound.append((1.0 if not k else np.exp(2 * k * np.log(u) - u * u - sum(np.log(np.arange(1, k + 1)))) if u else 0.0))
+            k += 1
+        most.append(np.array(bound))
+    one, two = np.nonzero(np.outer(*most) >= least)
+
+    def line(u: np.ndarray, n: int) -> np.ndarray:
+        f = np.empty((len(u), n))
+        f[:, 0] = np.exp(-u * u / 2)
+        for k in range(1, n):
+            f[:, k] = f[:, k - 1] * u / k**0.5
+        return f
+
+    return lambda x, y: line((x - mid[0]) / length, len(most[0]))[:, one] * line((y - mid[1]) / length, len(most[1]))[:, two]
+
+
+def kriging_sums(f: np.ndarray, v: np.ndarray) -> dict[str, np.ndarray]:
+    """What kriging needs of any number of places with features f: sums, so that parts add up."""
+    return {"ff": f.T @ f, "fv": f.T @ v, "f": f.sum(0), "v": np.array([len(v), v.sum(), (v * v).sum()])}
+
+
+def kriging_of_sums(sums: dict[str, np.ndarray], g: np.ndarray, nugget: float = 0.01) -> tuple[np.ndarray, np.ndarray]:
+    """kriging's (value, error) at nodes with features g, of all places in the sums."""
+    n, total, squares = sums["v"]
+    mean = total / n
+    low = np.linalg.cholesky(sums["ff"] + nugget * np.eye(len(sums["f"])))
+    w = np.linalg.solve(low, g.T)
+    var = max(squares / n - mean**2, 1e-12)
+    return mean + w.T @ np.linalg.solve(low, sums["fv"] - mean * sums["f"]), np.sqrt(var * nugget * (1 + (w**2).sum(0)))
+
+
 def collocation(distance: np.ndarray, to_node: np.ndarray, v: np.ndarray, error: np.ndarray, table_d: np.ndarray, table_c: np.ndarray) -> tuple[float, float]:
     """(signal, error) at a node by least squares: covariances are interpolated in a table (0 beyond it); error variances add to the diagonal."""
     look = lambda d: np.interp(d, table_d, table_c, right=0.0)

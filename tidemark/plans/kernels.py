@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from ..operators import fits as K
+from ..operators import spatial as P
 from .views import series, table, tidy
 
 
@@ -44,28 +46,60 @@ def power(spark, d):
 
 
 def _places(spark, d):
-    return table(spark, d, "customer").selectExpr("c_nationkey AS cell", "c_custkey AS t", "c_acctbal / 1000 AS x", "cast(c_custkey % 20 AS double) AS y", "c_acctbal / 2000 + (c_custkey % 7) / 5 AS v").where("t % 5 = 0 OR t < 3000")
+    return table(spark, d, "customer").selectExpr("c_nationkey AS cell", "c_custkey AS t", "c_acctbal / 1000 AS x", "cast(c_custkey % 20 AS double) AS y", "c_acctbal / 2000 + (c_custkey % 7) / 5 AS v")
 
 
-def _krige(pdf: pd.DataFrame) -> pd.DataFrame:
-    gx, gy = (a.ravel() for a in np.meshgrid(np.arange(0, 10, 2.0), np.arange(0, 20, 4.0)))
-    v, e = K.kriging(*(pdf[c].to_numpy(float) for c in ("x", "y", "v")), gx, gy, 3.0)
-    return pd.DataFrame({"cell": [int(pdf["cell"].iloc[0])] * len(gx), "gx": gx, "gy": gy, "v": v, "e": e})
+_GX, _GY = (a.ravel() for a in np.meshgrid(np.arange(0, 10, 2.0), np.arange(0, 20, 4.0)))
+_PARTS = ["ff", "fv", "f", "v"]
 
 
 def krige(spark, d):
-    return tidy(K.per_series(_places(spark, d), "cell", ["t"], _krige, "cell long, gx double, gy double, v double, e double"))
+    """All places of a nation, through sums over their features: parts of a nation are summed in tasks of their own, and a system's size doesn't depend on the number of places."""
+    p = _places(spark, d).where("x IS NOT NULL AND y IS NOT NULL AND v IS NOT NULL")
+    n, *box = p.agg(F.count("x"), F.least(F.min("x"), F.lit(_GX.min())), F.least(F.min("y"), F.lit(_GY.min())), F.greatest(F.max("x"), F.lit(_GX.max())), F.greatest(F.max("y"), F.lit(_GY.max()))).first()
+    features = K.kriging_features(tuple(box[:2]), tuple(box[2:]), 3.0)
+
+    def part(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y, v = (pdf[c].to_numpy(float) for c in ("x", "y", "v"))
+        sums = None
+        for a in range(0, len(v), 4096):
+            own = K.kriging_sums(features(x[a : a + 4096], y[a : a + 4096]), v[a : a + 4096])
+            sums = own if sums is None else {k: sums[k] + own[k] for k in _PARTS}
+        return pd.DataFrame({"cell": [int(pdf["cell"].iloc[0])], "salt": [int(pdf["salt"].iloc[0])], **{k: [sums[k].tobytes()] for k in _PARTS}})
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        sums = {k: sum(np.frombuffer(raw) for raw in pdf[k]) for k in _PARTS}
+        sums["ff"] = sums["ff"].reshape(len(sums["f"]), -1)
+        v, e = K.kriging_of_sums(sums, features(_GX, _GY))
+        return pd.DataFrame({"cell": [int(pdf["cell"].iloc[0])] * len(_GX), "gx": _GX, "gy": _GY, "v": v, "e": e})
+
+    salted = p.withColumn("salt", F.pmod(F.xxhash64("t"), F.lit(min(64, 1 + n // 100_000))))
+    parts = K.per_series(salted, ["cell", "salt"], ["t"], part, "cell long, salt long, " + ", ".join(f"{k} binary" for k in _PARTS))
+    return tidy(K.per_series(parts, "cell", ["salt"], solve, "cell long, gx double, gy double, v double, e double"))
+
+
+_RADIUS, _LEAST, _MOST = 4.0, 30, 200.0  # of selection; observations; signal
 
 
 def _collocate(pdf: pd.DataFrame) -> pd.DataFrame:
     x, y, v = (pdf[c].to_numpy(float) for c in ("x", "y", "v"))
     far = np.arange(0, 30, 0.5)
-    s, e = K.collocation(np.hypot(x[:, None] - x, y[:, None] - y), np.hypot(x - 5, y - 10), v - v.mean(), np.full(len(v), 0.3), far, 4 * np.exp(-((far / 4) ** 2)))
-    return pd.DataFrame({"cell": [int(pdf["cell"].iloc[0])], "signal": [s], "error": [e]})
+    s, e = K.collocation(np.hypot(x[:, None] - x, y[:, None] - y), pdf["distance"].to_numpy(float), v - v.mean(), np.full(len(v), 0.3), far, 4 * np.exp(-((far / 4) ** 2)))
+    if abs(s) > _MOST:
+        s = e = 0.0
+    return pd.DataFrame({"cell": [int(pdf["cell"].iloc[0])], "node": [int(pdf["node"].iloc[0])], "signal": [s], "error": [e]})
 
 
 def collocate(spark, d):
-    return tidy(K.per_series(_places(spark, d), "cell", ["t"], _collocate, "cell long, signal double, error double"))
+    """Per nation and node: the signal from the nation's places within the radius; 0 with an error of 0 under the least number of places and beyond the largest signal."""
+    p = _places(spark, d)
+    nodes = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(zip(_GX, _GY, strict=True))], "node int, nx double, ny double")
+    near = P.circle_join(nodes, p, _RADIUS)
+    enough = near.groupBy("cell", "node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= _LEAST)
+    solved = K.per_series(near.join(enough.drop("n"), ["cell", "node"]), ["cell", "node"], ["t"], _collocate, "cell long, node int, signal double, error double")
+    every = p.select("cell").distinct().crossJoin(F.broadcast(nodes))
+    out = every.join(solved, ["cell", "node"], "left").select("cell", F.col("nx").alias("gx"), F.col("ny").alias("gy"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("signal", "error")])
+    return tidy(out)
 
 
 QUERIES = [
