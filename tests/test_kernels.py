@@ -184,3 +184,30 @@ def test_collocation_per_node(spark, tmp_path):
         want = fits.collocation(np.hypot(x[:, None] - x, y[:, None] - y), at, v - v.mean(), np.full(len(v), 0.3), far, 4 * np.exp(-((far / 4) ** 2))) if len(v) >= 30 else (0, 0)
         assert np.allclose((r["signal"], r["error"]), want, atol=2e-6)
     assert 0 < few < 50
+
+
+def test_lasso_chooses_its_penalty_by_folds():
+    rng = np.random.default_rng(8)
+    x = np.arange(80.0)
+    curve = 0.002 * (x - 30) ** 2
+    y = curve + rng.normal(0, 0.3, 80)
+    y[7] = np.nan
+    fit = fits.lasso_by_folds(x, y)
+    assert np.sqrt(np.mean((fit - curve) ** 2)) < 0.15
+    # on noise alone the folds leave a flatter curve than the fit with the least penalty
+    z = rng.normal(0, 1, 80)
+    assert fits.lasso_by_folds(x, z).std() < np.polyval(np.polyfit(x, z, 3), x).std()
+    # values in other units are the same fit: a fixed penalty is not
+    assert np.allclose(fits.lasso_by_folds(x, 0.001 * y), 0.001 * fit, atol=1e-5)
+    assert np.isnan(fits.lasso_by_folds(x[:2], y[:2])).all()
+
+
+def test_lasso_query_uses_the_folds(spark):
+    from tidemark import queries as core
+    from tidemark.plans.views import series as monthly
+
+    rows = sorted((r["cell"], r["t"], r["v"]) for r in monthly(spark, "/root/testdata/sf0.001").collect())
+    got = {(r["cell"], r["t"]): r["y"] for r in core.queries()["OP-FIT-LASSOCV"](spark, "/root/testdata/sf0.001").collect()}
+    cell = rows[0][0]
+    t, v = np.array([r[1:] for r in rows if r[0] == cell], float).T
+    assert np.allclose([got[cell, int(k)] for k in t], fits.lasso_by_folds(t, v), atol=2e-6)

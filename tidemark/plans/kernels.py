@@ -106,7 +106,7 @@ QUERIES = [
     ("OP-FIT-RLM", _one(K.huber_line, ["slope", "start"]), None),
     ("OP-FIT-POLY", _one(lambda t, v: K.polynomial(t, v, 3), ["c3", "c2", "c1", "c0"]), None),
     ("OP-FIT-LSTSQCV", _one(lambda t, v: (lambda r: (r[0], r[1][-1]))(K.polynomial_by_folds(t, v)), ["degree", "start"]), None),
-    ("OP-FIT-LASSOCV", _curve(lambda t, v: K.lasso_polynomial(t, v)), None),
+    ("OP-FIT-LASSOCV", _curve(lambda t, v: K.lasso_by_folds(t, v)), None),
     ("OP-FIT-HP", _curve(lambda t, v: K.trend_filter(v)), None),
     ("OP-FIT-SPLINE", _curve(lambda t, v: K.smoothing_spline(t, v, 10.0)), None),
     ("OP-WIN-SMOOTH", _curve(lambda t, v: K.smooth(v)), None),
