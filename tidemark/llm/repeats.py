@@ -7,8 +7,8 @@ and only windows whose words also start earlier are removed, so the anchors deci
 * Operator 3 (difference cover): anchors lie at positions p with p mod 13 in {0, 1, 3, 9}. Every residue modulo 13 is a difference of two members,
   so for any two starts there is an offset under 13 at which both positions are in the cover; a window of `window` words holds an
   anchor of `window - 12` words at each of these offsets.
-* Operator 7 (sparse suffix array): the suffixes that start at minimisers, the positions whose run of words hashes smallest among its
-  neighbours, are retained, sorted, and compared with their neighbours in the sorted order.
+* Operator 7: anchors lie at minimisers, the positions whose run of words hashes smallest among its neighbours. Equality of the runs' hashes, sorted and
+  compared with their neighbours, stands in for a sparse suffix array: no suffix is retained and no match is extended.
 
 Sorting is by range over (hash, document, position): a passage that a third of all documents share is split over as many partitions as its rows need.
 A row counts as repeated if the row before or after it in its partition has the same hash, or if it is the first or last row of its partition (its
