@@ -60,52 +60,95 @@ def test_exact_dedup(spark):
 # 3 and 7
 
 
+def text_hashes(df):
+    """The rows (doc_id, text, hash of the text)."""
+    return [tuple(r) for r in df.select("doc_id", "text", F.xxhash64("text")).collect()]
+
+
 def brute_repeats(rows, window):
-    seen, gone = set(), {}
-    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0])):
+    """Per document (id and text): a window is removed if its words start earlier, in the order of ids (null first), hashes of the texts, and starts."""
+    seen, out = set(), {}
+    for i, t, _ in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, r[2])):
         w = words(t)
-        own = set()
+        gone = set()
         for k in range(len(w) - window + 1):
             key = tuple(w[k : k + window])
             if key in seen:
-                own.update(range(k, k + window))
+                gone.update(range(k, k + window))
             seen.add(key)
-        gone[i] = own
-    out = {}
-    for i, t in rows:
-        w = words(t)
-        kept = [x for k, x in enumerate(w) if k not in gone[i]]
-        out[i] = (len(w), len(w) - len(kept), hashlib.sha256(" ".join(kept).encode()).hexdigest())
+        kept = [x for k, x in enumerate(w) if k not in gone]
+        out[i, t] = (len(w), len(w) - len(kept), hashlib.sha256(" ".join(kept).encode()).hexdigest())
     return out
 
 
+def shared_ids(spark):
+    """awkward, and null ids and one id with several texts, some of which repeat one another's passages."""
+    rng = np.random.default_rng(9)
+    text = lambda n: " ".join(rng.choice([f"v{i}" for i in range(40)], n))
+    p, q = text(64), text(55)
+    rows = [(None, p), (None, p), (None, text(70)), (None, text(9) + " " + p + " " + q), (3, q), (3, q + " " + text(30)), (3, p), (7, text(80))]
+    return awkward(spark).select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
+@pytest.mark.parametrize("batch", [1, 7, 10_000])
 @pytest.mark.parametrize("kind,window", [("cover", 20), ("cover", 16), ("minimiser", 50), ("minimiser", 20)])
-def test_repeats(spark, kind, window):
-    for df in (awkward(spark).dropDuplicates(["doc_id"]), documents(spark)):
-        want = brute_repeats([(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()], window)
-        got = repeats.remove_repeats(df, window, kind).collect()
-        assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got} == want
-
-
-@pytest.mark.parametrize("batch", [1, 10_000])
-@pytest.mark.parametrize("kind,window", [("cover", 20), ("minimiser", 50)])
-def test_repeated_rows_keep_their_words(spark, kind, window, batch):
-    """Rows that repeat id and text are one document, whatever batch or partition holds their windows."""
-    null_twice = [(None, " ".join(f"n{i}" for i in range(60)))] * 2
-    df = awkward(spark).select("doc_id", "text").where("doc_id IS NOT NULL").unionByName(spark.createDataFrame(null_twice, "doc_id long, text string"))
-    rows = [(r["doc_id"], r["text"]) for r in df.collect()]
-    want = brute_repeats(list(dict.fromkeys(rows)), window)
-    assert want[7][1] == 0
+def test_repeats(spark, kind, window, batch):
+    """Whatever batch or partition holds anchors and windows; rows that repeat id and text are one document, rows that share an id alone are not."""
     conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(conf)
     spark.conf.set(conf, batch)
     try:
-        got = repeats.remove_repeats(df, window, kind).collect()
+        for df in (shared_ids(spark), documents(spark)) if batch > 1 else (shared_ids(spark).where("length(text) < 3000"),):
+            rows = text_hashes(df)
+            want = brute_repeats(rows, window)
+            got = sorted(map(str, ((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in repeats.remove_repeats(df, window, kind).collect())))
+            assert got == sorted(str((i, *want[i, t])) for i, t, _ in rows)
     finally:
         spark.conf.set(conf, before)
-    assert len(got) == len(rows)
-    for r in got:
-        assert (r["n_words"], r["n_removed"], r["kept_sha256"]) == want[r["doc_id"]], r["doc_id"]
+
+
+def test_repeats_of_families(spark):
+    """Families of near copies with edits at random places, so that contexts of equal anchors differ in many ways."""
+    rng = np.random.default_rng(12)
+    rows, base = [], [f"b{i}" for i in rng.integers(0, 50, 400)]
+    for k in range(60):
+        w = list(base[int(rng.integers(0, 60)) : int(rng.integers(200, 400))])
+        for at in rng.integers(0, len(w), int(rng.integers(0, 9))):
+            w[at] = f"e{rng.integers(0, 3)}"
+        rows.append((int(rng.integers(0, 40)), " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    hashed = text_hashes(df)
+    for kind, window in (("cover", 20), ("minimiser", 50), ("minimiser", 30)):
+        want = brute_repeats(hashed, window)
+        got = sorted(str((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"])) for r in repeats.remove_repeats(df, window, kind).collect())
+        assert got == sorted(str((i, *want[i, t])) for i, t, _ in hashed)
+
+
+def test_suffixes_are_sorted_by_words_and_extended():
+    """Neighbours of the suffix array share the most words to the right; common words are counted both ways, and bound the windows that are looked at."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice([f"w{i}" for i in range(3)], 40)) for _ in range(6)]
+    marks = [list(range(0, 31)) for _ in texts]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(6)), "tk": pa.array([0] * 6), "text": texts, "marks": pa.array(marks, pa.list_(pa.int32()))})
+    (got,) = list(repeats._suffixes(20, 4)(iter([batch])))
+    where = [(d, p) for d in range(6) for p in range(31)]
+    order = sorted(range(len(where)), key=lambda k: (got.column("suffix")[k].as_py(), got.column("prefix")[k].as_py()))
+    t = got.take(pa.array(order))
+    shared = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    right = lambda k: texts[where[k][0]].split()[where[k][1] : where[k][1] + 20]
+    left = lambda k: texts[where[k][0]].split()[: where[k][1]][::-1][:16]
+    at = np.arange(1, len(order))
+    r, lf = repeats.common_words(t.column("suffix"), at, 20), repeats.common_words(t.column("prefix"), at, 16)
+    assert r.tolist() == [shared(right(order[k - 1]), right(order[k])) for k in at]
+    assert lf.tolist() == [shared(left(order[k - 1]), left(order[k])) for k in at]
+    for k in (5, 50, 150):
+        most = max(shared(right(order[k]), right(j)) for j in order if j != order[k])
+        assert max(r[k - 1], r[k]) == most
+    # 0: unknown; 1 and 2: a pair of their own; 3: alone
+    mr, ml = repeats._decide(np.array([20, 0, 18, 0, 20, 20]), np.array([16, 0, 5, 0, 16, 16]), 20, 4)
+    assert mr.tolist() == [18, 18, 20] and ml.tolist() == [5, 5, 16]
 
 
 def test_cover_has_all_differences():

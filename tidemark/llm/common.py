@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+_FOLDER = "spark.checkpoint.dir"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -17,20 +19,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a local session gets a folder of its own (tests); a cluster must name one."""
+    folder = spark.conf.get(_FOLDER, None)
+    if not folder:
+        context = spark.sparkContext
+        if context.master.split("[")[0] != "local":
+            raise ValueError(f"{_FOLDER} must name a folder that driver and executors share")
+        folder = _own_folders.get(context.applicationId) or _own_folders.setdefault(context.applicationId, "file://" + tempfile.mkdtemp(prefix="spark-"))
+    return folder.rstrip("/")
 
 
 def settle(df: DataFrame) -> DataFrame:
     """Writes df to a new Parquet folder in the shared folder and reads it back.
 
-    This cuts the lineage: a lost executor costs the tasks it ran, not the steps before the table. The shuffle files
-    of the steps before are no longer needed then; a garbage collection on the driver lets Spark's cleaner remove them.
+    This cuts the lineage: a lost executor costs the tasks it ran, not the steps before the table. The shuffle files of this write go as soon as it ends,
+    not when the driver next collects garbage.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
-    # shuffle files of this write go as soon as it ends, not when the driver next collects garbage
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
@@ -41,11 +51,16 @@ def settle(df: DataFrame) -> DataFrame:
     del df
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.settled_at = path
+    return out
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def discard(df: DataFrame) -> None:
+    """Deletes a settled table that no later step reads."""
+    spark = df.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.settled_at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def crc_mod(col: str, mod: int) -> Column:
@@ -78,7 +93,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
             .where("u <> v")
             .distinct()
         )
-        edges = settle(small)
+        old, edges = edges, settle(small)
+        discard(old)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == before:
             break

@@ -128,6 +128,19 @@ def runs(hashes: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
     return mix64((c[width:] - c[:-width]) * inverse[:n])
 
 
+def span_hashes(hashes: np.ndarray, lo: np.ndarray, hi: np.ndarray, seed: int = 0) -> np.ndarray:
+    """The hashes of the entries lo[k] .. hi[k] - 1."""
+    p, inverse = powers(len(hashes) + 1, seed)
+    c = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * p[:-1], out=c[1:])
+    return mix64((c[hi] - c[lo]) * inverse[lo])
+
+
+def counting(n: np.ndarray) -> np.ndarray:
+    """0 .. n[k] - 1 for each k, one after the other."""
+    return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+
+
 def inside(first: np.ndarray, width: int) -> np.ndarray:
     """The positions at which a run of `width` words starts and ends within one row."""
     n = int(first[-1]) - width + 1
