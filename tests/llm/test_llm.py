@@ -370,6 +370,59 @@ def test_pii_round_trip_and_formats(spark):
     assert pii.pseudonymise(df, "k2").where("doc_id = 0").first()["text"] != got[0]["text"]
 
 
+def test_pii_awkward_texts_are_restored(spark):
+    """Long runs, many labels, private-use characters, and values that fail their validation, which stay."""
+    stay = ["iban DE89370400440532013001, XX003704004405320130", "000-12-3456 666-12-3456 900-12-3456 123-00-3456 123-45-0000", "010.0.0.1 256.1.1.1 1.2.3", "4111111111111112", "2023-02-30 31.11.2020 1799-12-31"]
+    texts = [*stay, "a@b" + ".c" * 10_000 + " x@y.org", "x" * 1_000_000, "x" * 200_000 + "@host.org", "1" * 300_000, "x\ue000y 123-45-6789 \ue001", "y" * 90 + "@h.org+49 30 1234567z@host.com", "a@b..c @x.org", "key=" + "Q" * 5_000, "", None, "\n 123-45-6789", "123-45-6789 \n"]
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], "doc_id long, text string, found string, new int").repartition(8)
+    out = pii.pseudonymise(df, "k1").checkpoint() if spark.sparkContext.getCheckpointDir() else pii.pseudonymise(df, "k1").cache()
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert [got[i]["text"] for i in range(len(stay))] == stay and all(got[i]["n_changed"] == 0 for i in range(len(stay)))
+    assert {r["doc_id"]: r["text"] for r in pii.restore(out.select("doc_id", "text"), "k1").collect()} == dict(enumerate(texts))
+    assert got[9]["text"].startswith("x\ue000y ") and got[9]["text"].endswith(" \ue001") and got[9]["n_changed"] == 1
+    assert got[10]["n_found"] == 3 and got[15]["n_found"] == got[16]["n_found"] == 1
+    again = {r["doc_id"]: r["text"] for r in pii.pseudonymise(awkward(spark), "k").collect()}
+    assert again == {r["doc_id"]: r["text"] for r in awkward(spark).collect()}
+
+
+def brute_feistel(value, a, b, key, tweak, rounds=8):
+    left, right = divmod(value, b)
+    for i in range(rounds):
+        noise = lambda part: int(hashlib.sha256(f"{key}|{tweak}|{i}|{part}".encode()).hexdigest()[:13], 16)  # noqa: B023, E731
+        if i % 2 == 0:
+            left = (left + noise(right)) % a
+        else:
+            right = (right + noise(left)) % b
+    return left * b + right
+
+
+def test_pii_matches_brute_force(spark):
+    """Numbers and dates by a network of ten lines."""
+    import datetime
+
+    rng = np.random.default_rng(6)
+    areas = [x for x in range(1, 900) if x != 666]
+    start = datetime.date(1800, 1, 1)
+    rows, want = [], []
+    for i in range(60):
+        p, g, n = int(rng.integers(0, 898)), int(rng.integers(1, 100)), int(rng.integers(1, 10_000))
+        v = brute_feistel((p * 99 + g - 1) * 9999 + n - 1, 898 * 99, 9999, "k", "ssn")
+        day = int(rng.integers(0, 146_097))
+        moved = start + datetime.timedelta(days=brute_feistel(day, 189, 773, "k", "date"))
+        ip = int(rng.integers(0, 2**32))
+        jp = brute_feistel(ip, 65536, 65536, "k", "ip")
+        dotted = lambda x: ".".join(str(x >> s & 255) for s in (24, 16, 8, 0))
+        rows.append((i, f"no {areas[p]:03}-{g:02}-{n:04}, on {start + datetime.timedelta(days=day)}; {dotted(ip)}!"))
+        want.append((i, f"no {areas[v // 9999 // 99]:03}-{v // 9999 % 99 + 1:02}-{v % 9999 + 1:04}, on {moved}; {dotted(jp)}!"))
+    got = pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == want and all(r["n_found"] == 3 for r in got)
+
+
+def test_pii_restores_documents(spark):
+    out = pii.pseudonymise(documents(spark), "k")
+    assert {r["doc_id"]: r["text"] for r in pii.restore(out, "k").collect()} == {r["doc_id"]: r["text"] for r in documents(spark).collect()}
+
+
 def test_feistel_permutes(spark):
     df = spark.range(189 * 7).select(pii.feistel(F.col("id"), F.lit(189).cast("long"), F.lit(7).cast("long"), "k", F.lit("t")).alias("x"))
     assert sorted(r["x"] for r in df.collect()) == list(range(189 * 7))

@@ -1,21 +1,23 @@
 r"""Operator 4: personal data by format-preserving Feistel pseudonyms. DataFrame functions only.
 
-Numbers and dates that pass their validation (Luhn, IBAN mod 97, ranges of address bytes, calendar dates, area codes) are permuted within their format by a
-keyed Feistel network: two parts of the value, of a and b values, take turns in adding a keyed hash of the other part, which permutes a * b values for any
-a and b. Equal values get equal pseudonyms everywhere, different values different ones, and the key turns them back (`restore`). Check digits are computed anew, so
-pseudonyms pass the same validation. Mail names and secrets, which have no number format, are permuted letter by letter within their alphabets by the
-same network over their characters.
+Numbers and dates that pass their validation are permuted within the valid values of their format by a keyed Feistel network: two parts of the value, of a and b values, take turns in
+adding a keyed hash of the other part, which permutes a * b values for any a and b. Equal values get equal pseudonyms everywhere, different values different ones, and the key turns them
+back (`restore`). Check digits are computed anew, so pseudonyms pass the same validation; what fails it stays as it is. Mail names and secrets, which have no number format, are permuted
+letter by letter within their alphabets by the same network over their characters.
 
-| kind | found | permuted |
+| kind | found and validated | permuted |
 | --- | --- | --- |
-| card | 13-19 digits with or without separators, Luhn | all digits but the last, which is the new check digit |
-| iban | two letters, two digits, 10-30 letters or digits, mod 97 | digits and letters of the account, each in its class; new check digits |
-| phone | + and 8-15 digits with separators; (ddd) ddd-dddd | all digits but the country code's first |
-| ip | four bytes | 32 bits |
-| ssn | ddd-dd-dddd | nine digits |
+| card | 13-19 digits with or without separators; Luhn | all digits but the last, which is the new check digit |
+| iban | two letters, two digits, 11-30 letters or digits; check digits as the standard computes them (98 less the remainder) | digits and letters of the account, each in its class; new check digits |
+| phone | + and digits with separators, (ddd) ddd-dddd; 8-16 digits | all digits but the first |
+| ip | four bytes without leading zeros | 32 bits |
+| ssn | ddd-dd-dddd; area 001-899 but 666, group and serial not 0 | the number among the 898 * 99 * 9999 valid ones |
 | date | YYYY-MM-DD, DD.MM.YYYY, DD/MM/YYYY; a calendar date of 1800-2199 | the day among the 146,097 days of 400 years |
-| mail | name@host | letters and digits of name and of the host's first label |
+| mail | name@host, a host of two labels or more | letters and digits of name and of the host's first label |
 | secret | AKIA and 16 capitals or digits; key, token, password or secret = value | letters and digits of the value |
+
+All patterns but those of mail and secret match values of bounded length. Those two scan a run of characters once, from its start (or from the end of the value found before), without
+going back into it: time is linear in the text.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ from .common import table
 
 # Patterns of what may be personal data, in the order in which they are tried.
 PATTERNS = {
-    "mail": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "secret": r"\bAKIA[A-Z0-9]{16}\b|\b(?:api[_-]?key|key|token|password|passwd|secret)\s?[=:]\s?\"?[A-Za-z0-9+/_-]{8,}",
+    "mail": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){1,8}+",
+    "secret": r"\bAKIA[A-Z0-9]{16}\b|\b(?:api[_-]?key|key|token|password|passwd|secret)\s?[=:]\s?\"?[A-Za-z0-9+/_-]{8,}+",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![0-9])",
@@ -41,7 +43,7 @@ PATTERNS = {
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 _DAYS, _DAY_A, _DAY_B = 146_097, 189, 773  # the days of 400 years, and two factors of their number
 ROUNDS = 8
-_OPEN, _CLOSE = "", ""  # private-use marks around what was found; texts that hold them already are left to the pattern's own text
+_AREAS, _GROUPS, _SERIALS = 898, 99, 9999  # valid parts of a social security number
 
 
 def let(value: Column, use) -> Column:
@@ -193,10 +195,8 @@ def _iban(x, key, back):
         country = F.substring(plain, 1, 2)
         account = plain.substr(F.lit(5), F.length(plain))
         check = lambda n: F.lpad((98 - _mod97(F.concat(n, country, F.lit("00")))).cast("string"), 2, "0")
-        # country and check digits last leave 1
-        good = _mod97(F.concat(account, F.substring(plain, 1, 4))) == 1
         whole = let(_shift(account, key, "iban", back), lambda n: F.concat(country, check(n), n))
-        return F.when(good, _refill(x, whole, "[A-Z0-9]")).otherwise(_shift(x, key, "account", back))
+        return F.when(check(account) == F.substring(plain, 3, 2), _refill(x, whole, "[A-Z0-9]"))
 
     return let(F.replace(x, F.lit(" "), F.lit("")), new)
 
@@ -204,10 +204,10 @@ def _iban(x, key, back):
 def _ip(x, key, back):
     parts = F.split(x, r"\.")
     value = reduce(lambda a, i: a * 256 + F.coalesce(parts[i].try_cast("long"), F.lit(0)), range(4), F.lit(0).cast("long"))
+    dotted = lambda n: F.concat_ws(".", *[F.pmod(F.floor(n / F.lit(256**k)), F.lit(256)).cast("string") for k in (3, 2, 1, 0)])
     new = feistel(value, F.lit(65536).cast("long"), F.lit(65536).cast("long"), key, F.lit("ip"), back)
-    text = let(new, lambda n: F.concat_ws(".", *[F.pmod(F.floor(n / F.lit(256**k)), F.lit(256)).cast("string") for k in (3, 2, 1, 0)]))
-    good = F.forall(parts, lambda p: p.try_cast("int") <= 255)
-    return F.when(good, text)
+    # a byte over 255 or a leading zero isn't written back as it was
+    return F.when(let(value, dotted) == x, let(new, dotted))
 
 
 def _date(x, key, back):
@@ -232,7 +232,19 @@ def _phone(x, key, back):
 
 
 def _ssn(x, key, back):
-    return _refill(x, _halves(_digits(x), key, "ssn", back), "[0-9]")
+    part = lambda i, n: F.coalesce(F.substring(x, i, n).try_cast("long"), F.lit(0).cast("long"))
+    area, group, serial = part(1, 3), part(5, 2), part(8, 4)
+    good = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
+    place = area - F.when(area > 666, 2).otherwise(1)
+    value = (place * _GROUPS + group - 1) * _SERIALS + serial - 1
+
+    def written(n):
+        place = F.floor(n / F.lit(_GROUPS * _SERIALS))
+        area = place + F.when(place > 664, 2).otherwise(1)
+        return F.concat_ws("-", *[F.lpad(v.cast("string"), w, "0") for v, w in ((area, 3), (F.pmod(F.floor(n / F.lit(_SERIALS)), F.lit(_GROUPS)) + 1, 2), (F.pmod(n, F.lit(_SERIALS)) + 1, 4))])
+
+    new = feistel(value, F.lit(_AREAS * _GROUPS).cast("long"), F.lit(_SERIALS).cast("long"), key, F.lit("ssn"), back)
+    return F.when(good, let(new, written))
 
 
 def _mail(x, key, back):
@@ -260,22 +272,26 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     Null text stays null with 0 found; empty texts, ties and repeated rows are handled row by row, a null id stays null. Other columns are ignored.
     """
     t = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    # pieces: text before, found, text between, found, ...; a found value is at each odd place
-    pieces = F.when(
-        F.col("text").rlike(r"[0-9]|[=:@]"),
-        F.split(F.regexp_replace(F.translate("text", _OPEN + _CLOSE, ""), f"({_ANY})", f"{_OPEN}$1{_CLOSE}"), f"[{_OPEN}{_CLOSE}]"),
-    ).otherwise(F.array("text"))
-    t = t.withColumn("pieces", F.when(F.col("text").isNotNull(), pieces))
-    new = F.transform("pieces", lambda x, i: F.when(i % 2 == 1, pseudonym(x, key, back)).otherwise(x))
-    t = t.withColumn("new", F.when(F.size("pieces") > 1, new).otherwise(F.col("pieces")))
-    changed = F.size(F.filter(F.zip_with("pieces", "new", lambda x, y: x != y), lambda x: x))
+    some = F.col("text").rlike(r"[0-9]|[=:@]")
+    # between: one piece of text more than values are found
+    t = t.withColumn("found", F.when(some, F.regexp_extract_all("text", F.lit(_ANY), F.lit(0))))
+    t = t.withColumn("found", F.when(F.size("found") > 0, F.col("found")))
+    t = t.withColumn("new", F.when(F.col("found").isNotNull(), F.transform("found", lambda x: pseudonym(x, key, back))))
+    between = F.when(F.col("found").isNotNull(), F.split("text", _ANY))
+    whole = F.array_join(F.flatten(F.zip_with(between, "new", lambda x, y: F.array(x, y))), "")
+    changed = F.size(F.filter(F.zip_with("found", "new", lambda x, y: x != y), lambda x: x))
     return t.select(
         "doc_id",
-        F.when(F.size("pieces") > 1, F.array_join("new", "")).otherwise(F.col("text")).alias("text"),
-        F.coalesce(F.floor(F.greatest(F.size("pieces"), F.lit(1)) / 2), F.lit(0)).cast("int").alias("n_found"),
-        F.when(F.size("pieces") > 1, changed).otherwise(0).alias("n_changed"),
+        F.when(F.col("found").isNotNull(), whole).otherwise(F.col("text")).alias("text"),
+        F.when(F.col("found").isNotNull(), F.size("found")).otherwise(0).alias("n_found"),
+        F.when(F.col("found").isNotNull(), changed).otherwise(0).alias("n_changed"),
     )
 
 
+def restore(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The texts that pseudonymise was given: its output's columns, with each pseudonym turned back."""
+    return pseudonymise(docs, key, id_col, text_col, back=True)
+
+
 def op4_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(table(spark, sf_dir, "documents"), key="tidemark-key-1")
