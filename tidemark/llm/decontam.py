@@ -15,7 +15,8 @@ threshold or more. Passages are processed in batches, each step for all of them
 Every pair found is verified on the whole text: the share of the item's runs of five words that the text holds, and those of its question and its answer.
 The question ends at the first question mark, else at the first line break, else in the middle.
 
-The index is broadcast in shards of about `shard_words` words, so that its size has a bound whatever the benchmark holds; each shard reads the documents once.
+The index is broadcast in shards of about `shard_words` words, so that its size has a bound whatever the benchmark holds. Each shard reads the documents once; with several, each
+one's result is written to the shared folder and its broadcast released before the next is built, so that one is alive at a time.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import discard, settle, table
 from .words import Words, chunks, runs
 
 UNIT = 64
@@ -219,77 +220,122 @@ def overlap(text: np.ndarray, part: np.ndarray) -> float:
     return float(np.isin(own, runs(text, width)).mean())
 
 
-def _leaks(shared, threshold: float, share: float, part_share: float):
+def _found(index: Index, texts: pa.Array, threshold: float, share: float, part_share: float) -> list[tuple]:
+    """(row, item id, score, overlap, question's, answer's) of the verified leaks of a batch of texts."""
+    out = []
+    for a, _, w in chunks(pc.utf8_lower(texts.cast(pa.string())), "alnum"):
+        h = w.hashes()
+        row, unit, score = search(index, h, w.first, threshold)
+        best: dict[tuple[int, int], float] = {}
+        for r, u, s in zip(row.tolist(), unit.tolist(), score.tolist(), strict=True):
+            pair = r, int(index.unit_item[u])
+            best[pair] = max(s, best.get(pair, 0.0))
+        for (r, i), s in best.items():
+            text, item, q = h[w.first[r] : w.first[r + 1]], index.words[i], index.question[i]
+            found = overlap(text, item), overlap(text, item[:q]), overlap(text, item[q:])
+            if found[0] >= share and min(found[1:]) >= part_share:
+                out.append((r + a, index.items[i], s, *found))
+    return out
+
+
+def _leaks(shared, *limits: float):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index: Index = shared.value
         for batch in batches:
-            ids = batch.column("doc_id")
-            for a, _, w in chunks(pc.utf8_lower(batch.column("text").cast(pa.string())), "alnum"):
-                h = w.hashes()
-                row, unit, score = search(index, h, w.first, threshold)
-                best: dict[tuple[int, int], float] = {}
-                for r, u, s in zip(row.tolist(), unit.tolist(), score.tolist(), strict=True):
-                    pair = r, int(index.unit_item[u])
-                    best[pair] = max(s, best.get(pair, 0.0))
-                out = []
-                for (r, i), s in best.items():
-                    text, item, q = h[w.first[r] : w.first[r + 1]], index.words[i], index.question[i]
-                    found = overlap(text, item), overlap(text, item[:q]), overlap(text, item[q:])
-                    if found[0] >= share and min(found[1:]) >= part_share:
-                        out.append((r + a, index.items[i], s, *found))
-                if out:
-                    cols = list(zip(*out, strict=True))
-                    yield pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array(cols[0])), pa.array(cols[1], pa.int64()), *[pa.array(c, pa.float64()) for c in cols[2:]]],
-                        ["doc_id", "item_id", "score", "overlap", "question_overlap", "answer_overlap"],
-                    )
+            out = _found(shared.value, batch.column("text"), *limits)
+            if out:
+                cols = list(zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(pa.array(cols[0])), pa.array(cols[1], pa.int64()), *[pa.array(c, pa.float64()) for c in cols[2:]]],
+                    ["doc_id", "item_id", "score", "overlap", "question_overlap", "answer_overlap"],
+                )
 
     return emit
 
 
-def find_leaks(
-    docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, share: float = 0.8, part_share: float = 0.5, shard_words: int = 500_000,
-    id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-) -> DataFrame:
-    """One row per row of docs and test item that it leaks: doc_id, item_id, score (BM25 share of the best unit), overlap, question_overlap, answer_overlap.
+def _clean(shared, *limits: float):
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(len(batch), bool)
+            keep[[row for row, *_ in _found(shared.value, batch.column("text"), *limits)]] = False
+            yield batch.filter(pa.array(keep))
 
-    A leak scores threshold or more in a passage, holds `share` of the item's runs of five words and `part_share` of its question's and its answer's. Words are runs of letters, digits
-    and non-ASCII characters, lower-cased. Null and empty texts and items without words leak nothing; a null doc_id or item_id is carried along. Repeated rows count one by one, repeated
-    items too. Item ids are integers. Other columns are ignored; empty tables give no rows.
-    """
-    spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return emit
+
+
+def _indexes(benchmark: DataFrame, item_col: str, text_col: str, shard_words: int) -> Iterator[tuple[Index, bool]]:
+    """The shards of the index, one at a time, and whether there are several."""
     items = (
-        benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
+        benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text"))
         .where("text IS NOT NULL")
         .mapInArrow(_item_words, "item_id long, question int, words array<long>")
         .where(F.size("words") > 0)
     )
-    n_units = F.ceil(F.size("words") / UNIT)
-    units, words = items.agg(F.sum(n_units), F.sum(F.size("words"))).first()
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {id_type}, item_id long, score double, overlap double, question_overlap double, answer_overlap double"
+    n_units, size = F.ceil(F.size("words") / UNIT), F.size("words")
+    units, words = items.agg(F.sum(n_units), F.sum(size)).first()
     if not units:
-        return spark.createDataFrame([], schema)
+        return
     shards = -(-words // shard_words)
     items = items.withColumn("shard", F.pmod(F.xxhash64("words"), F.lit(shards)))
     # document frequencies over all units: a word's unit follows from its place
-    size = F.size("words")
     placed = items.select(F.posexplode("words").alias("p", "h"), size.alias("n"), n_units.alias("k"), F.struct("item_id", "words").alias("it"))
     frequency = (
         placed.select("h", F.xxhash64("it", F.floor(F.col("p") * F.col("k") / F.col("n"))).alias("u")).distinct().groupBy("h").agg(F.count(F.lit(1)).alias("df"))
     )
-    out = None
+    if shards > 1:
+        items, frequency = settle(items), settle(frequency)
     for shard in range(shards):
         own = items.where(F.col("shard") == shard)
         # a shard: about shard_words words and their frequencies
         rows = own.select("item_id", "question", "words").orderBy("item_id", "words").collect()
         df = {r["h"]: r["df"] for r in own.select(F.explode("words").alias("h")).distinct().join(frequency, "h").collect()}
-        index = build([r["item_id"] for r in rows], [np.array(r["words"], np.int64) for r in rows], [r["question"] for r in rows], df, units, words / units)
+        yield build([r["item_id"] for r in rows], [np.array(r["words"], np.int64) for r in rows], [r["question"] for r in rows], df, units, words / units), shards > 1
+    if shards > 1:
+        discard(items)
+        discard(frequency)
+
+
+def find_leaks(
+    docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, share: float = 0.8, part_share: float = 0.5, shard_words: int = 500_000,
+    id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+) -> DataFrame:
+    """One row per row of docs and test item that it leaks: doc_id, item_id, score (BM25 share of the best unit), overlap, question_overlap, answer_overlap.
+
+    A leak scores threshold or more in a passage, holds `share` of the item's runs of five words and `part_share` of its question's and its answer's. Words are runs of letters, digits
+    and non-ASCII characters, lower-cased. Null and empty texts and items without words leak nothing; a null doc_id or item_id is carried along. Repeated rows count one by one, repeated
+    items too. Item ids are integers. Other columns are ignored; empty tables give no rows.
+    """
+    spark = docs.sparkSession
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id long, score double, overlap double, question_overlap double, answer_overlap double"
+    out = None
+    for index, several in _indexes(benchmark, item_col, item_text_col, shard_words):
         shared = spark.sparkContext.broadcast(index)
         found = docs.mapInArrow(_leaks(shared, threshold, share, part_share), schema)
+        if several:
+            found = settle(found)
+            shared.destroy()
         out = found if out is None else out.unionByName(found)
-    return out
+    return spark.createDataFrame([], schema) if out is None else out
+
+
+def without_leaks(
+    docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, share: float = 0.8, part_share: float = 0.5, shard_words: int = 500_000,
+    text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+) -> DataFrame:
+    """The rows of docs, with all their columns, that leak no test item (see find_leaks). Each row is judged by its own text, in the task that reads it; nothing is shuffled."""
+    names = docs.columns
+    docs = docs.withColumn("text", F.col(text_col).cast("string")) if text_col != "text" or dict(docs.dtypes)["text"] != "string" else docs
+    before = None
+    for index, several in _indexes(benchmark, item_col, item_text_col, shard_words):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+        docs = docs.mapInArrow(_clean(shared, threshold, share, part_share), docs.schema)
+        if several:
+            docs = settle(docs)
+            shared.destroy()
+            if before is not None:
+                discard(before)
+            before = docs
+    return docs.select(*names)
 
 
 def op1_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
