@@ -25,7 +25,6 @@ from .words import chunks
 
 BITS = 16
 SIZE = 1 << BITS
-SLICE = 1024
 _SEEDS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0x9E3779F9)  # odd multipliers, one per alphabet and order
 
 
@@ -77,31 +76,28 @@ def feature_rows(column: pa.Array) -> Iterator[np.ndarray]:
             yield np.concatenate(own)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of this task's rows: per class and slice of the cells, the number of texts that have each cell."""
-    totals = np.zeros((2, SIZE), np.int64)
-    for batch in batches:
-        labels = batch.column("label").to_pylist()
-        for y, idx in zip(labels, feature_rows(batch.column("text")), strict=True):
-            mark = np.zeros(SIZE, bool)
-            mark[idx] = True
-            totals[y] += mark
-    for y in (0, 1):
-        if totals[y].any():
-            parts = totals[y].reshape(-1, SLICE)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([y] * len(parts), pa.int32()), pa.array(range(len(parts)), pa.int32()), pa.array(parts.tolist(), pa.list_(pa.int64()))], ["label", "slice", "counts"]
-            )
+class Distinct:
+    """The distinct cells of texts, each in time that grows with its own cells only."""
+
+    def __init__(self):
+        self.last = np.zeros(SIZE, np.int64)
 
+    def of(self, cells: np.ndarray) -> np.ndarray:
+        place = np.arange(len(cells))
+        self.last[cells] = place
+        return cells[self.last[cells] == place]
 
-def _ratio_slice(pdf):
-    import pandas as pd
 
-    out = np.zeros((2, SLICE))
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of this task's rows: per class the number of texts that have each cell."""
+    totals, distinct = np.zeros((2, SIZE), np.int64), Distinct()
+    for batch in batches:
+        for y, idx in zip(batch.column("label").to_pylist(), feature_rows(batch.column("text")), strict=True):
+            totals[y, distinct.of(idx)] += 1
     for y in (0, 1):
-        for c in pdf.loc[pdf["label"] == y, "counts"]:
-            out[y] += c
-    return pd.DataFrame({"slice": [int(pdf["slice"].iloc[0])], "zeros": [out[0].tolist()], "ones": [out[1].tolist()]})
+        cells = np.flatnonzero(totals[y])
+        if len(cells):
+            yield pa.RecordBatch.from_pydict({"label": pa.array([y] * len(cells), pa.int32()), "cell": pa.array(cells.astype(np.int32)), "n": pa.array(totals[y, cells])})
 
 
 def descend(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, size: int, cost: float = 1.0, rounds: int = 12, seed: int = 7) -> np.ndarray:
@@ -177,17 +173,10 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = 6000, smooth: floa
     spot = F.xxhash64(F.col("doc_id").cast("string"))
     # texts and labels meet by a shuffle at every size: labels grow with the corpus, so a broadcast of them has no bound
     labelled = docs.join(labels.hint("merge"), "doc_id")
-    counts = (
-        labelled.select("label", "text")
-        .mapInArrow(_count, "label int, slice int, counts array<long>")
-        .groupBy("slice")
-        .applyInPandas(_ratio_slice, "slice int, zeros array<double>, ones array<double>")
-        .collect()  # SIZE numbers per class
-    )
+    counts = labelled.select("label", "text").mapInArrow(_count, "label int, cell int, n long").groupBy("label", "cell").agg(F.sum("n").alias("n"))
     zeros, ones = np.zeros(SIZE), np.zeros(SIZE)
-    for c in counts:
-        at = slice(c["slice"] * SLICE, (c["slice"] + 1) * SLICE)
-        zeros[at], ones[at] = c["zeros"], c["ones"]
+    for r in counts.collect():  # SIZE numbers per class at most
+        (ones if r["label"] else zeros)[r["cell"]] = r["n"]
     p, n = ones + smooth, zeros + smooth
     ratio = np.log(p / p.sum()) - np.log(n / n.sum())
     # cells that no training text has say nothing
@@ -207,15 +196,13 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = 6000, smooth: floa
 
 def _score(shared):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        both = np.stack([m["weights"], m["squares"]]).astype(np.float32)
+        m, distinct = shared.value, Distinct()
         for batch in batches:
             out = np.zeros(len(batch))
             for i, idx in enumerate(feature_rows(batch.column("text"))):
-                mark = np.zeros(SIZE, np.float32)
-                mark[idx] = 1.0
-                dot, square = both @ mark
-                margin = m["bias"] + (dot / np.sqrt(square) if square > 0 else 0.0)
+                own = distinct.of(idx)
+                square = m["squares"][own].sum()
+                margin = m["bias"] + (m["weights"][own].sum() / np.sqrt(square) if square > 0 else 0.0)
                 out[i] = 1 / (1 + np.exp(-np.clip(m["a"] * margin + m["b"], -30, 30)))
             keep = [batch.column(k) for k in batch.schema.names if k != "text"]
             yield pa.RecordBatch.from_arrays([*keep, pa.array(out)], [*[k for k in batch.schema.names if k != "text"], "score"])
