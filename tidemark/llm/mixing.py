@@ -2,9 +2,10 @@
 
 Rates: every document gets the rate r = exp(lambda of its source), the smallest change from rate 1 in relative entropy of the tokens under the
 constraint that the source's sizes times its rates sum to its target. The convex dual, sum over sources of (size * exp(lambda) - target * lambda), is
-solved by Newton iterations; each is one aggregation over the documents' current tilted sizes, per source in salted groups.
+solved by Newton iterations; each is one aggregation over the documents' current tilted sizes, per source in salted groups. Every document is in one constraint, so the
+dual is separable and the iterations end at lambda = ln(target / size): the Newton steps are per source and need no joint system.
 
-Rounding: each source is dealt into blocks of about `block` documents by hash. In a block, documents are taken by descending size, and each gets the
+Rounding: each source is dealt into blocks of about `block` documents by a hash of id and text (rows that share an id, or have none, are dealt apart). In a block, documents are taken by descending size, and each gets the
 number of copies that brings the words taken so far closest to the sum of rate * size so far, so that smaller documents make up for what larger ones leave.
 A block thus ends about half its smallest document away from its share, and no task holds more than a block.
 """
@@ -51,16 +52,18 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, ca
 
 def mix(
     docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP, id_col: str = "doc_id", text_col: str = "text",
-    source_col: str = "source", salts: int = 32, block: int = 256, rounds: int = 100,
+    source_col: str = "source", salts: int = 32, block: int = 256, rounds: int = 100, carry: str | None = None,
 ) -> DataFrame:
-    """Per row of docs: doc_id, source, size, source_size, target, rate, copies, taken.
+    """Per row of docs: doc_id, source, size, source_size, target, rate, copies, taken; and the column named carry, which is passed along.
 
     size: words of the text (null: 0). taken = copies * size with copies from 0 to cap. Null is a source of its own, after the others. A source whose sizes are all 0
-    has target 0 and its documents no copies. Repeated rows count one by one (those that agree in id, source and size are interchangeable). Reruns give the same rows. Other columns are ignored.
+    has target 0 and its documents no copies. cap is a whole number (an error otherwise), since copies are. Repeated rows count one by one (those that agree in id, source and size are interchangeable). Reruns give the same rows. Other columns are ignored.
     """
+    if cap != int(cap) or cap < 1:
+        raise ValueError("documents are taken in whole copies: cap must be a whole number from 1 on")
     rows = settle(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col)).alias("size"))
-        .withColumn("spot", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col)).alias("size"), F.col(text_col).cast("string").alias("text"), *([F.col(carry)] if carry else []))
+        .withColumn("spot", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text")).drop("text")
     )
     parts = settle(
         rows.groupBy("source", F.pmod("spot", F.lit(salts)).alias("salt")).agg(F.sum("size").alias("tokens"), F.count(F.lit(1)).alias("n"))
@@ -92,19 +95,18 @@ def mix(
     plan = parts.groupBy(F.col("source").alias("ps")).agg(F.ceil(F.sum("n") / block).alias("blocks"))
     plan = plan.join(dual, plan["ps"].eqNullSafe(dual["s"])).select("ps", "blocks", "source_size", "target", rate.alias("rate"))
     blocked = rows.join(plan, rows["source"].eqNullSafe(plan["ps"])).withColumn("block", F.pmod(F.shiftright("spot", 8), F.col("blocks")))
+    own = [carry] if carry else []
     grouped = blocked.groupBy("source", "block", "source_size", "target", "rate").agg(
-        F.sort_array(F.collect_list(F.struct("size", "spot", "doc_id")), asc=False).alias("members")
+        F.sort_array(F.collect_list(F.struct("size", "spot", "doc_id", *own)), asc=False).alias("members")
     )
-    id_type = rows.schema["doc_id"].dataType.simpleString()
+    some = _COPIES.format(cap=int(cap))
     copies = F.expr(
-        f"""aggregate(members, named_struct('left', 0D, 'made', cast(array() as array<struct<doc_id:{id_type},size:bigint,copies:bigint>>)), (a, m) ->
-              named_struct(
-                'left', a.left + rate * m.size - m.size * {_COPIES.format(cap=int(cap))},
-                'made', concat(a.made, array(named_struct('doc_id', m.doc_id, 'size', m.size, 'copies', {_COPIES.format(cap=int(cap))})))),
-              a -> a.made)"""
+        f"""aggregate(members, named_struct('left', 0D, 'made', cast(array() as array<bigint>)), (a, m) ->
+              named_struct('left', a.left + rate * m.size - m.size * {some}, 'made', concat(a.made, array({some}))), a -> a.made)"""
     )
-    return grouped.select("source", "source_size", "target", "rate", F.explode(copies).alias("m")).select(
-        "m.doc_id", "source", "m.size", "source_size", "target", "rate", "m.copies", (F.col("m.copies") * F.col("m.size")).alias("taken")
+    out = grouped.withColumn("copies", copies).select("source", "source_size", "target", "rate", F.explode(F.arrays_zip("members", "copies")).alias("m"))
+    return out.select(
+        "m.members.doc_id", "source", "m.members.size", "source_size", "target", "rate", "m.copies", (F.col("m.copies") * F.col("m.members.size")).alias("taken"), *[f"m.members.{c}" for c in own]
     )
 
 
