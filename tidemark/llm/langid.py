@@ -26,6 +26,7 @@ ORDER = 3
 BATCH_BYTES = 1 << 18
 PIECE = 4096  # n-grams bound at a time
 _GAP = 32
+MOST_LANGS = 2000  # languages that may be learned; with more, an error: none is left out
 
 
 @lru_cache(maxsize=1)
@@ -171,6 +172,9 @@ def _learn(dim: int, order: int):
 def prototypes(docs: DataFrame, dim: int = DIM, order: int = ORDER) -> tuple[list[str], np.ndarray]:
     """The languages of docs (text, lang) in order, and their unit prototypes: `dim` numbers per language are all that reaches the driver."""
     sums = docs.where("lang IS NOT NULL").mapInArrow(_learn(dim, order), "lang string, i int, v double").groupBy("lang", "i").agg(F.sum("v").alias("v"))
+    known = [r["lang"] for r in docs.where("lang IS NOT NULL").select("lang").distinct().limit(MOST_LANGS + 1).collect()]
+    if len(known) > MOST_LANGS:
+        raise ValueError(f"over {MOST_LANGS} languages: prototypes are broadcast, and lang doesn't look like a language column")
     found: dict[str, np.ndarray] = {}
     for r in sums.collect():
         found.setdefault(r["lang"], np.zeros(dim))[r["i"]] = r["v"]
