@@ -13,7 +13,7 @@ Links without the pairs of a group:
 2. Every class is compared with one centre, the smallest member of a bucket with which it shares most buckets, on the full sets.
    Connected components of these links follow.
 3. Buckets whose members are all in one component are settled. In every other bucket, the members outside its largest component are the queries: each
-   is compared, on the full sets, with the members of other components, in blocks of bounded size; a query reports one link per component
+   is compared, on the full sets, with the members of other components, in blocks of bounded numbers of documents and shingles; a query reports one link per component
    that it meets. A pair is compared in the first bucket that it shares only.
 4. The components are joined along these links.
 
@@ -33,7 +33,7 @@ from .common import components, settle, table
 from .words import chunks, mix32, mix64, runs, signed
 
 _STEP = 0x9E3779B1  # cells by which the circle turns from one coordinate to the next (odd: never the same twice)
-BLOCK = 1024
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20  # documents and shingles (8 bytes each) of either side of a block, about
 
 
 def shingle_sets(words, width: int) -> list[np.ndarray]:
@@ -195,9 +195,9 @@ def near_dedup(
         "k1", "k2", "n_shingles", F.col("m.doc_id").alias("rep"), F.col("m.bands").alias("bands")
     ))
 
-    member = classes.select("rep", F.posexplode("bands").alias("band", "bucket"))
+    member = classes.select("rep", "n_shingles", F.posexplode("bands").alias("band", "bucket"))
     crowd = member.groupBy("bucket").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    member = settle(member.join(crowd, "bucket").select("bucket", "band", "rep", "centre"))
+    member = settle(member.join(crowd, "bucket").select("bucket", "band", "rep", "n_shingles", "centre"))
     best = (
         member.where("rep <> centre")
         .groupBy("rep", "centre")
@@ -216,18 +216,18 @@ def near_dedup(
     first = components(linked.where(F.col("i") * 100 >= F.col("u") * percent).select(F.col("x").alias("a"), F.col("c").alias("b")))
 
     placed = settle(
-        member.join(first, member["rep"] == first["node"], "left").select("bucket", "band", "rep", F.coalesce("root", "rep").alias("root"))
+        member.join(first, member["rep"] == first["node"], "left").select("bucket", "band", "rep", "n_shingles", F.coalesce("root", "rep").alias("root"))
     )
-    parts = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("k"))
+    parts = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("k"), F.sum("n_shingles").alias("s"))
     open_buckets = (
         parts.groupBy("bucket")
-        .agg(F.max(F.struct("k", "root")).alias("m"), F.sum("k").alias("n"), F.count(F.lit(1)).alias("roots"))
+        .agg(F.max(F.struct("k", "root", "s")).alias("m"), F.sum("k").alias("n"), F.sum("s").alias("s"), F.count(F.lit(1)).alias("roots"))
         .where("roots > 1")
         .select(
             "bucket",
             F.col("m.root").alias("largest"),
-            F.ceil(F.col("n") / BLOCK).cast("int").alias("m_blocks"),
-            F.ceil((F.col("n") - F.col("m.k")) / BLOCK).cast("int").alias("q_blocks"),
+            F.ceil(F.greatest(F.col("n") / BLOCK, F.col("s") / BLOCK_SHINGLES)).cast("int").alias("m_blocks"),
+            F.ceil(F.greatest((F.col("n") - F.col("m.k")) / BLOCK, (F.col("s") - F.col("m.s")) / BLOCK_SHINGLES)).cast("int").alias("q_blocks"),
         )
     )
     opened = settle(placed.join(open_buckets, "bucket").withColumn("outer", F.col("root") != F.col("largest")))
