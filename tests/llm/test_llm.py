@@ -54,7 +54,18 @@ def test_exact_dedup(spark):
             got = exact_dedup.exact_dedup(df, digest_bits=bits).collect()
             want = [(r["doc_id"], min([i for i in groups[norm(r["text"])] if i is not None], default=None), len(groups[norm(r["text"])]), hashlib.sha256(norm(r["text"]).encode()).hexdigest()) for r in rows]
             assert sorted(map(str, ((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in got))) == sorted(map(str, want))
-            assert all(r["kept"] == (r["doc_id"] == r["keep_id"]) for r in got)
+            assert all(r["doc_id"] == r["keep_id"] for r in got if r["kept"])
+            stay = sorted(r["text_sha256"] for r in got if r["kept"])
+            assert stay == sorted({r["text_sha256"] for r in got})
+
+
+def test_exact_dedup_keeps_one_row(spark):
+    """Of rows that repeat id and text one stays, null ids too, and a null id only where its text has no other."""
+    rows = [(5, "t"), (5, "t"), (7, "t"), (None, "t"), (None, "u"), (None, "u"), (5, "v"), (5, "w"), (None, None), (1, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for bits in (256, 4):
+        got = sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(df, digest_bits=bits).collect()), key=str)
+        assert got == sorted([(5, 5, 4, True), (5, 5, 4, False), (7, 5, 4, False), (None, 5, 4, False), (None, None, 2, True), (None, None, 2, False), (5, 5, 1, True), (5, 5, 1, True), (None, None, 1, True), (1, 1, 1, True)], key=str)
 
 
 # 3 and 7
@@ -250,6 +261,22 @@ def test_decontamination(spark):
     assert not decontam.find_leaks(empty(spark), items).collect() and not decontam.find_leaks(df, items.limit(0)).collect()
 
 
+def test_decontamination_of_awkward_rows(spark):
+    """Nulls, empty and very long texts, repeated rows and items, clashing columns; every row is judged by its own text, with one shard and with several."""
+    item = " ".join(f"q{i}" for i in range(40))
+    rows = [(None, item), (None, "clean " * 9), (5, item), (5, item), (6, "x " * 30_000 + item + " y" * 30_000), (7, item[:-40]), (8, item.upper() + "!")]
+    df = awkward(spark).unionByName(spark.createDataFrame(rows, "doc_id long, text string"), allowMissingColumns=True).withColumn("item_id", F.lit(3)).withColumn("score", F.lit("s"))
+    items = spark.createDataFrame([(1, item), (1, item), (None, item), (2, None), (3, ""), (4, "?"), (9, " ".join(f"r{i}" for i in range(300)))], "item_id long, text string").withColumn("words", F.lit(1))
+    leaky = lambda t: all(x in words((t or "").lower().replace("!", "")) for x in item.split())
+    texts = [(r["doc_id"], r["text"]) for r in df.collect()]
+    for shard_words in (500_000, 50):
+        got = sorted(((r["doc_id"], r["item_id"]) for r in decontam.find_leaks(df, items, shard_words=shard_words).collect()), key=str)
+        assert got == sorted(((i, k) for i, t in texts if leaky(t) for k in (1, 1, None)), key=str)
+        left = decontam.without_leaks(df, items, shard_words=shard_words)
+        assert left.columns == df.columns
+        assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str) == sorted(((i, t) for i, t in texts if not leaky(t)), key=str)
+
+
 def test_wand_is_exact():
     """The search finds what scoring every unit against every passage finds."""
     rng = np.random.default_rng(2)
@@ -301,6 +328,106 @@ def test_quality(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in got)
 
 
+def brute_cells(text):
+    """The distinct cells of a text, by loops over its bytes and words."""
+    seeds = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0x9E3779F9)
+    raw = (text or "").encode()
+    shapes, before = [], None
+    for w in re.findall(rb"[^\x20\x09-\x0d]+", raw):
+        kinds = [any(65 <= c <= 90 for c in w), any(97 <= c <= 122 or c >= 128 for c in w), any(48 <= c <= 57 for c in w)]
+        other = any(not (65 <= c <= 90 or 97 <= c <= 122 or c >= 128 or 48 <= c <= 57) for c in w)
+        shapes.append(sum(1 << k for k, on in enumerate([*kinds, other, len(w) == 1, w == before]) if on))
+        before = w
+    cells = set()
+    for base, values, bits in ((0, list(raw), 8), (3, shapes, 6)):
+        for k in range(3):
+            for i in range(len(values) - k):
+                x = 0
+                for v in values[i : i + k + 1]:
+                    x = (x << bits | v) & 0xFFFFFFFF
+                x = (x + base + k + 1) * seeds[base + k] & 0xFFFFFFFF
+                x = (x ^ x >> 15) * 0x2C1B3C6D & 0xFFFFFFFF
+                cells.add(x >> 16)
+    return cells
+
+
+def test_quality_matches_brute_force(spark):
+    """Ratios, the hinge-loss optimum over them, the logistic curve and every score, from features by plain loops."""
+    df, labels = documents(spark), spark.read.parquet(f"{DIR}/labels.parquet")
+    texts = {r["doc_id"]: r["text"] for r in df.collect()}
+    truth = {r["doc_id"]: r["quality"] for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5}
+    cells = {i: np.array(sorted(brute_cells(t)), int) for i, t in texts.items()}
+    ones, zeros = np.zeros(65536), np.zeros(65536)
+    for i, y in truth.items():
+        (ones if y else zeros)[cells[i]] += 1
+    p, n = ones + 1, zeros + 1
+    ratio = np.where(ones + zeros > 0, np.log(p / p.sum()) - np.log(n / n.sum()), 0)
+    learned = labels.where("pmod(crc32(cast(cast(doc_id AS string) AS binary)), 5) <> 0").selectExpr("doc_id", "quality AS label")
+    model = quality.train(df.select("doc_id", "text"), learned)
+    assert np.allclose(model["squares"], ratio**2)
+    unit = {i: ratio[c] / max(np.linalg.norm(ratio[c]), 1e-12) for i, c in cells.items()}
+    w = np.zeros(65536)
+    known = ratio != 0
+    w[known] = model["weights"][known] / ratio[known]
+    used = sorted({c for i in truth for c in cells[i]})
+    loss = lambda w, b: 0.5 * (w[used] @ w[used] + b * b) + sum(max(0, 1 - (1 if y else -1) * (w[cells[i]] @ unit[i] + b)) ** 2 for i, y in truth.items())
+    slopes = [(1 if y else -1, cells[i], unit[i], max(0, 1 - (1 if y else -1) * (w[cells[i]] @ unit[i] + model["bias"]))) for i, y in truth.items()]
+    gradient, gb = w.copy(), model["bias"]
+    gradient[[c for c in range(65536) if c not in set(used)]] = 0
+    for y, c, v, s in slopes:
+        gradient[c] -= 2 * s * y * v
+        gb -= 2 * s * y
+    assert np.abs(gradient).max() < 0.02 and abs(gb) < 0.2 and loss(w, model["bias"]) < loss(0 * w, 0.0)
+    got = {r["doc_id"]: r for r in quality.score_quality(df, labels).collect()}
+    for i, c in cells.items():
+        want = 1 / (1 + np.exp(-(model["a"] * (w[c] @ unit[i] + model["bias"]) + model["b"])))
+        assert abs(got[i]["score"] - want) < 1e-6 and got[i]["predicted"] == int(want >= 0.3)
+
+
+def test_langid_matches_brute_force(spark):
+    """Prototypes and cosines from n-grams bound one by one."""
+    rows = documents(spark).select("doc_id", "text", "lang").collect()
+    letters = {}
+
+    def vector(c):
+        if c not in letters:
+            letters[c] = langid._letter(ord(c), 256).astype(int)
+        return letters[c]
+
+    grams = {}
+
+    def bundle(t):
+        s = re.sub("  +", " ", "".join(c.lower() if c.isalpha() else " " for c in f" {t} "))
+        v = np.zeros(256)
+        for k in range(len(s) - 2):
+            g = s[k : k + 3]
+            if g not in grams:
+                grams[g] = np.roll(vector(g[0]), 2) * np.roll(vector(g[1]), 1) * vector(g[2])
+            v += grams[g]
+        return v
+
+    bundles = {r["doc_id"]: bundle(r["text"] or "") for r in rows}
+    proto = {}
+    for r in rows:
+        if r["lang"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2 and re.search(r"[^\W\d_]", r["text"] or ""):
+            proto[r["lang"]] = proto.get(r["lang"], 0) + bundles[r["doc_id"]]
+    unit = lambda v: v / max(np.linalg.norm(v), 1e-9)
+    got = {r["doc_id"]: r for r in langid.identify_languages(documents(spark), dim=256).collect()}
+    for r in rows:
+        if not re.search(r"[^\W\d_]", r["text"] or ""):
+            assert (got[r["doc_id"]]["lang_pred"], got[r["doc_id"]]["score"]) == ("und", 0)
+            continue
+        near = {k: unit(bundles[r["doc_id"]]) @ unit(p) for k, p in proto.items()}
+        best = max(sorted(near), key=near.get)
+        assert got[r["doc_id"]]["lang_pred"] == best and abs(got[r["doc_id"]]["score"] - np.clip(near[best], 0, 1)) < 1e-4
+
+
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGS", 1)
+    with pytest.raises(ValueError):
+        langid.identify_languages(documents(spark))
+
+
 def test_dual_descent_minimises_the_primal():
     rng = np.random.default_rng(0)
     rows = [np.sort(rng.choice(30, 8, False)) for _ in range(80)]
@@ -463,6 +590,15 @@ def test_mixing(spark):
         assert sorted(map(str, again)) == sorted(map(str, got))
 
 
+def test_mixing_takes_whole_copies(spark):
+    with pytest.raises(ValueError):
+        mixing.mix(awkward(spark), cap=1.5)
+    got = mixing.mix(awkward(spark).withColumn("own", F.struct("doc_id", "text")), cap=3, share=2.5, carry="own").collect()
+    assert all(r["taken"] <= 3 * r["size"] for r in got) and any(r["copies"] == 3 for r in got)
+    assert sorted(str((r["doc_id"], r["own"]["text"])) for r in got) == sorted(str((r["doc_id"], r["text"])) for r in awkward(spark).collect())
+    assert all(r["own"]["doc_id"] == r["doc_id"] and r["size"] == len(words(r["own"]["text"])) for r in got)
+
+
 # 8
 
 
