@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import shared_folder, table
-from tidemark.llm.decontam import find_leaks
+from tidemark.llm.decontam import without_leaks
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.mixing import mix
 from tidemark.llm.near_dedup import near_dedup
@@ -42,7 +42,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, keeps the rows with the smallest id. A null id stays only if no row of its text has an id; rows that repeat id and text stay or go together."""
+    """Of equal texts, keeps one row: the one with the smallest id, or one of several with it. A null id stays only if no row of its text has an id."""
     return exact_dedup(_rows(docs), carry="row").where("kept").select("row.*")
 
 
@@ -54,13 +54,12 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the rows that leak a test item, each by its own text; other rows of its id, null or not, stay."""
-    keyed = _keyed(docs)
-    return _drop(keyed, find_leaks(keyed, table(spark, sf_dir, "benchmark"), id_col="key").select(F.col("doc_id").alias("key")))
+    return without_leaks(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document: copies, and the words that they hold."""
-    return mix(docs).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+    """The documents with what the mix takes of each: copies, and the words that they hold."""
+    return mix(_rows(docs), carry="row").select("row.*", "size", "source_size", "target", "copies", "taken")
 
 
 STAGES = [("quality", quality), ("exact_dedup", exact), ("near_dedup", near), ("decontamination", decontaminate), ("mixing", mixed)]
