@@ -629,26 +629,71 @@ def test_empty_tables(spark):
     assert not pii.pseudonymise(e, "k").collect()
 
 
+def brute_exact(rows):
+    """Of equal texts the first row with the smallest id (null last)."""
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    best = {}
+    for i, t in rows:
+        k = norm(t)
+        if k not in best or (i is not None and (best[k][0] is None or i < best[k][0])):
+            best[k] = (i, t)
+    return list(best.values())
+
+
+def brute_leaks(rows, items):
+    token = lambda t: re.findall(r"(?:[A-Za-z0-9]|[^\x00-\x7f])+", (t or "").lower())
+    grams = lambda w: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    bench = [g for g in (grams(token(t)) for t in items) if g]
+    return [(i, t) for i, t in rows if any(len(grams(token(t)) & g) >= 0.8 * len(g) for g in bench)]
+
+
 def test_pipeline_matches_brute_force(spark):
+    """All stages by plain loops; the classifier's scores by plain loops too, from its fitted weights (test_quality_matches_brute_force holds these)."""
     import corpus_pipeline
 
-    df = documents(spark)
-    rows = {r["doc_id"]: (r["text"], r["source"]) for r in df.collect()}
-    rejected = {r["doc_id"] for r in quality.score_quality(df, spark.read.parquet(f"{DIR}/labels.parquet")).where("predicted = 0").collect()}
-    left = {i: t for i, t in rows.items() if i not in rejected}
-    seen, kept = set(), {}
-    for i in sorted(left):
-        key = re.sub(r"[\x20\x09-\x0D]+", " ", left[i][0] or "")
-        if key not in seen:
-            kept[i] = left[i]
-        seen.add(key)
-    comp = brute_components([(i, t) for i, (t, _) in kept.items()], 5, 80)
-    kept = {i: t for i, t in kept.items() if comp[i][1] == i}
-    leaks = {r["doc_id"] for r in decontam.find_leaks(df, spark.read.parquet(f"{DIR}/benchmark.parquet")).collect()}
-    kept = {i: t for i, t in kept.items() if i not in leaks}
+    df, labels = documents(spark), spark.read.parquet(f"{DIR}/labels.parquet")
+    source = {r["doc_id"]: r["source"] for r in df.collect()}
+    texts = {r["doc_id"]: r["text"] for r in df.collect()}
+    learned = labels.where("pmod(crc32(cast(cast(doc_id AS string) AS binary)), 5) <> 0").selectExpr("doc_id", "quality AS label")
+    m = quality.train(df.select("doc_id", "text"), learned)
+
+    def good(t):
+        c = np.array(sorted(brute_cells(t)), int)
+        square = m["squares"][c].sum()
+        margin = m["bias"] + (m["weights"][c].sum() / np.sqrt(square) if square else 0)
+        return 1 / (1 + np.exp(-(m["a"] * margin + m["b"]))) >= 0.3
+
+    rows = brute_exact([(i, t) for i, t in sorted(texts.items()) if good(t)])
+    comp = brute_components(rows, 5, 80)
+    rows = [(i, t) for i, t in rows if comp[i][1] == i]
+    leaks = brute_leaks(rows, [r["text"] for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()])
+    want = [r for r in rows if r not in leaks]
+    assert len(texts) > len(rows) > len(want)
     got = corpus_pipeline.run(spark, DIR).collect()
-    assert {r["doc_id"] for r in got} == set(kept)
-    assert all(r["size"] == len(words(rows[r["doc_id"]][0])) for r in got)
+    assert sorted((r["doc_id"], r["text"]) for r in got) == sorted(want)
+    assert all(r["source"] == source[r["doc_id"]] and r["size"] == len(words(r["text"])) and r["taken"] == r["copies"] * r["size"] for r in got)
+    total, taken = {}, {}
+    for r in got:
+        total[r["source"]], taken[r["source"]] = r["target"], taken.get(r["source"], 0) + r["taken"]
+    assert all(abs(taken[s] - total[s]) <= max(0.05 * total[s], 50) for s in total)
+
+
+def test_pipeline_of_awkward_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(17)], "doc_id long, quality int, toxic int")
+    for name, df in (("some", awkward(spark)), ("none", empty(spark))):
+        df.select(*pipeline.COLUMNS).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        spark.createDataFrame([(1, "a b a b a b a b")], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    assert not pipeline.run(spark, f"{tmp_path}/none").collect()
+    rows = [(r["doc_id"], r["text"]) for r in awkward(spark).collect()]
+    kept = brute_exact(rows)
+    comp = brute_components([r for r in kept if r[0] is not None], 5, 80)
+    kept = [(i, t) for i, t in kept if i is None or comp[i][1] == i]
+    leaks = brute_leaks(kept, ["a b a b a b a b"])
+    got = sorted(((r["doc_id"], r["text"]) for r in pipeline.run(spark, f"{tmp_path}/some").collect()), key=str)
+    assert leaks and got == sorted((r for r in kept if r not in leaks), key=str)
 
 
 def test_stages_decide_row_by_row(spark, tmp_path):
@@ -668,12 +713,8 @@ def test_stages_decide_row_by_row(spark, tmp_path):
     leaks = {item}
     assert run(pipeline.decontaminate) == sorted((r for r in rows if r[1] not in leaks), key=str)
 
-    norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
-    least = {}
-    for i, t in rows:
-        least[norm(t)] = min((x for x in (i, least.get(norm(t))) if x is not None), default=None)
     kept = run(pipeline.exact)
-    assert kept == sorted((r for r in rows if r[0] == least[norm(r[1])]), key=str) and (None, clean) in kept and (None, "one") not in kept
+    assert [r[0] for r in kept] == [r[0] for r in sorted(brute_exact(rows), key=str)] and (None, clean) in kept and (None, "one") not in kept
 
     kept = run(pipeline.near)
     assert {r for r in rows if r[0] is None} <= set(kept) and (5, item) in kept and (5, clean + " five") in kept
