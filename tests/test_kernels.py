@@ -118,10 +118,14 @@ def test_crossovers_of_all_tracks(spark, tmp_path):
     from tidemark import queries as core
 
     rows = many_tracks(spark, tmp_path)
-    parts = {0: [], 1: []}
-    for a, b in zip(rows, rows[1:]):
-        if a[2] == b[2]:
-            parts[a[2] % 2].append((a[2], a[0] % 97, b[0] % 97, a[4] * 1.0371, b[4] * 1.0371))
+    parts, at = {0: [], 1: []}, {}
+    placed = []
+    for k, _, u, _, v in rows:
+        i = at[u] = at.get(u, -1) + 1
+        placed.append((u, u // 2 + (i * 0.0513 if u % 2 == 0 else 3 - i * 0.0471) + v * 0.0037, i * 1.0371 + v * 0.0213))
+    for a, b in zip(placed, placed[1:]):
+        if a[0] == b[0]:
+            parts[a[0] % 2].append((a[0], a[1], b[1], a[2], b[2]))
     want = {}
     for i, ax, bx, ay, by in parts[0]:
         for j, cx, dx, cy, dy in parts[1]:

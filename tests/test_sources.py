@@ -9,7 +9,7 @@ from tidemark.streaming import tracks as S
 
 LAYOUT = R.Layout(
     32, "IH", "ID", {"orbit": (4, ">i4", 1), "mjd": (8, ">i4", 1), "sec": (12, ">i4", 1)},
-    {"dsec": (4, ">i4", 1e6), "lat": (8, ">i4", 1e6), "lon": (12, ">i4", 1e6), "surf": (16, ">i4", 1e2), "otide": (20, ">i2", 1e3), "iono": (22, ">i2", 1), "status": (24, ">u2", 1)},
+    {"dsec": (4, ">i4", 1e6), "lat": (8, ">i4", 1e6), "lon": (12, ">i4", 1e6), "surf": (16, ">i4", 1e2), "surf_raw": (16, ">i4", 1), "otide": (20, ">i2", 1e3), "iono": (22, ">i2", 1), "status": (24, ">u2", 1)},
 )
 
 
@@ -22,7 +22,7 @@ def data(dsec, lat, lon, surf, tide, iono, status):
 
 
 def test_records(spark, tmp_path):
-    body = data(0, 1, 1, 1, 1, 1, 0) + head(7, 46066, 60) + data(500000, -70_000000, -10_000000, 12345, 250, 5, 0b100000) + data(0, 0, 0, -999900, 0, 5, 0) + head(8, 46067, 0) + data(0, -71_000000, 5_000000, 100, 0, 32767, 0) + data(1, -72_000000, 5_000000, 100, 0, 1, 1 << 13 | 2)
+    body = data(0, 1, 1, 1, 1, 1, 0) + head(7, 46066, 60) + data(500000, -70_000000, -10_000000, 12345, 250, 5, 0b100000) + data(0, 0, 0, -9999, 0, 5, 0) + head(8, 46067, 0) + data(0, -71_000000, 5_000000, 100, 0, 32767, 0) + data(1, -72_000000, 5_000000, 100, 0, 1, 1 << 13 | 2)
     (tmp_path / "a.bin").write_bytes(body + b"xx")
     df = R.carry_header(R.read_records(spark, str(tmp_path), LAYOUT), LAYOUT)
     df = R.to_points(R.valid(df.withColumns(R.flags("status")), ["iono"]))

@@ -21,29 +21,57 @@ def bin_stats(df: DataFrame, x: str, y: str, z: str, x0: float, y0: float, dx: f
     return keyed.groupBy("ix", "iy").agg(F.median("z").alias("median"), F.avg("z").alias("mean"), F.count("z").alias("n"))
 
 
+def _on(keys: list[str], prefix: str) -> Column:
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"{prefix}{k}"))
+    return on
+
+
+def sigma_cuts(df: DataFrame, keys: list[str], value: str, k: float = 3.0, population: bool = False, rounds: int = 1, least: int = 3) -> DataFrame:
+    """(_k_ keys, cut, settled): per group the largest |value| that `rounds` passes of the sigma edit keep (null: all). Rows are summed up before they move; only groups are joined.
+
+    settled tells whether the last pass changed nothing.
+    """
+    own = [F.col(c).alias(f"_k_{c}") for c in keys]
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    cuts = None
+    for _ in range(rounds):
+        # rows beyond the cut stay as nulls, so that an emptied group keeps its place and its cut
+        joined = rows.withColumn("cut", F.lit(None).cast("double")) if cuts is None else rows.join(cuts, _on(keys, "_k_"))
+        left = F.when(F.col("cut").isNull() | (F.abs("_v") <= F.col("cut")), F.col("_v"))
+        sd = F.stddev_pop("_l") if population else F.stddev_samp("_l")
+        sums = joined.withColumn("_l", left).groupBy(*keys).agg(F.first("cut").alias("_b"), F.count("_l").alias("_n"), sd.alias("_s"), F.max(F.abs("_l")).alias("_m"))
+        cut = F.when(F.col("_n") < least, F.col("_b")).otherwise(F.least(F.col("_b"), k * F.col("_s")))
+        cuts = sums.select(*own, cut.alias("cut"), F.coalesce(F.col("_m") <= cut, F.lit(True)).alias("settled"))
+    return cuts
+
+
 def edit_sigma(df: DataFrame, keys: list[str], value: str, k: float = 3.0, flag: str = "ok", population: bool = False) -> DataFrame:
     """Adds `flag`: whether |value| is at most k standard deviations of its group. The cut is about zero; groups of one or two values keep all."""
-    w = Window.partitionBy(*keys)
-    sd = (F.stddev_pop if population else F.stddev_samp)(value).over(w)
-    n = F.count(value).over(w)
-    return df.withColumn(flag, F.col(value).isNotNull() & ((n <= 2) | (F.abs(F.col(value)) <= k * sd)))
+    cuts = sigma_cuts(df, keys, value, k, population)
+    ok = F.col(value).isNotNull() & F.coalesce(F.abs(F.col(value)) <= F.col("cut"), F.lit(True))
+    return df.join(cuts, _on(keys, "_k_"), "left").withColumn(flag, ok).drop(*[f"_k_{c}" for c in keys], "cut", "settled")
 
 
 def edit_sigma_repeated(df: DataFrame, keys: list[str], value: str, k: float = 3.0, rounds: int = 8, flag: str = "ok") -> DataFrame:
-    """The same, again on what is left, until nothing changes or fewer than three values are left; `rounds` passes over one partitioning.
+    """The same, again on what is left, until nothing changes or fewer than three values are left; `rounds` passes, each of which sums the rows up per group.
 
     `settled` tells whether the last pass changed nothing in the group.
     """
-    w = Window.partitionBy(*keys)
-    left = F.col(value)
-    before = left
+    cuts = sigma_cuts(df, keys, value, k, rounds=rounds)
+    ok = F.col(value).isNotNull() & F.coalesce(F.abs(F.col(value)) <= F.col("cut"), F.lit(True))
+    return df.join(cuts, _on(keys, "_k_"), "left").withColumn(flag, ok).drop(*[f"_k_{c}" for c in keys], "cut")
+
+
+def _edit_dealt(df: DataFrame, keys: list[str], value: str, k: float, rounds: int) -> DataFrame:
+    """The edit as windows, for rows that are dealt by (a part of) the keys already."""
+    w, left = Window.partitionBy(*keys), F.col(value)
     for i in range(rounds):
-        name = f"_left{i}"
         n, sd = F.count(left).over(w), F.stddev_samp(left).over(w)
-        df = df.withColumn(name, F.when((n < 3) | (F.abs(left) <= k * sd), left))
-        before, left = left, F.col(name)
-    df = df.withColumn(flag, left.isNotNull()).withColumn("settled", F.count(left).over(w) == F.count(before).over(w))
-    return df.drop(*[f"_left{i}" for i in range(rounds)])
+        df = df.withColumn(f"_left{i}", F.when((n < 3) | (F.abs(left) <= k * sd), left))
+        left = F.col(f"_left{i}")
+    return df.withColumn("ok", left.isNotNull()).drop(*[f"_left{i}" for i in range(rounds)])
 
 
 def _spread(value: Column, cls: Column) -> Column:
@@ -110,7 +138,7 @@ def cell_change(
     ).where((F.abs("dh") <= most) & F.col("cls").isNotNull() & F.col("ix").isNotNull() & F.col("iy").isNotNull())
     # dealt by the cell, so that the windows over (cell, class) and over the cell need no other exchange
     p = p.repartition(*cell)
-    p = edit_sigma(p, [*cell, "cls"], "dh", k) if rounds == 1 else edit_sigma_repeated(p, [*cell, "cls"], "dh", k, rounds)
+    p = _edit_dealt(p, [*cell, "cls"], "dh", k, rounds)
     p = p.withColumn("any_ok", F.max("ok").over(Window.partitionBy(*cell))).where("ok OR NOT any_ok")
     ad, da = F.col("cls") == "ad", F.col("cls") == "da"
     aggs = []

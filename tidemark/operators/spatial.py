@@ -69,36 +69,66 @@ def circle_join(nodes: DataFrame, points: DataFrame, radius: float) -> DataFrame
     return j.where(F.col("distance") <= radius)
 
 
+def nearest_node(points: DataFrame, nodes: DataFrame, reach: float) -> DataFrame:
+    """Adds to each point (id, x, y) the nearest node (node, nx, ny) within `reach` and its distance; points without one go. Candidates are reduced per point before they move far: a minimum has a partial step."""
+    near = circle_join(nodes, points.select("id", "x", "y"), reach)
+    best = near.groupBy("id").agg(F.min(F.struct("distance", "node")).alias("b")).select(F.col("id").alias("_id"), "b.node", "b.distance")
+    return points.join(best, F.col("id") == F.col("_id")).drop("_id")
+
+
 def square_join(nodes: DataFrame, points: DataFrame, side: float) -> DataFrame:
     """Pairs of a node and a point at most side / 2 away in x and in y."""
     half = side / 2
     return circle_join(nodes, points, half * 2**0.5).where((F.abs(F.col("nx") - F.col("x")) <= half) & (F.abs(F.col("ny") - F.col("y")) <= half))
 
 
+def pairs_within(points: DataFrame, reach: float) -> DataFrame:
+    """Every unordered pair of points (id, x, y, v) at most `reach` apart, once, and each point with itself: a_id, b_id, a_v, b_v, distance.
+
+    A point asks its own tile and the four neighbouring tiles of one half plane; the order of a pair in one tile is part of the join.
+    """
+    half = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 0), (1, -1), (1, 0), (1, 1), (0, 1))])
+    tile = lambda c: F.floor(F.col(c) / reach)
+    a = points.select(*[F.col(c).alias(f"a_{c}") for c in ("id", "x", "y", "v")]).withColumn("_o", F.explode(half))
+    a = a.withColumn("_tx", tile("a_x") + F.col("_o.i")).withColumn("_ty", tile("a_y") + F.col("_o.j"))
+    b = points.select(*[F.col(c).alias(f"b_{c}") for c in ("id", "x", "y", "v")]).withColumn("_ux", tile("b_x")).withColumn("_uy", tile("b_y"))
+    other = (F.col("_o.i") != 0) | (F.col("_o.j") != 0)
+    j = a.join(b, (F.col("_tx") == F.col("_ux")) & (F.col("_ty") == F.col("_uy")) & (other | (F.col("a_id") <= F.col("b_id"))))
+    j = j.withColumn("distance", F.hypot(F.col("a_x") - F.col("b_x"), F.col("a_y") - F.col("b_y")))
+    return j.where(F.col("distance") <= reach).select("a_id", "b_id", "a_v", "b_v", "distance")
+
+
 def covariance(points: DataFrame, width: float, classes: int) -> DataFrame:
     """Empirical covariance: the mean product of values of all pairs (self pairs too) per distance class 0 .. classes - 1, and their number; class k holds distances from (k - 1/2) * width on.
 
     points: id, x, y, v. Pairs come from tiles as wide as the largest distance, so that only neighbouring tiles meet.
     """
-    reach = (classes - 0.5) * width
-    a = points.select(F.col("id").alias("node"), F.col("x").alias("nx"), F.col("y").alias("ny"), F.col("v").alias("nv"))
-    pairs = circle_join(a, points.select("id", "x", "y", "v"), reach).where("node <= id").withColumn("class", F.floor(F.col("distance") / width + 0.5).cast("int"))
-    found = pairs.where(F.col("class") < classes).groupBy("class").agg(F.avg(F.col("nv") * F.col("v")).alias("cov"), F.count(F.lit(1)).alias("n"))
+    pairs = pairs_within(points, (classes - 0.5) * width).withColumn("class", F.floor(F.col("distance") / width + 0.5).cast("int"))
+    found = pairs.where(F.col("class") < classes).groupBy("class").agg(F.avg(F.col("a_v") * F.col("b_v")).alias("cov"), F.count(F.lit(1)).alias("n"))
     every = points.sparkSession.range(classes).select(F.col("id").cast("int").alias("class"))
     return every.join(found, "class", "left").select("class", F.coalesce("cov", F.lit(0.0)).alias("cov"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def bilinear(points: DataFrame, grid: DataFrame, x: str, y: str, least: float = 0.5) -> DataFrame:
-    """Adds value: the bilinear mean of the grid's (ix, iy, v) four neighbours of (x, y) in grid units, over those that have values; null if their weights sum to less than `least`."""
-    four = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)])
-    p = points.withColumn("_id", F.struct(*points.columns)).withColumn("_k", F.explode(four))
+    """Adds value: the bilinear mean of the grid's (ix, iy, v) four neighbours of (x, y) in grid units, over those that have values; null if their weights sum to less than `least`.
+
+    The grid is gathered into blocks of four corners; each point then looks one block up, so that equal points stay apart.
+    """
+    corner = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)])
+    g = grid.where("v IS NOT NULL").withColumn("_k", F.explode(corner)).select((F.col("ix") - F.col("_k.a")).cast("long").alias("_bx"), (F.col("iy") - F.col("_k.b")).cast("long").alias("_by"), "_k", "v")
+    value = lambda a, b: F.max(F.when((F.col("_k.a") == a) & (F.col("_k.b") == b), F.col("v"))).alias(f"_v{a}{b}")
+    g = g.groupBy("_bx", "_by").agg(*[value(a, b) for a in (0, 1) for b in (0, 1)])
+    p = points.withColumn("_px", F.floor(x).cast("long")).withColumn("_py", F.floor(y).cast("long"))
+    j = p.join(g, (F.col("_px") == F.col("_bx")) & (F.col("_py") == F.col("_by")), "left")
     fx, fy = F.col(x) - F.floor(x), F.col(y) - F.floor(y)
-    p = p.withColumn("ix", (F.floor(x) + F.col("_k.a")).cast("int")).withColumn("iy", (F.floor(y) + F.col("_k.b")).cast("int"))
-    p = p.withColumn("_w", F.when(F.col("_k.a") == 1, fx).otherwise(1 - fx) * F.when(F.col("_k.b") == 1, fy).otherwise(1 - fy))
-    j = p.join(grid.select("ix", "iy", "v").where("v IS NOT NULL"), ["ix", "iy"], "left").groupBy("_id").agg(
-        F.sum(F.when(F.col("v").isNotNull(), F.col("_w"))).alias("_s"), F.sum(F.col("_w") * F.col("v")).alias("_v")
-    )
-    return j.select("_id.*", F.when(F.col("_s") >= least, F.col("_v") / F.col("_s")).alias("value"))
+    total, mass = F.lit(0.0), F.lit(0.0)
+    for a in (0, 1):
+        for b in (0, 1):
+            w = (fx if a else 1 - fx) * (fy if b else 1 - fy)
+            v = F.col(f"_v{a}{b}")
+            total, mass = total + F.coalesce(w * v, F.lit(0.0)), mass + F.when(v.isNotNull(), w).otherwise(0.0)
+    out = F.when(mass >= least, total / mass)
+    return j.withColumn("value", out).select(*points.columns, "value")
 
 
 def gaussian(grid: DataFrame, sigma: float, truncate: float = 4.0) -> DataFrame:

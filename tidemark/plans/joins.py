@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import spatial as P
@@ -15,17 +16,28 @@ def track_pairs(spark, d):
     return T.track_pairs(t, "sector", "name", "day", "trk")
 
 
+def _passes(spark, d):
+    """Events as two families of tracks over a strip that lengthens with the number of users, so that a track crosses its neighbours only."""
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    e = table(spark, d, "events").select("user_id", "event_id", "value", (F.row_number().over(w) - 1).alias("i"))
+    return e.selectExpr(
+        "user_id AS track", "event_id", "event_id * 1.0173D AS time", "floor(user_id / 2) + if(user_id % 2 = 0, i * 0.0513D, 3 - i * 0.0471D) + value * 0.0037D AS x", "i * 1.0371D + value * 0.0213D AS y", "value * 2.0173D AS elev",
+    )
+
+
 def crossing(spark, d):
-    p = table(spark, d, "events").selectExpr("user_id AS track", "event_id", "event_id * 1.0173D AS time", "cast(event_id % 97 AS double) AS x", "value * 1.0371D AS y", "value * 2.0173D AS elev")
-    s = T.segments(p, "track", ["event_id"], ["elev"], "time", 1e9)
-    return tidy(T.crossovers(s.where("track % 2 = 0"), s.where("track % 2 = 1"), ["elev"], "time", 25.0), 4)
+    s = T.segments(_passes(spark, d), "track", ["event_id"], ["elev"], "time", 1e9)
+    return tidy(T.crossovers(s.where("track % 2 = 0"), s.where("track % 2 = 1"), ["elev"], "time", 2.0), 4)
 
 
-_CROSS = """WITH p AS (SELECT user_id AS track, event_id, event_id * 1.0173::DOUBLE AS time, (event_id % 97)::DOUBLE AS x, value * 1.0371::DOUBLE AS y, value * 2.0173::DOUBLE AS elev FROM events WHERE user_id < 24),
+_CROSS = """WITH e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events),
+p AS (SELECT user_id AS track, event_id, event_id * 1.0173::DOUBLE AS time, floor(user_id / 2) + CASE WHEN user_id % 2 = 0 THEN i * 0.0513::DOUBLE ELSE 3 - i * 0.0471::DOUBLE END + value * 0.0037::DOUBLE AS x,
+  i * 1.0371::DOUBLE + value * 0.0213::DOUBLE AS y, value * 2.0173::DOUBLE AS elev FROM e),
 s AS (SELECT track, x AS x1, lead(x) OVER w AS x2, y AS y1, lead(y) OVER w AS y2, time AS t1, lead(time) OVER w AS t2, elev AS e1, lead(elev) OVER w AS e2 FROM p WINDOW w AS (PARTITION BY track ORDER BY event_id)),
 a AS (SELECT * FROM s WHERE track % 2 = 0 AND t2 IS NOT NULL), b AS (SELECT * FROM s WHERE track % 2 = 1 AND t2 IS NOT NULL),
 j AS (SELECT a.track AS track1, b.track AS track2, a.x1, a.x2, a.y1, a.y2, a.t1, a.t2, a.e1, a.e2, b.t1 AS bt1, b.t2 AS bt2, b.e1 AS be1, b.e2 AS be2,
-  (a.x2 - a.x1) * (b.y2 - b.y1) - (a.y2 - a.y1) * (b.x2 - b.x1) AS det, (b.x1 - a.x1) * (b.y2 - b.y1) - (b.y1 - a.y1) * (b.x2 - b.x1) AS sn, (b.x1 - a.x1) * (a.y2 - a.y1) - (b.y1 - a.y1) * (a.x2 - a.x1) AS tn FROM a, b),
+  (a.x2 - a.x1) * (b.y2 - b.y1) - (a.y2 - a.y1) * (b.x2 - b.x1) AS det, (b.x1 - a.x1) * (b.y2 - b.y1) - (b.y1 - a.y1) * (b.x2 - b.x1) AS sn, (b.x1 - a.x1) * (a.y2 - a.y1) - (b.y1 - a.y1) * (a.x2 - a.x1) AS tn
+  FROM a JOIN b ON least(a.y1, a.y2) <= greatest(b.y1, b.y2) AND least(b.y1, b.y2) <= greatest(a.y1, a.y2)),
 k AS (SELECT *, sn / det AS s, tn / det AS t FROM j WHERE det <> 0)
 SELECT track1, track2, round(x1 + s * (x2 - x1), 4) + 0.0 AS x, round(y1 + s * (y2 - y1), 4) + 0.0 AS y, round(t1 + s * (t2 - t1), 4) + 0.0 AS time1, round(bt1 + t * (bt2 - bt1), 4) + 0.0 AS time2,
   round(e1 + s * (e2 - e1), 4) + 0.0 AS elev1, round(be1 + t * (be2 - be1), 4) + 0.0 AS elev2 FROM k WHERE s >= 0 AND s < 1 AND t >= 0 AND t < 1"""
@@ -90,8 +102,8 @@ def covariances(spark, d):
 
 
 def nearest_node(spark, d):
-    """The nearest node of a regular grid, by arithmetic."""
-    return tidy(_places(spark, d).selectExpr("cast(rint((x + 10) / 2.5) AS int) AS ix", "cast(rint(y / 2.5) AS int) AS iy").groupBy("ix", "iy").agg(F.count(F.lit(1)).alias("n")))
+    """The nearest of irregular nodes within 40, the smaller number of equally near ones."""
+    return tidy(P.nearest_node(_places(spark, d), _nodes(spark, d), 40.0).select("id", "node", "distance"))
 
 
 def _grid(spark, d):
@@ -133,7 +145,7 @@ def density(spark, d):
 
 
 QUERIES = [
-    ("OP-JOIN-XPAIR", track_pairs, f"""WITH {POINTS}, t AS (SELECT track % 4 AS sector, track AS name, strftime(min(ts), '%Y-%m-%d') AS day, count(*) % 2 AS trk FROM pt WHERE track < 40 GROUP BY track)
+    ("OP-JOIN-XPAIR", track_pairs, f"""WITH {POINTS}, t AS (SELECT track % 4 AS sector, track AS name, strftime(min(ts), '%Y-%m-%d') AS day, count(*) % 2 AS trk FROM pt GROUP BY track)
   SELECT a.sector, a.name AS "first", b.name AS "second" FROM t AS a JOIN t AS b ON a.sector = b.sector AND a.name < b.name AND a.trk <> b.trk AND a.day <> b.day"""),
     ("OP-JOIN-XOVER", crossing, _CROSS),
     ("OP-JOIN-INTERVAL", windows, f"""WITH {POINTS}, w AS (SELECT 1704067200 + range * 200000 AS t1 FROM range(13)) SELECT t1, count(*) AS n, round(avg(elev), 6) + 0.0 AS mean
@@ -146,7 +158,8 @@ QUERIES = [
   SELECT flag::BIGINT AS flag, border::BIGINT AS border, count(*) AS n FROM b GROUP BY ALL"""),
     ("OP-JOIN-NEAREST1D", nearest, f"""WITH {POINTS}, r AS (SELECT track, time AS t, max(elev) AS v FROM pt WHERE kind = 'signup' GROUP BY ALL), l AS (SELECT track, recno, time FROM pt WHERE kind = 'click'),
   j AS (SELECT recno, t, v, row_number() OVER (PARTITION BY recno ORDER BY abs(t - time) NULLS LAST, t) AS k FROM l LEFT JOIN r USING (track)) SELECT recno, round(t, 6) + 0.0 AS nearest_t, round(v, 6) + 0.0 AS nearest_v FROM j WHERE k = 1"""),
-    ("OP-JOIN-NEAREST2D", nearest_node, f"WITH {_NODES} SELECT round_even((x + 10) / 2.5, 0)::BIGINT AS ix, round_even(y / 2.5, 0)::BIGINT AS iy, count(*) AS n FROM pl GROUP BY ALL"),
+    ("OP-JOIN-NEAREST2D", nearest_node, f"""WITH {_NODES}, j AS (SELECT id, node, sqrt((nx - x) ** 2 + (ny - y) ** 2) AS far FROM pl JOIN nd ON abs(nx - x) <= 40 AND abs(ny - y) <= 40)
+  SELECT id, node, round(far, 6) + 0.0 AS distance FROM j WHERE far <= 40 QUALIFY row_number() OVER (PARTITION BY id ORDER BY far, node) = 1"""),
     ("OP-JOIN-CIRCLE", circles, f"WITH {_NODES} SELECT node, count(*) AS n, round(avg(sqrt((nx - x) ** 2 + (ny - y) ** 2)), 6) + 0.0 AS distance FROM nd JOIN pl ON (nx - x) ** 2 + (ny - y) ** 2 <= 36 GROUP BY node"),
     ("OP-JOIN-SQUARE", squares, f"WITH {_NODES} SELECT node, count(*) AS n FROM nd JOIN pl ON abs(nx - x) <= 5 AND abs(ny - y) <= 5 GROUP BY node"),
     ("OP-AGG-COV", covariances, f"""WITH {_NODES}, p AS (SELECT floor(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) / 2 + 0.5) AS k, a.v * b.v AS vv FROM pl a JOIN pl b ON a.id <= b.id AND abs(a.x - b.x) < 9.1),

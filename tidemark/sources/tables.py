@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,8 +36,18 @@ def read_text_table(spark: SparkSession, path: str, lines: int = 21) -> DataFram
     if how["comment"]:
         options["comment"] = how["comment"]
     if how["sep"] == " ":
-        text = spark.read.text(path).select(F.trim(F.regexp_replace("value", r"\s+", " ")).alias("value")).where("value <> ''")
-        return spark.read.options(**options).csv(text.rdd.map(lambda r: r.value))
+        # a name and a number of columns from the first lines; every line is split by Spark
+        rows = [r.split() for r in first if r.strip() and not (how["comment"] and r.lstrip().startswith(how["comment"]))]
+        names = rows[0] if how["header"] else [f"_c{i}" for i in range(len(rows[0]))] if rows else []
+        text = spark.read.text(path).select(F.trim("value").alias("value")).where("value <> ''")
+        if how["comment"]:
+            text = text.where(~F.startswith("value", F.lit(how["comment"])))
+        if how["header"]:
+            text = text.where(F.regexp_replace("value", r"\s+", " ") != " ".join(names))
+        body = rows[1:] if how["header"] else rows
+        number = lambda i: all(re.fullmatch(r"[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?|nan|NaN", r[i]) for r in body if i < len(r))
+        cells = F.split("value", r"\s+")
+        return text.select(*[(F.get(cells, i).try_cast("double") if number(i) else F.get(cells, i)).alias(n) for i, n in enumerate(names)])
     return spark.read.options(**options).csv(path)
 
 
