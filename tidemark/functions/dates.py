@@ -87,3 +87,38 @@ def mean_longitudes(days: Column) -> dict[str, Column]:
     # Degrees at the epoch and degrees a day.
     rates = {"s": (218.3164477, 13.17639648), "h": (280.4662556, 0.98564736), "p": (83.3532465, 0.11140353), "n": (125.0445479, -0.05295377)}
     return {k: F.pmod(F.lit(a) + F.lit(b) * days, F.lit(360.0)) for k, (a, b) in rates.items()}
+
+
+def parts(ts: Column) -> dict[str, Column]:
+    """Year to second of a time, and its serial day number (day 1 is the first of year 0)."""
+    whole = {k: f(ts) for k, f in (("year", F.year), ("month", F.month), ("day", F.dayofmonth), ("hour", F.hour), ("minute", F.minute), ("second", F.second))}
+    of_day = whole["hour"] * 3600 + whole["minute"] * 60 + whole["second"]
+    return whole | {"serial": F.datediff(ts.cast("date"), F.lit("0001-01-01").cast("date")) + 1 + 366 + of_day / 86400.0}
+
+
+def month_to_date(y: Column, m: Column, day: int = 15) -> Column:
+    return F.make_date(y.cast("int"), m.cast("int"), F.lit(day))
+
+
+def year_to_date(t: Column, day: int = 15) -> Column:
+    """The middle of the decimal year's month."""
+    return month_to_date(*year_to_month(t), day)
+
+
+def season_month(d: Column, k: int) -> Column:
+    """YYYYMM of the first, second or third month (k = 1, 2, 3) of a day's season; January and February belong to the season that began in the December before."""
+    m = F.month(d)
+    first = F.add_months(F.trunc(d, "month"), -(m % 3))
+    at = F.add_months(first, k - 1)
+    return F.year(at) * 100 + F.month(at)
+
+
+def from_modified_julian_day(mjd: Column) -> Column:
+    return F.date_add(F.lit("1858-11-17").cast("date"), mjd.cast("int"))
+
+
+def sexagesimal(x: Column) -> tuple[Column, Column, Column]:
+    """(degrees with the sign, minutes, seconds) of decimal degrees."""
+    whole = F.when(x < 0, F.ceil(x)).otherwise(F.floor(x))
+    minutes = F.abs(x - whole) * 60
+    return whole, F.floor(minutes), (minutes - F.floor(minutes)) * 60

@@ -94,3 +94,64 @@ def box_border(left: float, right: float, bottom: float, top: float) -> Column:
 def ice_density(freeboard: Column, thickness: Column, water: float = 1028.0) -> Column:
     """Density of floating ice from its freeboard and thickness."""
     return (1 - freeboard / thickness) * water
+
+
+def planar_degrees(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
+    return F.hypot(lon1 - lon2, lat1 - lat2)
+
+
+def to_microradians(arc_seconds: Column, power: int = 1) -> Column:
+    """Arc seconds (or their squares, power 2) in microradians."""
+    return arc_seconds * MICRORADIANS**power
+
+
+def to_arc_seconds(microradians: Column, power: int = 1) -> Column:
+    return microradians / MICRORADIANS**power
+
+
+def box_line(left: Column, right: Column, bottom: Column, top: Column, n: int = 1) -> Column:
+    """The closed border of a box, each side in n steps, as an array of (lon, lat) from the lower left corner on, to the right first."""
+
+    def at(k):
+        side, u = F.floor(k / n), (k % n) / n
+        across = F.when(side == 0, u).when(side == 1, 1.0).when(side == 2, 1 - u).otherwise(0.0)
+        up = F.when(side == 1, u).when(side == 2, 1.0).when(side == 3, 1 - u).otherwise(0.0)
+        return F.struct((left + (right - left) * across).alias("lon"), (bottom + (top - bottom) * up).alias("lat"))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(4 * n)), at)
+
+
+def subdomains(left: Column, right: Column, n: int) -> Column:
+    """n equal parts of a range of longitudes as an array of (number from 1, left, right)."""
+    width = (right - left) / n
+    return F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.struct(k.alias("number"), (left + (k - 1) * width).alias("left"), (left + k * width).alias("right")))
+
+
+def grid_centres(low: Column, high: Column, step: float) -> Column:
+    """The cells of a range as an array of (number from 1, centre, low, high), rounded to 6 digits; the last one may end beyond the range."""
+    last = F.ceil(F.round((high - low) / step, 6)).cast("int")
+
+    def cell(k):
+        at = low + (k - 1) * step
+        return F.struct(k.alias("number"), F.round(at + step / 2, 6).alias("centre"), F.round(at, 6).alias("low"), F.round(at + step, 6).alias("high"))
+
+    return F.transform(F.sequence(F.lit(1), last), cell)
+
+
+def circular(array: Column, i: Column) -> Column:
+    """The element at i (from 0), counted round and round."""
+    return F.element_at(array, (F.pmod(i, F.size(array)) + 1).cast("int"))
+
+
+def tuples(array: Column, n: int) -> Column:
+    """Successive n-tuples; what is left at the end is dropped."""
+    whole = F.floor(F.size(array) / n).cast("int")
+    return F.transform(F.sequence(F.lit(0), whole - 1), lambda k: F.slice(array, k * n + 1, n))
+
+
+def horner(x: Column, coefficients: list[float]) -> Column:
+    """A polynomial, the highest power first."""
+    out = F.lit(coefficients[0])
+    for c in coefficients[1:]:
+        out = out * x + c
+    return out
