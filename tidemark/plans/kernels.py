@@ -1,4 +1,4 @@
-"""Queries of fits that run as grouped NumPy kernels, one series a group. SQL has no such fits: tests compare them with literal NumPy results."""
+"""Queries of fits that run as grouped NumPy kernels, one series a group. SQL has no such fits: tests/test_composites.py and tests/test_kernels.py compare each with loops or conditions of its own."""
 
 from __future__ import annotations
 

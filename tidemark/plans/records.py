@@ -79,7 +79,7 @@ def _headers(spark, d):
 
 def in_window(spark, d):
     """Files that begin in a window of months, and the year they begin in."""
-    h = R.file_dates(_headers(spark, d)).where("first BETWEEN 199112 AND 199201")
+    h = R.file_dates(_headers(spark, d)).where("first BETWEEN 199412 AND 199501")
     return tidy(h.selectExpr("cast(src AS bigint) AS f", "cast(first AS bigint) AS first", "cast(last AS bigint) AS last", "cast(floor(first / 100) AS bigint) AS year"))
 
 
@@ -139,10 +139,10 @@ QUERIES = [
     ("OP-SCAN-IDR1", _points(R.RA1, 1, "inc3"), _sql(f"{_DETIDED} + inc3 / 100", "retstat & 1", f"{_VALID} AND inc3 <> 32767")),
     ("OP-SCAN-WDR", waveforms, _sql("h", "retstat & 1", "surf <> -9999").replace(" FROM p WHERE", ", round(sig0 / 100, 6) + 0.0 AS sig0 FROM p WHERE")),
     ("OP-SCAN-IDRPY", _region((100.0, 250.0, -80.0, -10.0), True), _region_sql(_EAST, 100, 250)),
-    ("OP-SCAN-IDRPY2", _region((-60.0, 60.0, -80.0, -10.0), False), _region_sql("(CASE WHEN x > 180 THEN x - 360 ELSE x END)", -60, 60)),
+    ("OP-SCAN-IDRPY2", _region((-170.0, -95.0, -80.0, -10.0), False), _region_sql("(CASE WHEN x > 180 THEN x - 360 ELSE x END)", -170, -95)),
     ("OP-SCAN-IDRHDR", in_window, """WITH a AS (SELECT floor(o_orderkey / 4000)::BIGINT AS f, CASE WHEN year(o_orderdate) < 2000 THEN (year(o_orderdate) - 1900) * 10000 ELSE year(o_orderdate) * 10000 END + month(o_orderdate) * 100 + day(o_orderdate) AS n FROM orders),
   b AS (SELECT f, min(n) // 100 AS a, max(n) // 100 AS z FROM a GROUP BY f), c AS (SELECT f, (CASE WHEN a <= 9912 THEN a + 190000 ELSE a END)::BIGINT AS first, (CASE WHEN z <= 9912 THEN z + 190000 ELSE z END)::BIGINT AS last FROM b)
-  SELECT f, first, last, first // 100 AS year FROM c WHERE first BETWEEN 199112 AND 199201"""),
+  SELECT f, first, last, first // 100 AS year FROM c WHERE first BETWEEN 199412 AND 199501"""),
     ("OP-SCAN-IDRYEAR", by_year, f"WITH {_BASE} SELECT f, floor(1985 + arg_min(utc85, (k, line, utc85)) / (366 * 86400.0::DOUBLE))::BIGINT AS year FROM p GROUP BY f"),
     ("OP-SCAN-CHUNK", chunks, f"""WITH {_BASE}, n AS (SELECT f, (count(*) + count(DISTINCT k)) * 100 AS bytes FROM r GROUP BY f), c AS (SELECT f, bytes, unnest(range((bytes - 1) // 4096 + 1)) AS chunk FROM n)
   SELECT f, chunk, least(4096, bytes - chunk * 4096) AS bytes FROM c"""),

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import calendar, cells, chain, joins, kernels, ordered, pieces, records, scalars
+from .plans import calendar, cells, chain, composites, joins, kernels, ordered, pieces, records, scalars, selection, storage
 
 FLAGSHIP = "OP-AGG-GRID"
-_ALL = [q for m in (cells, ordered, joins, chain, scalars, pieces, kernels, records, calendar) for q in m.QUERIES]
+_ALL = [q for m in (cells, ordered, joins, chain, scalars, pieces, kernels, records, calendar, selection, composites, storage) for q in m.QUERIES]
 
 
 def queries() -> dict:

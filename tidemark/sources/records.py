@@ -141,7 +141,7 @@ def pack(size: int, tag: str, fields: dict[str, tuple[int, str, float]], values:
     """A record as hexadecimal digits: whole-number values at their fields' offsets, zeros elsewhere."""
     out, at = [F.lit(tag.encode().hex().upper())], 2
     for name, (offset, dtype, _) in sorted(fields.items(), key=lambda f: f[1][0]):
-        if name not in values:
+        if name not in values or offset < at:
             continue
         n = np.dtype(dtype).itemsize
         out += [F.lit("00" * (offset - at)), F.right(F.lpad(F.hex(values[name].cast("long")), 16, "0"), F.lit(2 * n))]

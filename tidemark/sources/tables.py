@@ -67,8 +67,8 @@ def write_partitions(df: DataFrame, path: str, keys: list[str], order: list[str]
     df.repartition(*keys).sortWithinPartitions(*keys, *order).write.mode("overwrite").partitionBy(*keys).parquet(path)
 
 
-def write_text(df: DataFrame, path: str, sep: str = " ") -> None:
-    df.write.mode("overwrite").csv(path, sep=sep)
+def write_text(df: DataFrame, path: str, sep: str = " ", header: bool = False) -> None:
+    df.write.mode("overwrite").csv(path, sep=sep, header=header)
 
 
 def add_columns(spark: SparkSession, source: str, target: str, columns: dict[str, Column]) -> None:
