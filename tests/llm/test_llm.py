@@ -101,8 +101,7 @@ def shared_ids(spark):
     return awkward(spark).select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
 
 
-@pytest.mark.parametrize("batch", [1, 7, 10_000])
-@pytest.mark.parametrize("kind,window", [("cover", 20), ("cover", 16), ("minimiser", 50), ("minimiser", 20)])
+@pytest.mark.parametrize("kind,window,batch", [("cover", 20, 1), ("cover", 20, 10_000), ("cover", 16, 7), ("minimiser", 50, 1), ("minimiser", 50, 10_000), ("minimiser", 20, 7)])
 def test_repeats(spark, kind, window, batch):
     """Whatever batch or partition holds anchors and windows; rows that repeat id and text are one document, rows that share an id alone are not."""
     conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
