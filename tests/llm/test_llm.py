@@ -598,6 +598,19 @@ def test_mixing_takes_whole_copies(spark):
     assert all(r["own"]["doc_id"] == r["doc_id"] and r["size"] == len(words(r["own"]["text"])) for r in got)
 
 
+def test_mixing_makes_up_for_huge_documents(spark):
+    """A document ten times its block's words: the source's other blocks make up for what it leaves. Where there is nothing else, its copies are the nearest."""
+    rng = np.random.default_rng(2)
+    rows = [(i, "w " * int(n), "a") for i, n in enumerate(rng.integers(50, 600, 1000))] + [(-1, "w " * 200_000, "a"), (-2, "w " * 200_000, "b"), (-3, "", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.mix(df, weights=(3, 1), share=1.2, block=64).collect()
+    taken = {s: sum(r["taken"] for r in got if r["source"] == s) for s in "ab"}
+    target = {r["source"]: r["target"] for r in got}
+    assert len(got) == len(rows) and all(0 <= r["taken"] <= 2 * r["size"] for r in got)
+    assert abs(taken["a"] - target["a"]) < 0.005 * target["a"] and abs(taken["b"] - target["b"]) <= 100_000
+    assert sorted(map(str, mixing.mix(df.repartition(2), weights=(3, 1), share=1.2, block=64).collect())) == sorted(map(str, got))
+
+
 # 8
 
 

@@ -7,7 +7,10 @@ dual is separable and the iterations end at lambda = ln(target / size): the Newt
 
 Rounding: each source is dealt into blocks of about `block` documents by a hash of id and text (rows that share an id, or have none, are dealt apart). In a block, documents are taken by descending size, and each gets the
 number of copies that brings the words taken so far closest to the sum of rate * size so far, so that smaller documents make up for what larger ones leave.
-A block thus ends about half its smallest document away from its share, and no task holds more than a block.
+Documents of over an eighth of an average block's words, at most eight a block, are dealt first, in blocks of their own. What they leave or take too much is spread over
+the source's other documents, whose rate becomes (target - words taken) / their words, so that no block has to absorb a document larger than itself.
+A block thus ends about half its smallest document away from its share, and no task holds more than a block. Only a source whose other documents are too few to make up
+(their rate ends at 0 or at the cap) stays further from its target.
 """
 
 from __future__ import annotations
@@ -22,7 +25,9 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 CAP = 2.0
 
-_COPIES = "CASE WHEN m.size = 0 THEN 0L ELSE cast(greatest(0D, least({cap}D, round((a.left + rate * m.size) / m.size))) AS bigint) END"
+LARGE = 8  # documents of over 1 / LARGE of an average block's words are dealt first
+
+_COPIES = "CASE WHEN m.size = 0 THEN 0L ELSE cast(greatest(0D, least({cap}D, round((a.left + pace * m.size) / m.size))) AS bigint) END"
 
 
 def words(text: Column) -> Column:
@@ -57,7 +62,7 @@ def mix(
     """Per row of docs: doc_id, source, size, source_size, target, rate, copies, taken; and the column named carry, which is passed along.
 
     size: words of the text (null: 0). taken = copies * size with copies from 0 to cap. Null is a source of its own, after the others. A source whose sizes are all 0
-    has target 0 and its documents no copies. cap is a whole number (an error otherwise), since copies are. Repeated rows count one by one (those that agree in id, source and size are interchangeable). Reruns give the same rows. Other columns are ignored.
+    has target 0 and its documents no copies. rate is the dual's, before rounding. cap is a whole number (an error otherwise), since copies are. Repeated rows count one by one (those that agree in id, source and size are interchangeable). Reruns give the same rows. Other columns are ignored.
     """
     if cap != int(cap) or cap < 1:
         raise ValueError("documents are taken in whole copies: cap must be a whole number from 1 on")
@@ -91,23 +96,45 @@ def mix(
             break
     rate = F.when(F.col("target") > 0, F.least(F.exp("lambda"), F.lit(float(cap)))).otherwise(F.lit(0.0))
 
-    # Rounding in blocks, by descending size, carrying what is left to the next document.
-    plan = parts.groupBy(F.col("source").alias("ps")).agg(F.ceil(F.sum("n") / block).alias("blocks"))
-    plan = plan.join(dual, plan["ps"].eqNullSafe(dual["s"])).select("ps", "blocks", "source_size", "target", rate.alias("rate"))
-    blocked = rows.join(plan, rows["source"].eqNullSafe(plan["ps"])).withColumn("block", F.pmod(F.shiftright("spot", 8), F.col("blocks")))
+    # Rounding: the large documents first, then the others at the pace that makes up for them.
+    blocks = F.ceil(F.sum("n") / block)
+    plan = parts.groupBy(F.col("source").alias("ps")).agg(blocks.alias("blocks"))
+    plan = settle(
+        plan.join(dual, plan["ps"].eqNullSafe(dual["s"])).select("ps", "blocks", "source_size", "target", rate.alias("rate"), (F.col("source_size") / F.col("blocks") / LARGE).alias("limit"))
+    )
     own = [carry] if carry else []
-    grouped = blocked.groupBy("source", "block", "source_size", "target", "rate").agg(
-        F.sort_array(F.collect_list(F.struct("size", "spot", "doc_id", *own)), asc=False).alias("members")
+    names = ["source", "size", "spot", "doc_id"]
+    planned = rows.join(plan.withColumnRenamed("blocks", "all_blocks"), rows["source"].eqNullSafe(plan["ps"]))
+    large, small = planned.where("size > limit"), planned.where("size <= limit")
+    heavy = settle(large.groupBy(F.col("source").alias("hs")).agg(F.sum("size").alias("heavy"), F.ceil(F.count(F.lit(1)) / block).alias("blocks")))
+    large = large.join(heavy, large["source"].eqNullSafe(heavy["hs"])).withColumn("pace", F.col("rate"))
+    used = _deal(large.select(*names, "blocks", "pace"), cap).groupBy(F.col("source").alias("us")).agg(F.sum("taken").alias("used"))
+    used = heavy.join(used, heavy["hs"].eqNullSafe(used["us"]))
+    rest = plan.join(used, plan["ps"].eqNullSafe(used["hs"]), "left").select(
+        F.col("ps").alias("rs"), plan["blocks"],
+        F.greatest(F.lit(0.0), F.least(F.lit(float(cap)), F.coalesce((F.col("target") - F.coalesce("used", F.lit(0))) / F.nullif(F.col("source_size") - F.coalesce("heavy", F.lit(0)), F.lit(0)), F.lit(0.0)))).alias("pace"),
+    )
+    rest = settle(rest)
+    small = small.join(rest, small["source"].eqNullSafe(rest["rs"]))
+    kept = [*names, "source_size", "target", "rate", *own]
+    return _deal(large.select(*kept, "blocks", "pace"), cap).unionByName(_deal(small.select(*kept, "blocks", "pace"), cap)).select(
+        "doc_id", "source", "size", "source_size", "target", "rate", "copies", "taken", *own
+    )
+
+
+def _deal(rows: DataFrame, cap: float) -> DataFrame:
+    """rows (source, size, spot, doc_id, blocks, pace and others) with copies and taken: per block by descending size, what is left is carried to the next document."""
+    others = [c for c in rows.columns if c not in ("source", "size", "spot", "doc_id", "blocks", "pace")]
+    grouped = rows.withColumn("block", F.pmod(F.shiftright("spot", 8), F.col("blocks"))).groupBy("source", "block", "pace").agg(
+        F.sort_array(F.collect_list(F.struct("size", "spot", "doc_id", *others)), asc=False).alias("members")
     )
     some = _COPIES.format(cap=int(cap))
     copies = F.expr(
         f"""aggregate(members, named_struct('left', 0D, 'made', cast(array() as array<bigint>)), (a, m) ->
-              named_struct('left', a.left + rate * m.size - m.size * {some}, 'made', concat(a.made, array({some}))), a -> a.made)"""
-    )
-    out = grouped.withColumn("copies", copies).select("source", "source_size", "target", "rate", F.explode(F.arrays_zip("members", "copies")).alias("m"))
-    return out.select(
-        "m.members.doc_id", "source", "m.members.size", "source_size", "target", "rate", "m.copies", (F.col("m.copies") * F.col("m.members.size")).alias("taken"), *[f"m.members.{c}" for c in own]
+              named_struct('left', a.left + pace * m.size - m.size * {some}, 'made', concat(a.made, array({some}))), a -> a.made)"""
     )
+    out = grouped.withColumn("copies", copies).select("source", F.explode(F.arrays_zip("members", "copies")).alias("m"))
+    return out.select("source", *[f"m.members.{c}" for c in ("size", "doc_id", *others)], "m.copies", (F.col("m.copies") * F.col("m.members.size")).alias("taken"))
 
 
 def op6_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
