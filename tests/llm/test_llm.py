@@ -169,35 +169,55 @@ def test_cover_has_all_differences():
 
 
 def brute_components(rows, width, percent):
+    """(id, text) -> (size of its set, smallest id reachable); rows are documents, those that share an id too."""
     sets = {}
     for i, t in rows:
         w = words(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-        sets[i] = {tuple(w[k : k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set())
-    root = {i: i for i in sets}
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    ids = sorted(i for i in sets if i is not None and sets[i])
-    for a in ids:
-        for b in ids:
-            if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
-                x, y = sorted((find(a), find(b)))
-                root[y] = x
-    return {i: (len(sets[i]), None if i is None else find(i)) for i in sets}
+        sets[i, t] = {tuple(w[k : k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set())
+    root = {r: r for r in sets}
+
+    def find(r):
+        while root[r] != r:
+            r = root[r]
+        return r
+
+    full = [r for r in sets if r[0] is not None and sets[r]]
+    for n, a in enumerate(full):
+        for b in full[:n]:
+            if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                root[find(a)] = find(b)
+    least = {}
+    for r in full:
+        least[find(r)] = min(r[0], least.get(find(r), r[0]))
+    return {r: (len(sets[r]), least.get(find(r), r[0])) for r in sets}
+
+
+def same_components(df, width):
+    want = brute_components([(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()], width, 80)
+    got = near_dedup.near_dedup(df.withColumn("own", F.col("text")), width=width, carry="own").collect()
+    assert len(got) == df.count()
+    for r in got:
+        assert (r["n_shingles"], r["component_id"]) == want[r["doc_id"], r["own"]], r
+        assert r["kept"] == (r["doc_id"] == r["component_id"])
+    return want
 
 
 @pytest.mark.parametrize("width", [2, 5])
 def test_near_dedup(spark, width):
     for df in (awkward(spark), documents(spark)):
-        want = brute_components([(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()], width, 80)
-        got = near_dedup.near_dedup(df, width=width).collect()
-        assert len(got) == df.count()
-        for r in got:
-            assert (r["n_shingles"], r["component_id"]) == want[r["doc_id"]], r
-            assert r["kept"] == (r["doc_id"] == r["component_id"])
+        same_components(df, width)
+
+
+def test_near_dedup_of_ids_with_several_texts(spark):
+    """Each text of an id has its own links; they neither tie groups together nor hide one another."""
+    rng = np.random.default_rng(8)
+    groups = []
+    for _ in range(4):
+        base = [f"v{k}" for k in rng.integers(0, 10**6, 60)]
+        groups.append([" ".join(base[:k] + [f"n{k}"] + base[k + 1 :]) for k in range(0, 40, 10)])
+    rows = [(7, g[0]) for g in groups] + [(7, groups[0][1]), (7, groups[0][0]), (3, groups[1][1]), (9, groups[2][2]), (9, groups[3][3]), (4, groups[3][2]), (None, groups[3][1])]
+    want = same_components(spark.createDataFrame(rows, "doc_id long, text string"), 2)
+    assert [want[7, g[0]][1] for g in groups] == [7, 3, 7, 4]
 
 
 def test_near_dedup_joins_chains(spark):
@@ -211,7 +231,7 @@ def test_near_dedup_joins_chains(spark):
         w[: 4 * k] = [f"x{k}-{i // 4}" if False else f"x{i}" for i in range(4 * k)]
         rows.append((100 - k, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    want = brute_components(rows, 2, 80)
+    want = {i: found for (i, _), found in brute_components(rows, 2, 80).items()}
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_dedup(df, width=2).collect()}
     assert got == want and len({c for _, c in want.values()}) == 1
 
@@ -677,7 +697,7 @@ def test_pipeline_matches_brute_force(spark):
 
     rows = brute_exact([(i, t) for i, t in sorted(texts.items()) if good(t)])
     comp = brute_components(rows, 5, 80)
-    rows = [(i, t) for i, t in rows if comp[i][1] == i]
+    rows = [(i, t) for i, t in rows if comp[i, t][1] == i]
     leaks = brute_leaks(rows, [r["text"] for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()])
     want = [r for r in rows if r not in leaks]
     assert len(texts) > len(rows) > len(want)
@@ -701,8 +721,8 @@ def test_pipeline_of_awkward_and_empty_tables(spark, tmp_path):
     assert not pipeline.run(spark, f"{tmp_path}/none").collect()
     rows = [(r["doc_id"], r["text"]) for r in awkward(spark).collect()]
     kept = brute_exact(rows)
-    comp = brute_components([r for r in kept if r[0] is not None], 5, 80)
-    kept = [(i, t) for i, t in kept if i is None or comp[i][1] == i]
+    comp = brute_components(kept, 5, 80)
+    kept = [(i, t) for i, t in kept if comp[i, t][1] == i]
     leaks = brute_leaks(kept, ["a b a b a b a b"])
     got = sorted(((r["doc_id"], r["text"]) for r in pipeline.run(spark, f"{tmp_path}/some").collect()), key=str)
     assert leaks and got == sorted((r for r in kept if r not in leaks), key=str)

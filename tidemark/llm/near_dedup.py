@@ -9,13 +9,13 @@ probability 1.3e-7.
 
 Links without the pairs of a group:
 
-1. Documents with equal sets form a class; its smallest id stands for it.
+1. Documents with equal sets form a class. Classes are numbered, so that one id with several texts is in several classes that aren't tied by it.
 2. Every class is compared with one centre, the smallest member of a bucket with which it shares most buckets, on the full sets.
    Connected components of these links follow.
 3. Buckets whose members are all in one component are settled. In every other bucket, the members outside its largest component are the queries: each
    is compared, on the full sets, with the members of other components, in blocks of bounded numbers of documents and shingles; a query reports one link per component
    that it meets. A pair is compared in the first bucket that it shares only.
-4. The components are joined along these links.
+4. The components are joined along these links and named by the smallest id of their documents.
 
 Nothing is capped: a pair in a common bucket is compared unless its members are connected already.
 """
@@ -86,8 +86,8 @@ def _sign(width: int, bands: int, rows: int, carry: str | None = None):
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum(lengths, dtype=np.int32)), signed(bucket.T.ravel()))
                 own = [batch.column(carry).slice(a, b - a)] if carry else []
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a), pa.array(n), signed(keys[0]), signed(keys[1]), lists, *own],
-                    ["doc_id", "n_shingles", "k1", "k2", "bands", *([carry] if carry else [])],
+                    [ids.slice(a, b - a), batch.column("text_hash").slice(a, b - a), pa.array(n), signed(keys[0]), signed(keys[1]), lists, *own],
+                    ["doc_id", "text_hash", "n_shingles", "k1", "k2", "bands", *([carry] if carry else [])],
                 )
 
     return emit
@@ -96,12 +96,12 @@ def _sign(width: int, bands: int, rows: int, carry: str | None = None):
 def _sets(width: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id")
+            reps = batch.column("rep")
             for a, b, w in chunks(batch.column("text"), lower=True):
                 sets = shingle_sets(w, width)
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 values = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.ListArray.from_arrays(pa.array(offsets), signed(values))], ["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([reps.slice(a, b - a), pa.ListArray.from_arrays(pa.array(offsets), signed(values))], ["rep", "shingles"])
 
     return emit
 
@@ -183,16 +183,20 @@ def near_dedup(
 
     A document's set: its distinct runs of `width` words (A-Z lower-cased); with fewer words, the whole sequence as one. Two documents are linked if 100 *
     intersection size >= percent * union size. Null text and text without words: empty set, linked with nothing. A null id: linked with nothing,
-    component_id null, kept true. Ids are integers; rows that repeat an id are judged by their own texts and share a decision if these are
-    equal. Other columns are ignored, but the one named carry is passed along.
+    component_id null, kept true. Ids are integers. Rows that repeat an id are documents of their own: each is linked by its own text, a shared id links
+    nothing, and a group's rows with its smallest id are all kept. Other columns are ignored, but the one named carry is passed along.
     """
     own = [carry] if carry else []
     carried = f", {carry} {docs.schema[carry].dataType.simpleString()}" if carry else ""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *own)
-    signed_docs = settle(docs.mapInArrow(_sign(width, bands, rows, carry), f"doc_id long, n_shingles long, k1 long, k2 long, bands array<long>{carried}"))
+    text = F.col(text_col).cast("string")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"), *own)
+    signed_docs = settle(
+        docs.mapInArrow(_sign(width, bands, rows, carry), f"doc_id long, text_hash long, n_shingles long, k1 long, k2 long, bands array<long>{carried}")
+    )
     some = signed_docs.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = settle(some.groupBy("k1", "k2", "n_shingles").agg(F.min(F.struct("doc_id", "bands")).alias("m")).select(
-        "k1", "k2", "n_shingles", F.col("m.doc_id").alias("rep"), F.col("m.bands").alias("bands")
+    # the numbers of the classes are settled with them: a step that runs again reads the same ones
+    classes = settle(some.groupBy("k1", "k2", "n_shingles").agg(F.min(F.struct("doc_id", "text_hash", "bands")).alias("m")).select(
+        "k1", "k2", "n_shingles", F.monotonically_increasing_id().alias("rep"), "m.doc_id", "m.text_hash", "m.bands"
     ))
 
     member = classes.select("rep", "n_shingles", F.posexplode("bands").alias("band", "bucket"))
@@ -206,11 +210,12 @@ def near_dedup(
         .agg(F.max(F.struct("count", (-F.col("centre")).alias("c"))).alias("m"))
         .select(F.col("rep").alias("x"), (-F.col("m.c")).alias("c"))
     )
-    needed = member.select(F.col("rep").alias("doc_id")).distinct()
-    sets = settle(docs.select("doc_id", "text").join(needed, "doc_id").mapInArrow(_sets(width), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]))
+    needed = classes.select("rep", "doc_id", "text_hash").join(member.select("rep").distinct(), "rep", "left_semi")
+    texts = docs.select("doc_id", "text_hash", "text").join(needed, ["doc_id", "text_hash"]).select("rep", "text")
+    sets = settle(texts.mapInArrow(_sets(width), "rep long, shingles array<long>").dropDuplicates(["rep"]))
 
-    one = sets.select(F.col("doc_id").alias("x"), F.col("shingles").alias("sx"))
-    two = sets.select(F.col("doc_id").alias("c"), F.col("shingles").alias("sc"))
+    one = sets.select(F.col("rep").alias("x"), F.col("shingles").alias("sx"))
+    two = sets.select(F.col("rep").alias("c"), F.col("shingles").alias("sc"))
     both = F.size(F.array_intersect("sx", "sc"))
     linked = best.join(one, "x").join(two, "c").select("x", "c", both.alias("i"), (F.size("sx") + F.size("sc") - both).alias("u"))
     first = components(linked.where(F.col("i") * 100 >= F.col("u") * percent).select(F.col("x").alias("a"), F.col("c").alias("b")))
@@ -240,7 +245,7 @@ def near_dedup(
         "bucket", F.pmod(spot, F.col("m_blocks")).cast("int").alias("mb"), F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("qb"),
         F.lit(False).alias("asks"), "outer", "band", "rep", "root",
     )
-    facts = classes.select("rep", "bands").join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+    facts = classes.select("rep", "bands").join(sets, "rep")
     found = (
         asks.unionByName(told)
         .join(facts, "rep")
@@ -250,13 +255,15 @@ def near_dedup(
     )
     second = components(found)
 
-    roots = (
-        classes.select("k1", "k2", "n_shingles", "rep")
+    rooted = settle(
+        classes.select("k1", "k2", "n_shingles", "rep", "doc_id")
         .join(first.select(F.col("node").alias("rep"), F.col("root").alias("r1")), "rep", "left")
         .withColumn("r1", F.coalesce("r1", "rep"))
         .join(second.select(F.col("node").alias("r1"), F.col("root").alias("r2")), "r1", "left")
-        .select("k1", "k2", "n_shingles", F.coalesce("r2", "r1").alias("component_id"))
+        .select("k1", "k2", "n_shingles", "doc_id", F.coalesce("r2", "r1").alias("root"))
     )
+    names = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    roots = rooted.join(names, "root").select("k1", "k2", "n_shingles", "component_id")
     return (
         signed_docs.select("doc_id", "n_shingles", "k1", "k2", *own)
         .join(roots, ["k1", "k2", "n_shingles"], "left")
