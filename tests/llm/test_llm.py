@@ -251,6 +251,20 @@ def test_blocks_compare_every_pair_that_shares_a_bucket(shared, links):
     assert sum(len(r) for r in near_dedup._compare(80)(iter([batch]))) == links
 
 
+def test_blocks_report_a_spanning_forest():
+    """Of 40 equal sets in a block, 39 links; their closure is that of all pairs."""
+    import pyarrow as pa
+
+    n = 40
+    row = {"bucket": 3, "mb": 0, "qb": 0, "outer": True, "band": 0, "bands": [1, 2], "shingles": [1, 2, 3]}
+    rows = [row | {"asks": asks, "rep": i, "root": i} for asks in (True, False) for i in range(n)]
+    links = [(r["a"], r["b"]) for b in near_dedup._compare(80)(iter([pa.RecordBatch.from_pylist(rows)])) for r in b.to_pylist()]
+    reached = {0}
+    for _ in range(n):
+        reached |= {x for link in links if reached & set(link) for x in link}
+    assert len(links) == n - 1 and reached == set(range(n))
+
+
 def test_components(spark):
     rng = np.random.default_rng(1)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))]

@@ -10,11 +10,11 @@ probability 1.3e-7.
 Links without the pairs of a group:
 
 1. Documents with equal sets form a class. Classes are numbered, so that one id with several texts is in several classes that aren't tied by it.
-2. Every class is compared with one centre, the smallest member of a bucket with which it shares most buckets, on the full sets.
+2. Every class is compared with one centre, the member with the smallest id of a bucket with which it shares most buckets, on the full sets.
    Connected components of these links follow.
 3. Buckets whose members are all in one component are settled. In every other bucket, the members outside its largest component are the queries: each
-   is compared, on the full sets, with the members of other components, in blocks of bounded numbers of documents and shingles; a query reports one link per component
-   that it meets. A pair is compared in the first bucket that it shares only.
+   is compared, on the full sets, with the members of other components, in blocks of bounded numbers of documents and shingles. A pair is compared in the first bucket that it
+   shares only, and a block reports the links of a spanning forest: fewer than it has documents, however many pairs are alike.
 4. The components are joined along these links and named by the smallest id of their documents.
 
 Nothing is capped: a pair in a common bucket is compared unless its members are connected already.
@@ -130,7 +130,7 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
 
 
 def _compare(percent: int):
-    """In each block, the links of its queries (q) with members of other components."""
+    """In each block, links that join what its queries (q) and members of other components join; a pair that earlier links of the block join isn't compared."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, ["bucket", "mb", "qb"]):
@@ -149,9 +149,10 @@ def _compare(percent: int):
             size = sets.value_lengths().to_numpy().astype(np.int64)
             begin = np.concatenate([[0], np.cumsum(size)[:-1]])
             left, right = [], []
+            joined = np.unique(roots, return_inverse=True)[1]
             for q in query:
                 # of two queries, the one with the smaller id asks
-                m = member[(roots[member] != roots[q]) & (~outer[member] | (ids[member] > ids[q]))]
+                m = member[(joined[member] != joined[q]) & (~outer[member] | (ids[member] > ids[q]))]
                 m = m[(100 * np.minimum(size[m], size[q]) >= percent * np.maximum(size[m], size[q]))]
                 if not len(m):
                     continue
@@ -166,9 +167,10 @@ def _compare(percent: int):
                 both = np.add.reduceat((own[place] == rest).astype(np.int64), offsets)
                 hit = m[100 * both >= percent * (size[m] + size[q] - both)]
                 if len(hit):
-                    _, one = np.unique(roots[hit], return_index=True)
+                    met, one = np.unique(joined[hit], return_index=True)
                     left += [roots[q]] * len(one)
                     right += roots[hit[one]].tolist()
+                    joined[np.isin(joined, met)] = joined[q]
             if left:
                 yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
@@ -199,8 +201,9 @@ def near_dedup(
         "k1", "k2", "n_shingles", F.monotonically_increasing_id().alias("rep"), "m.doc_id", "m.text_hash", "m.bands"
     ))
 
-    member = classes.select("rep", "n_shingles", F.posexplode("bands").alias("band", "bucket"))
-    crowd = member.groupBy("bucket").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    member = classes.select("rep", "doc_id", "n_shingles", F.posexplode("bands").alias("band", "bucket"))
+    crowd = member.groupBy("bucket").agg(F.min(F.struct("doc_id", "rep")).alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    crowd = crowd.select("bucket", "centre.rep", "n").withColumnRenamed("rep", "centre")
     member = settle(member.join(crowd, "bucket").select("bucket", "band", "rep", "n_shingles", "centre"))
     best = (
         member.where("rep <> centre")
