@@ -16,6 +16,9 @@ _QUERIES = [
     ("chat", "op8_chat_formatting", "OP8_SQL"),
     ("langid", "op9_hyperdimensional_langid", None),
     ("near_dedup", "op10_minhash_near_dedup", None),
+    ("clustering", "op11_centroid_clustering", "OP11_SQL"),
+    ("negatives", "op12_hard_negative_mining", "OP12_SQL"),
+    ("packing", "op13_best_fit_packing", None),
 ]
 
 
