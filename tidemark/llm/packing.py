@@ -6,7 +6,7 @@ search there makes a plan (a filling, how often it is used, and which pieces of
 lanes so that a frequent length is no single group, and meet the plan in a broadcast join by length.
 
 Search (`plan_fillings`): branch and bound over the counts. A node takes the largest length left and tries the undominated fillings of a sequence that holds it, least waste
-first; a filling is used as often as its pieces last. Every node's remaining pieces are also packed by best fit decreasing, and the best total so far is the incumbent. A
+first; a filling is used as often as its pieces last. Remaining pieces are also packed by best fit decreasing, at the root and every few nodes, and the best total so far is the incumbent. A
 branch ends where its sequences and the waste bound (tokens left, and large pieces that can't share) reach the incumbent's number; the search ends when the root's bound is met or its
 budget of nodes is used up, since the problem has no fast exact solution. Results are whole in any case; `plan_fillings` returns the bound beside the plan.
 """
@@ -14,28 +14,40 @@ budget of nodes is used up, since the problem has no fast exact solution. Result
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import settle, table
+from .words import counting
 
 CAPACITY = 1024
 END = 2
-NODES, WIDTH, STEPS = 400, 6, 4000  # budget of the search: nodes, fillings tried at a node, and steps to find them
+NODES, WIDTH, STEPS = 1500, 2, 150  # budget of the search: nodes, fillings tried at a node, and steps to find them
+LOOK = 64  # nodes from one best-fit incumbent to the next
 LANE = 1 << 16  # pieces of a lane, about
 BATCH_BYTES = 1 << 22
-KNOWN = 1 << 18  # words kept with their ids in a task
+KNOWN = 1 << 19  # words kept with their ids in a task
 
-# The split of the byte-level tokenizer, for texts of the characters below, where both regular expression engines agree; other texts go to the tokenizer whole.
-_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-_PLAIN = regex.compile(r"[\t\n\r\x20-\x7E¡-¬®-ɏ]*+")
+# The split of the byte-level tokenizer, for texts without the characters of _OTHER: both regular expression engines agree on these; other texts go to the tokenizer whole.
+_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+_OTHER = re.compile(r"[^\t\n\r\x20-\x7E\xA1-\xAC\xAE-\xB1\xB4-\xB8\xBA\xBB\xBF-\u024F]")
+
+
+class _Numbers(dict):
+    """Numbers words as they come."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
 
 
 class Encoder:
@@ -50,31 +62,33 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words, self.known = words, {}
+        self.words = words
+        self._forget()
+
+    def _forget(self) -> None:
+        self.numbers, self.ids, self.ends = _Numbers(), np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if not self.words:
-            return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        plain = [i for i, t in enumerate(texts) if self.words and not _OTHER.search(t) and not any(a in t for a in self.added)]
         out: list = [None] * len(texts)
-        split = []
-        new: dict[str, None] = {}
-        if len(self.known) > KNOWN:
-            self.known.clear()
-        for i, t in enumerate(texts):
-            if _PLAIN.fullmatch(t) and not any(a in t for a in self.added):
-                split.append((i, words := _SPLIT.findall(t)))
-                new.update(dict.fromkeys(w for w in set(words) if w not in self.known))
-        fresh = list(new)
-        for w, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            self.known[w] = e.ids
-        for i, words in split:
-            ids: list[int] = []
-            for w in map(self.known.__getitem__, words):
-                ids += w
-            out[i] = np.array(ids, np.uint32)
-        whole = [i for i, x in enumerate(out) if x is None]
-        for i, e in zip(whole, self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True):
-            out[i] = np.array(e.ids, np.uint32)
+        if len(self.numbers) > KNOWN:
+            self._forget()
+        before = len(self.numbers)
+        number = self.numbers.__getitem__
+        split = [np.fromiter(map(number, _SPLIT.findall(texts[i])), np.int64) for i in plain]
+        fresh = list(islice(reversed(self.numbers), len(self.numbers) - before))[::-1]
+        made = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.fromiter(map(len, made), np.int64, len(made)))])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(made), np.uint32)])
+        for i, w in zip(plain, split, strict=True):
+            n = self.ends[w + 1] - self.ends[w]
+            out[i] = self.ids[np.repeat(self.ends[w], n) + counting(n)]
+        other = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(other, self._whole([texts[i] for i in other]), strict=True):
+            out[i] = x
         return out
 
 
@@ -118,16 +132,18 @@ Filling = tuple[tuple[int, int], ...]  # (length, how many) by falling length
 
 
 def waste_bound(counts: dict[int, int], capacity: int) -> int:
-    """No packing has fewer sequences. For a limit k, pieces over capacity - k share with none of k or more, pieces over half share with none of their kind; the rest fills what room is left."""
-    best = -(-sum(n * c for n, c in counts.items()) // capacity)
-    big = sum(c for n, c in counts.items() if 2 * n > capacity)
-    for k in sorted(n for n in counts if 2 * n <= capacity):
-        alone = sum(c for n, c in counts.items() if n > capacity - k)
-        half = sum(c for n, c in counts.items() if capacity - k >= n and 2 * n > capacity)
-        room = half * capacity - sum(n * c for n, c in counts.items() if capacity - k >= n and 2 * n > capacity)
-        small = sum(n * c for n, c in counts.items() if k <= n and 2 * n <= capacity)
-        best = max(best, alone + half + max(0, -(-(small - room) // capacity)))
-    return max(best, big)
+    """No packing has fewer sequences. For each limit k up to half: pieces over capacity - k share with none of k or more, other pieces over half with none of their kind, and the rest from k on fills what room these leave."""
+    pieces = np.zeros(capacity + 2, np.int64)
+    pieces[list(counts)] = list(counts.values())
+    upto = np.cumsum(pieces)
+    tokens = np.cumsum(pieces * np.arange(capacity + 2))
+    half = capacity // 2
+    k = np.arange(0, half + 1)
+    alone = upto[-1] - upto[capacity - k]
+    pairs = upto[capacity - k] - upto[half]
+    room = pairs * capacity - (tokens[capacity - k] - tokens[half])
+    small = tokens[half] - np.where(k > 0, tokens[np.maximum(k - 1, 0)], 0)
+    return int((alone + pairs + np.maximum(0, -(-(small - room) // capacity))).max())
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Filling, int]]:
@@ -166,90 +182,78 @@ def fillings(counts: dict[int, int], capacity: int, width: int, steps: int, most
 
     Dominated, and so left out: another piece would fit; a piece could be exchanged for a larger one; two could be exchanged for one as large or larger.
     """
-    lengths = sorted(counts, reverse=True)
-    top = lengths[0]
-    found: list[tuple[int, int, Filling]] = []
-    budget = steps
+    lengths = sorted(counts)
+    top = lengths[-1]
+    found: set[tuple[int, int, Filling]] = set()
+    exact = 0
 
     def undominated(chosen: dict[int, int], waste: int) -> bool:
-        spare = [n for n in lengths if counts[n] > chosen.get(n, 0)]
-        if spare and spare[-1] <= waste:
+        free = [n for n in lengths if counts[n] > chosen.get(n, 0)]
+        if free and free[0] <= waste:
             return False
-        free = np.array(spare[::-1])
-        own = [n for n, c in chosen.items() for _ in range(min(c, 2))]
-        first = chosen[top]
-        rest = [n for n in own if n != top] + [top] * min(first - 1, 2)
-        for n in set(rest):
-            i = np.searchsorted(free, n, "right")
-            if i < len(free) and free[i] <= n + waste:
+        rest = [n for n, c in chosen.items() for _ in range(min(c - (n == top), 2))]
+        sums = {a + b - 1 for i, a in enumerate(rest) for b in rest[:i]}
+        for n in {*rest, *sums}:
+            at = bisect_right(free, n)
+            if at < len(free) and free[at] <= n + (n in sums) + waste:
                 return False
-        for i in range(len(rest)):
-            for j in range(i):
-                k = np.searchsorted(free, rest[i] + rest[j])
-                if k < len(free) and free[k] <= rest[i] + rest[j] + waste:
-                    return False
         return True
 
     def extend(at: int, left: int, chosen: dict[int, int]) -> None:
-        nonlocal budget
-        budget -= 1
-        if budget < 0 or sum(1 for f in found if f[0] == 0) >= width:
-            return
-        tried = False
-        for i in range(at, len(lengths)):
+        nonlocal steps, exact
+        steps -= 1
+        closed = True
+        for i in range(min(at, bisect_right(lengths, left) - 1), -1, -1):
+            if steps < 0 or exact >= width:
+                return
             n = lengths[i]
-            if n <= left and counts[n] > chosen.get(n, 0):
-                tried = True
-                chosen[n] = chosen.get(n, 0) + 1
-                extend(i, left - n, chosen)
-                chosen[n] -= 1
-                if not chosen[n]:
-                    del chosen[n]
-                if budget < 0:
-                    return
-        if not tried and left <= most_waste and undominated(chosen, left):
-            found.append((left, sum(chosen.values()), tuple(sorted(chosen.items(), reverse=True))))
-
-    extend(0, capacity - top, {top: 1})
-    return [f for _, _, f in sorted(set(found))[:width]]
+            if counts[n] > chosen.get(n, 0):
+                closed = False
+                extend(i, left - n, chosen | {n: chosen.get(n, 0) + 1})
+        if closed and left <= most_waste and undominated(chosen, left):
+            found.add((left, sum(chosen.values()), tuple(sorted(chosen.items(), reverse=True))))
+            exact += left == 0
+
+    extend(len(lengths) - 1, capacity - top, {top: 1})
+    return [f for _, _, f in sorted(found)[:width]]
 
 
 def plan_fillings(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES, width: int = WIDTH, steps: int = STEPS) -> tuple[list[tuple[Filling, int]], int]:
     """(fillings and how often each is used, lower bound of the number of sequences) for counts of pieces by length."""
     counts = {n: c for n, c in counts.items() if c}
-    bound = waste_bound(counts, capacity) if counts else 0
+    bound = waste_bound(counts, capacity)
     incumbent = best_fit(counts, capacity)
     most = sum(u for _, u in incumbent)
-    budget = nodes
-
-    def search(left: dict[int, int], used: int, plan: list[tuple[Filling, int]]) -> None:
-        nonlocal incumbent, most, budget
-        if most <= bound:
-            return
-        if not left:
+    plan: list[tuple[Filling, int]] = []
+    # a node: pieces left, sequences used, and the fillings still to be tried; the fillings that lead to it are in plan
+    stack = [(counts, 0, iter(fillings(counts, capacity, width, steps, (most - 1) * capacity - sum(n * c for n, c in counts.items()))))] if most > bound else []
+    while stack and most > bound and nodes > 0:
+        left, used, more = stack[-1]
+        filling = next(more, None)
+        if filling is None:
+            stack.pop()
+            plan[len(stack) - 1 :] = []
+            continue
+        plan[len(stack) - 1 :] = []
+        times = min(left[n] // m for n, m in filling)
+        after = {n: c for n, c in left.items() if c}
+        for n, m in filling:
+            after[n] -= times * m
+        after, used = {n: c for n, c in after.items() if c}, used + times
+        plan.append((filling, times))
+        nodes -= 1
+        if not after:
             if used < most:
                 incumbent, most = list(plan), used
-            return
-        budget -= 1
-        rest = best_fit(left, capacity)
-        if (total := used + sum(u for _, u in rest)) < most:
-            incumbent, most = [*plan, *rest], total
-        # what a better packing may waste in all, and so in the next sequence
-        spare = (most - 1 - used) * capacity - sum(n * c for n, c in left.items())
-        if budget <= 0 or spare < 0 or used + waste_bound(left, capacity) >= most:
-            return
-        for filling in fillings(left, capacity, width, steps, spare):
-            times = min(left[n] // m for n, m in filling)
-            after = dict(left)
-            for n, m in filling:
-                after[n] -= times * m
-                if not after[n]:
-                    del after[n]
-            search(after, used + times, [*plan, (filling, times)])
-            if budget <= 0 or most <= bound:
-                return
-
-    search(counts, 0, [])
+            continue
+        if nodes % LOOK == 0 or sum(after.values()) < LOOK:
+            rest = best_fit(after, capacity)
+            if (total := used + sum(u for _, u in rest)) < most:
+                incumbent, most = [*plan, *rest], total
+        # what a better packing may waste in all, and so in its next sequence
+        spare = (most - 1 - used) * capacity - sum(n * c for n, c in after.items())
+        if spare >= 0 and used + waste_bound(after, capacity) < most:
+            stack.append((after, used, iter(fillings(after, capacity, width, steps, spare))))
     return incumbent, bound
 
 
