@@ -14,7 +14,6 @@ budget of nodes is used up, since the problem has no fast exact solution. Result
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -23,6 +22,7 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,95 +35,129 @@ NODES, WIDTH, STEPS = 1500, 2, 150  # budget of the search: nodes, fillings trie
 LOOK = 64  # nodes from one best-fit incumbent to the next
 LANE = 1 << 16  # pieces of a lane, about
 BATCH_BYTES = 1 << 22
-KNOWN = 1 << 19  # words kept with their ids in a task
+KNOWN = 1 << 19  # units kept with their ids in a task
+JOINED = 2000  # units encoded as one text
 
-# The split of the byte-level tokenizer, for texts without the characters of _OTHER: both regular expression engines agree on these; other texts go to the tokenizer whole.
-_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-_OTHER = re.compile(r"[^\t\n\r\x20-\x7E\xA1-\xAC\xAE-\xB1\xB4-\xB8\xBA\xBB\xBF-\u024F]")
+# Bytes after which a space may not end a unit: white space, and lead bytes of white space beyond ASCII.
+_UNSURE = np.zeros(256, bool)
+_UNSURE[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
 class _Numbers(dict):
-    """Numbers words as they come."""
+    """Numbers units as they come."""
 
-    def __missing__(self, word: str) -> int:
-        n = self[word] = len(self)
+    def __missing__(self, unit: bytes) -> int:
+        n = self[unit] = len(self)
         return n
 
 
 class Encoder:
     """Token ids of texts by a tokenizers file, without special tokens added.
 
-    With `words`, the tokenizer must split texts as byte-level BPE does: it then encodes each word of a task once, which gives the ids of the whole text since
-    BPE never joins words. Texts that hold an added token's string, or characters beyond Latin, are encoded whole.
+    With `units`, the tokenizer must be a byte-level BPE that cuts texts as the common pattern does. That pattern never joins what stands before a space to the space if
+    a visible character follows it, and BPE never joins what the pattern cuts. So texts are cut at such spaces, every distinct unit of a task is encoded once (many in one text,
+    whose ids are dealt back by their bytes), and the ids of a text are those of its units. Texts that hold an added token's string are encoded whole.
     """
 
-    def __init__(self, path: str, words: bool = True):
+    def __init__(self, path: str, units: bool = True):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words = words
+        vocabulary = self.tokenizer.get_vocab()
+        self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]
+        self.units = units
         self._forget()
 
     def _forget(self) -> None:
         self.numbers, self.ids, self.ends = _Numbers(), np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def _whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        plain = [i for i, t in enumerate(texts) if self.words and not _OTHER.search(t) and not any(a in t for a in self.added)]
-        out: list = [None] * len(texts)
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after the other, and how many each text has."""
+        made = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(made), np.uint32), np.fromiter(map(len, made), np.int64, len(made))
+
+    def _learn(self, fresh: list[bytes]) -> None:
+        """Encodes units: those that begin with a space in texts of many, the others one by one."""
+        lead = np.fromiter((u[:1] == b" " for u in fresh), bool, len(fresh))
+        spaced = [u for u, ok in zip(fresh, lead, strict=True) if ok]
+        size = np.zeros(len(fresh), np.int64)
+        many, _ = self._whole([b"".join(spaced[i : i + JOINED]).decode() for i in range(0, len(spaced), JOINED)])
+        to = np.searchsorted(np.cumsum(self.bytes[many]), np.cumsum(np.fromiter(map(len, spaced), np.int64, len(spaced)))) + 1
+        size[lead] = np.diff(to, prepend=0)
+        single, size[~lead] = self._whole([u.decode() for u, ok in zip(fresh, lead, strict=True) if not ok])
+        ids = np.empty(len(many) + len(single), np.uint32)
+        from_many = np.repeat(lead, size)
+        ids[from_many], ids[~from_many] = many, single
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(size)])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids one after the other, how many each text has) of a string column without nulls."""
+        if not len(column):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        if not self.units or any(pc.any(pc.match_substring(column, t)).as_py() for t in self.added):
+            return self._whole(column.to_pylist())
         if len(self.numbers) > KNOWN:
             self._forget()
+        _, raw, text = column.buffers()
+        offsets = np.frombuffer(raw, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        data = np.frombuffer(text, np.uint8)[offsets[0] : offsets[-1]] if text is not None else np.zeros(0, np.uint8)
+        offsets = offsets - offsets[0]
+        begins = np.zeros(len(data) + 1, bool)
+        begins[: len(data) - 1] = (data[:-1] == 0x20) & ~_UNSURE[data[1:]]
+        begins[offsets[1:] - 1] = False  # the last byte of a text, or of one before empty texts
+        begins[offsets] = True
+        starts = np.flatnonzero(begins).astype(np.int32)  # ends with the end of the data
+        units = pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(data)]).dictionary_encode()
         before = len(self.numbers)
-        number = self.numbers.__getitem__
-        split = [np.fromiter(map(number, _SPLIT.findall(texts[i])), np.int64) for i in plain]
-        fresh = list(islice(reversed(self.numbers), len(self.numbers) - before))[::-1]
-        made = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.fromiter(map(len, made), np.int64, len(made)))])
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(made), np.uint32)])
-        for i, w in zip(plain, split, strict=True):
-            n = self.ends[w + 1] - self.ends[w]
-            out[i] = self.ids[np.repeat(self.ends[w], n) + counting(n)]
-        other = [i for i, x in enumerate(out) if x is None]
-        for i, x in zip(other, self._whole([texts[i] for i in other]), strict=True):
-            out[i] = x
-        return out
+        number = np.fromiter(map(self.numbers.__getitem__, units.dictionary.to_pylist()), np.int64, len(units.dictionary))
+        self._learn(list(islice(reversed(self.numbers), len(self.numbers) - before))[::-1])
+        w = number[units.indices.to_numpy()]
+        n = self.ends[w + 1] - self.ends[w]
+        upto = np.concatenate([[0], np.cumsum(n)])[np.searchsorted(starts, offsets)]
+        return self.ids[np.repeat(self.ends[w], n) + counting(n)], np.diff(upto)
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str, words: bool) -> Encoder:
-    return Encoder(path, words)
+def _encoder(path: str, units: bool) -> Encoder:
+    return Encoder(path, units)
 
 
-def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
-    """(start, length) of the pieces of n > 0 ids: whole sequences from the end, the first piece holds the rest."""
-    first = (n - 1) % capacity + 1
-    return [(0, first), *((s, capacity) for s in range(first, n, capacity))]
+def cuts(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, piece, start, length) for rows of so many ids: whole sequences from the end, the first piece holds the rest. No ids, no piece."""
+    many = -(-sizes // capacity)
+    row, piece = np.repeat(np.arange(len(sizes)), many), counting(many)
+    first = (sizes[row] - 1) % capacity + 1
+    return row, piece, np.where(piece > 0, first + (piece - 1) * capacity, 0), np.where(piece > 0, capacity, first)
 
 
-def _pieces(path: str, words: bool, capacity: int, end: int | None):
+def _pieces(path: str, units: bool, capacity: int, end: int | None):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = _encoder(path, words)
-        tail = np.array([] if end is None else [end], np.uint32)
+        encode = _encoder(path, units)
         for batch in batches:
-            size = batch.column("text").nbytes // max(1, batch.num_rows) + 1
-            for lo in range(0, batch.num_rows, step := max(1, BATCH_BYTES // size)):
-                part = batch.slice(lo, step)
-                row, piece, start, length, ids = [], [], [], [], []
-                for i, e in enumerate(encode([t or "" for t in part.column("text").to_pylist()])):
-                    e = np.concatenate([e, tail]).astype("<u4")
-                    for k, (s, n) in enumerate(cuts(len(e), capacity) if len(e) else []):
-                        row.append(i), piece.append(k), start.append(s), length.append(n), ids.append(e[s : s + n])
-                offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
-                flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
+            text = pc.fill_null(batch.column("text"), "")
+            upto = pc.cumulative_sum(pc.binary_length(text).cast(pa.int64())).to_numpy()
+            lo = 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + BATCH_BYTES, "right")))
+                ids, sizes = encode(text.slice(lo, hi - lo))
+                if end is not None:
+                    ids = np.insert(ids, np.cumsum(sizes), end)
+                    sizes = sizes + 1
+                row, piece, start, length = cuts(sizes, capacity)
+                offsets = np.concatenate([[0], np.cumsum(length)])
+                flat = ids.astype("<u4")
+                bytes_of = memoryview(flat).cast("B")
+                crc = [zlib.crc32(bytes_of[4 * a : 4 * b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()),
-                     pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
+                    [batch.column("doc_id").take(pa.array(lo + row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64()),
+                     pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat.view(np.int32)))],
                     ["doc_id", "piece", "start", "length", "ids_crc32", "ids"],
                 )
+                lo = hi
 
     return emit
 
@@ -273,7 +307,7 @@ def plan_rows(plan: list[tuple[Filling, int]]) -> list[tuple[int, int, int, int,
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int | None = END, words: bool = True, nodes: int = NODES,
+    docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int | None = END, units: bool = True, nodes: int = NODES,
 ) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, ids (array), sequence_id, offset.
 
@@ -284,7 +318,7 @@ def pack_documents(
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     spark = docs.sparkSession
-    cut = docs.mapInArrow(_pieces(tokenizer, words, capacity, end), f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long, ids array<int>")
+    cut = docs.mapInArrow(_pieces(tokenizer, units, capacity, end), f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long, ids array<int>")
     pieces = settle(cut.withColumn("key", F.monotonically_increasing_id()))
     counts = {r["length"]: r["n"] for r in pieces.where(F.col("length") < capacity).groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = spark.createDataFrame(plan_rows(plan_fillings(counts, capacity, nodes)[0]), "n long, first long, last long, sequence long, each long, place long")
