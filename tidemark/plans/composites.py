@@ -52,7 +52,7 @@ n AS (SELECT cell, t, v, g, CASE WHEN ok THEN r END AS r, CASE WHEN ok THEN s EN
 u AS (SELECT cell, t, v, g, coalesce(last_value(r IGNORE NULLS) OVER b, first_value(r IGNORE NULLS) OVER z) AS r, coalesce(last_value(s IGNORE NULLS) OVER b, first_value(s IGNORE NULLS) OVER z) AS s,
   coalesce(last_value(h0 IGNORE NULLS) OVER b, first_value(h0 IGNORE NULLS) OVER z) AS h0 FROM n
   WINDOW b AS (PARTITION BY cell ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), z AS (PARTITION BY cell ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
-SELECT cell, t, round(r, 4) + 0.0 AS r, round(CASE WHEN abs(r) >= 0.2 THEN v - greatest(-0.2, least(0.7, s)) * g + h0 ELSE v END, 4) + 0.0 AS h_corr FROM (SELECT * FROM c UNION ALL SELECT * FROM i UNION ALL SELECT * FROM u)"""
+SELECT cell, t, round(CASE WHEN NOT isnan(r) THEN r END, 4) + 0.0 AS r, round(CASE WHEN abs(r) >= 0.2 AND NOT isnan(r) THEN v - greatest(-0.2, least(0.7, s)) * g + h0 ELSE v END, 4) + 0.0 AS h_corr FROM (SELECT * FROM c UNION ALL SELECT * FROM i UNION ALL SELECT * FROM u)"""
 
 
 def errors_of(f, column):

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from ..operators import delaunay as D
 from ..operators import fits as K
 from ..operators import spatial as P
 from .views import series, table, tidy
@@ -78,6 +79,13 @@ def krige(spark, d):
     return tidy(K.per_series(parts, "cell", ["salt"], solve, "cell long, gx double, gy double, v double, e double"))
 
 
+def gridded(spark, d):
+    """Customers' places gridded at nodes whose number grows with the suppliers; null outside the places' hull."""
+    p = table(spark, d, "customer").selectExpr("c_acctbal / 100 + (c_custkey % 13) / 64 AS x", "(c_custkey * 7919 % 6007) / 100 AS y", "c_acctbal / 2000 + (c_custkey % 7) / 5 AS v")
+    nodes = table(spark, d, "supplier").selectExpr("s_suppkey AS node", "s_suppkey % 37 * 3.0625D - 9 AS x", "floor(s_suppkey / 37) * 1.4375D % 62 AS y")
+    return tidy(D.grid_linear(p, nodes))
+
+
 _RADIUS, _LEAST, _MOST = 4.0, 30, 200.0  # of selection; observations; signal
 
 
@@ -115,5 +123,6 @@ QUERIES = [
     ("OP-WIN-PEAKDET", peaks, None),
     ("OP-SPEC-CWT", power, None),
     ("OP-INT-KRIG", krige, None),
+    ("OP-INT-GRIDDATA", gridded, None),
     ("OP-LSC-MAIN", collocate, None),
 ]

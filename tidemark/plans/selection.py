@@ -84,17 +84,19 @@ def pairs(spark, d):
 
 
 def placed(spark, d):
-    """Two subgrids of different origin in one full grid, by whole indices; other cells stay null."""
-    s = series(spark, d).where("t < 3 AND cell < 30").selectExpr("t", "cell % 6 AS a", "cast(floor(cell / 6) AS bigint) AS b", "v")
+    """Two subgrids of different origin in one full grid, by whole indices, over all epochs and cells; the grid has as many rows and epochs as the data, and other cells stay null."""
+    s = series(spark, d).selectExpr("t", "cell % 6 AS a", "cast(floor(cell / 6) AS bigint) AS b", "v")
     one = s.where("b < 3").selectExpr("t", "-70 + (a + 0.5D) * 1.2D AS lon", "-80 + (b + 0.5D) * 0.4D AS lat", "v")
     two = s.where("b >= 3").selectExpr("t", "-70 + (a + 6.5D) * 1.2D AS lon", "-80 + (b + 0.5D) * 0.4D AS lat", "v")
     cells = S.place_subgrid(one.unionByName(two), -70.0, -80.0, 1.2, 0.4)
-    grid = spark.range(3 * 12 * 5).selectExpr("id % 3 AS t", "cast(floor(id / 3) % 12 AS bigint) AS ix", "cast(floor(id / 36) AS bigint) AS iy")
+    extent = s.agg(F.max("t").alias("t"), F.max("b").alias("b"))
+    grid = extent.select(F.explode(F.sequence(F.lit(0).cast("long"), "t")).alias("t"), "b").select("t", F.explode(F.sequence(F.lit(0).cast("long"), "b")).alias("iy")).select("t", "iy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(11).cast("long"))).alias("ix"))
     return tidy(S.on_full_grid(cells, grid, ["v"]))
 
 
-_PLACED = f"""WITH {SERIES}, a AS (SELECT t, cell % 6 + CASE WHEN cell // 6 >= 3 THEN 6 ELSE 0 END AS ix, cell // 6 AS iy, v FROM se WHERE t < 3 AND cell < 30),
-g AS (SELECT range % 3 AS t, range // 3 % 12 AS ix, range // 36 AS iy FROM range(180)) SELECT t, ix, iy, round(v, 6) + 0.0 AS v FROM g LEFT JOIN a USING (t, ix, iy)"""
+_PLACED = f"""WITH {SERIES}, a AS (SELECT t, cell % 6 + CASE WHEN cell // 6 >= 3 THEN 6 ELSE 0 END AS ix, cell // 6 AS iy, v FROM se),
+g AS (SELECT x.t, y.iy, z.ix FROM (SELECT unnest(range((SELECT max(t) + 1 FROM se))) AS t) x, (SELECT unnest(range((SELECT max(cell // 6) + 1 FROM se))) AS iy) y, (SELECT unnest(range(12)) AS ix) z)
+SELECT t, ix, iy, round(v, 6) + 0.0 AS v FROM g LEFT JOIN a USING (t, ix, iy)"""
 
 
 def month_window(spark, d):
