@@ -48,7 +48,7 @@ _DRIVER = f"""WITH {SERIES}, a AS (SELECT *, CASE WHEN t < 24 THEN 0 WHEN t < 48
 c AS (SELECT cell, t, v, g, corr(x, y) OVER w AS r, regr_slope(y, x) OVER w AS s, regr_intercept(y, x) OVER w AS h0 FROM a WHERE cell % 3 = 0 WINDOW w AS (PARTITION BY cell)),
 i AS (SELECT cell, t, v, g, corr(x, y) OVER w AS r, regr_slope(y, x) OVER w AS s, regr_intercept(y, x) OVER w AS h0 FROM a WHERE cell % 3 = 1 WINDOW w AS (PARTITION BY cell, part)),
 f AS (SELECT cell, t, v, g, count(*) OVER w = 9 AS ok, corr(x, y) OVER w AS r, regr_slope(y, x) OVER w AS s, regr_intercept(y, x) OVER w AS h0 FROM a WHERE cell % 3 = 2 WINDOW w AS (PARTITION BY cell ORDER BY t ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING)),
-n AS (SELECT cell, t, v, g, CASE WHEN ok THEN r END AS r, CASE WHEN ok THEN s END AS s, CASE WHEN ok THEN h0 END AS h0 FROM f),
+n AS (SELECT cell, t, v, g, CASE WHEN ok AND NOT isnan(r) THEN r END AS r, CASE WHEN ok AND NOT isnan(s) THEN s END AS s, CASE WHEN ok AND NOT isnan(h0) THEN h0 END AS h0 FROM f),
 u AS (SELECT cell, t, v, g, coalesce(last_value(r IGNORE NULLS) OVER b, first_value(r IGNORE NULLS) OVER z) AS r, coalesce(last_value(s IGNORE NULLS) OVER b, first_value(s IGNORE NULLS) OVER z) AS s,
   coalesce(last_value(h0 IGNORE NULLS) OVER b, first_value(h0 IGNORE NULLS) OVER z) AS h0 FROM n
   WINDOW b AS (PARTITION BY cell ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), z AS (PARTITION BY cell ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
