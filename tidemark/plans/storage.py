@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..sources import netcdf as N
 from ..sources import storage as S
 from ..sources import tables as T
 from .views import SERIES, series, table, tidy
@@ -121,6 +122,13 @@ def database(spark, d):
     return tidy(S.database(e, "utc85").groupBy("year", "month", "season").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("v")))
 
 
+def classic(spark, d):
+    """A series' rows in classic grid files with t as their record coordinate, read back within bounds of t that pass over whole files and ranges."""
+    path = S.scratch(spark)
+    N.write_classic(series(spark, d).select("cell", "t", "v").repartitionByRange(8, "t").sortWithinPartitions("t", "cell"), path, "t")
+    return tidy(N.read_classic(spark, path, "t bigint, cell bigint, v double", 24, 59))
+
+
 _SAME = f"WITH {SERIES} SELECT cell, t, round(v, 6) + 0.0 AS v FROM se"
 
 QUERIES = [
@@ -128,6 +136,7 @@ QUERIES = [
     ("OP-SCAN-H5GRID", grid, f"WITH {SERIES} SELECT cell, t, round(v, 6) + 0.0 AS v, NULL::DOUBLE AS n_ad FROM se"),
     ("OP-SCAN-H5DICT", leaves, " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS rows, (SELECT count(*) FROM (DESCRIBE SELECT * FROM {n})) AS columns FROM {n}" for n in _NAMES)),
     ("OP-SCAN-FLT", raster, _RASTER),
+    ("OP-SCAN-NC", classic, f"WITH {SERIES} SELECT t, cell, round(v, 6) + 0.0 AS v FROM se WHERE t >= 24 AND t < 60"),
     ("OP-SCAN-CSV", csv, "SELECT s_suppkey AS k, round(s_acctbal, 6) + 0.0 AS balance, s_name AS name FROM supplier"),
     ("OP-SINK-TXT", text, "SELECT c_custkey AS k, round(c_acctbal, 6) + 0.0 AS balance, c_nationkey::BIGINT AS nation FROM customer"),
     ("OP-SINK-H5MAT", columns, _SAME),
