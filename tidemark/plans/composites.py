@@ -226,7 +226,7 @@ _NEAR = f"WITH {_NODES}, ne AS (SELECT node, id, x, y, v, sqrt((nx - x) ** 2 + (
 
 
 def _near(spark, d):
-    return P.circle_join(_nodes(spark, d), _places(spark, d), 3.0).select("node", "id", "x", "y", "v", "distance", F.radians((F.col("id") % 360).cast("double")).alias("az"))
+    return P.circle_join(_nodes(spark, d), _places(spark, d), 3.0).select("node", "nx", "ny", "id", "x", "y", "v", "distance", F.radians((F.col("id") % 360).cast("double")).alias("az"))
 
 
 def looked_up(spark, d):
@@ -240,16 +240,14 @@ def signals(spark, d):
 
 
 def observed(spark, d):
-    n = _near(spark, d)
+    n = V.nearest_by_quadrant(_near(spark, d), ["node"])
     one = V.observation_covariances(n, _TABLE, 0.5, F.lit(0.8), F.lit(0.3)).withColumnRenamed("c", "c1")
     two = V.observation_covariances(n, _TABLE, 0.5, F.lit(0.8), F.lit(0.3), "az").withColumnRenamed("c", "c2")
     return tidy(one.join(two, ["node", "a_id", "b_id"]))
 
 
 def solved(spark, d):
-    n = _near(spark, d)
-    one = F.lit(1.0)
-    return tidy(V.solve(V.signal_covariances(n, _TABLE, 0.5, one), V.observation_covariances(n, _TABLE, 0.5, one, F.lit(0.3)), n.select("node", "id", "v"), _TABLE[0]))
+    return tidy(V.solve(V.nearest_by_quadrant(_near(spark, d), ["node"]), _TABLE, 0.5, F.lit(1.0), F.lit(0.3), _TABLE[0]))
 
 
 def scales(spark, d):
@@ -262,6 +260,16 @@ def fitted(spark, d):
     return tidy(V.fit_model(P.covariance(p, 2.0, 5), 2.0), 4)
 
 
+def fitted_globally(spark, d):
+    """Heights on a patch of 11 by 6 degrees; the model's covariances at the classes' distances."""
+    p = _places(spark, d).selectExpr("id", "x / 10 AS x", "y / 10 AS y", "sin(x / 9) * cos(y / 8) * 3 AS v")
+    c = P.covariance(p, 0.2, 8)
+    parameters = V.fit_global_model(c, 0.2)
+    at = V.global_covariance(V.np.arange(8) * 0.2, parameters, 60, 1000)
+    model = spark.createDataFrame([(k, float(v), *map(float, parameters)) for k, v in enumerate(at)], "class int, model double, alpha double, a double, depth double")
+    return tidy(c.join(F.broadcast(model), "class"), 4)
+
+
 QUERIES = [
     ("OP-COR-TIDE", tide_corrected, f"WITH {PAIRS} SELECT sat, time1, round(avg((h2 - tide2) - (h1 - tide1)), 6) + 0.0 AS dh, count(*) AS n FROM xo WHERE tide2 <> -9999 GROUP BY ALL"),
     ("OP-COR-TIDEFILE", tide_files, f"WITH {pieces._TIDE}, {_TWO}"),
@@ -291,9 +299,10 @@ QUERIES = [
     ("OP-SM-ALONG", along, _ALONG),
     ("OP-LSC-COVINT", looked_up, f"{_NEAR}, q AS (SELECT node, id, far * 2 AS far FROM ne) SELECT node, id, round({_LOOK}, 6) + 0.0 AS c FROM q"),
     ("OP-LSC-SIG1/2", signals, f"{_NEAR} SELECT node, id, round(0.8::DOUBLE * {_LOOK}, 6) + 0.0 AS c1, round(-cos(az) * 0.8::DOUBLE * {_LOOK}, 6) + 0.0 AS c2 FROM ne"),
-    ("OP-LSC-OBS1/2", observed, f"""{_NEAR}, q AS (SELECT a.node, a.id AS a_id, b.id AS b_id, a.az AS a1, b.az AS a2, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS far FROM ne a JOIN ne b USING (node)), r AS (SELECT *, 0.8::DOUBLE * {_LOOK} AS c FROM q)
+    ("OP-LSC-OBS1/2", observed, f"""{_NEAR}, ke AS (SELECT ne.* FROM ne JOIN nd USING (node) QUALIFY row_number() OVER (PARTITION BY node, x >= nx, y >= ny ORDER BY round(far, 9), id) <= {V.QUADRANT}), q AS (SELECT a.node, a.id AS a_id, b.id AS b_id, a.az AS a1, b.az AS a2, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS far FROM ke a JOIN ke b USING (node)), r AS (SELECT *, 0.8::DOUBLE * {_LOOK} AS c FROM q)
   SELECT node, a_id, b_id, round(c + CASE WHEN a_id = b_id THEN 0.09::DOUBLE ELSE 0 END, 6) + 0.0 AS c1, round(c * cos(a1) * cos(a2) + CASE WHEN a_id = b_id THEN 0.09::DOUBLE ELSE 0 END, 6) + 0.0 AS c2 FROM r"""),
     ("OP-LSC-SOLVE", solved, None),
+    ("OP-LSC-COVFIT-GLOBAL", fitted_globally, None),
     ("OP-LSC-SCALE", scales, f"""{_NEAR}, k AS (SELECT node, count(*) FILTER (id % 3 <> 0) AS ne, count(*) FILTER (id % 3 = 0) AS ng, var_pop(v) FILTER (id % 3 <> 0) AS a, var_pop(v) FILTER (id % 3 = 0) AS b FROM ne GROUP BY node)
   SELECT node, round(least((ne * coalesce(a, 0) / (2 * 23.504430595412476::DOUBLE) + ng * coalesce(b, 0) / 40) / (ne + ng), 1), 6) + 0.0 AS scale FROM k"""),
     ("OP-LSC-COVFIT", fitted, f"""WITH {_NODES}, q AS (SELECT id, x, y, sin(x / 9) * cos(y / 8) * 3 AS v FROM pl), p AS (SELECT floor(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) / 2 + 0.5) AS k, a.v * b.v AS vv FROM q a JOIN q b ON a.id <= b.id AND abs(a.x - b.x) < 9.1),

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from ..operators import covariances as V
 from ..operators import delaunay as D
 from ..operators import fits as K
 from ..operators import spatial as P
@@ -99,12 +100,12 @@ def _collocate(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def collocate(spark, d):
-    """Per nation and node: the signal from the nation's places within the radius; 0 with an error of 0 under the least number of places and beyond the largest signal."""
+    """Per nation and node: the signal from the nation's nearest places within the radius, so many in each quadrant; 0 with an error of 0 under the least number of places and beyond the largest signal."""
     p = _places(spark, d)
     nodes = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(zip(_GX, _GY, strict=True))], "node int, nx double, ny double")
     near = P.circle_join(nodes, p, _RADIUS)
     enough = near.groupBy("cell", "node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= _LEAST)
-    solved = K.per_series(near.join(enough.drop("n"), ["cell", "node"]), ["cell", "node"], ["t"], _collocate, "cell long, node int, signal double, error double")
+    solved = K.per_series(V.nearest_by_quadrant(near, ["cell", "node"], "t").join(enough.drop("n"), ["cell", "node"]), ["cell", "node"], ["t"], _collocate, "cell long, node int, signal double, error double")
     every = p.select("cell").distinct().crossJoin(F.broadcast(nodes))
     out = every.join(solved, ["cell", "node"], "left").select("cell", F.col("nx").alias("gx"), F.col("ny").alias("gy"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("signal", "error")])
     return tidy(out)
