@@ -772,6 +772,38 @@ def test_stages_decide_row_by_row(spark, tmp_path):
     assert len(run(pipeline.quality)) == sum(r["predicted"] for r in scored) and verdicts
 
 
-def test_registry_has_all_ten():
-    assert [int(re.match(r"op(\d+)_", q)[1]) for q in registry.queries()] == list(range(1, 11))
+def test_registry_has_all_thirteen():
+    assert [int(re.match(r"op(\d+)_", q)[1]) for q in registry.queries()] == list(range(1, 14))
     assert set(registry.oracle_sql()) <= set(registry.queries())
+
+
+def doubled(n):
+    """Two words of 2**n letters a and b, each the other's complement, doubled from a letter: polynomial hashes modulo a power of two take them as equal."""
+    one, two = "a", "b"
+    for _ in range(n):
+        one, two = one + two, two + one
+    return one, two
+
+
+def test_structured_words_are_told_apart(spark):
+    one, two = doubled(10)
+    common = " ".join(f"w{i}" for i in range(19))
+    docs = spark.createDataFrame([(1, f"{common} {one}"), (2, f"{common} {two}"), (3, one), (4, two)], "doc_id long, text string")
+    for window, kind in ((20, "cover"), (20, "minimiser")):
+        assert {r["n_removed"] for r in repeats.remove_repeats(docs, window, kind).collect()} == {0}
+    assert all(r["kept"] for r in near_dedup.near_dedup(docs.where("doc_id > 2"), width=2).collect())
+    items = spark.createDataFrame([(1, one)], "item_id long, text string")
+    assert [r["doc_id"] for r in decontam.without_leaks(docs.select("doc_id", "text").where("doc_id > 2"), items).collect()] == [4]
+
+
+def test_word_hashes_differ_by_every_byte():
+    rng = np.random.default_rng(9)
+    some = {bytes(rng.integers(97, 100, rng.integers(1, 40), np.uint8)) for _ in range(20000)} | {w.encode() for n in range(1, 12) for w in doubled(n)} | {b"a" * k for k in range(1, 600)}
+    data = np.frombuffer(b" ".join(sorted(some)), np.uint8)
+    from tidemark.llm.words import Words
+
+    w = Words(data, np.array([0, len(data)]), "space", False)
+    one, two = w.hashes(), w.hashes(1)
+    assert w.n == len(some) == len(np.unique(one)) == len(np.unique(two)) and not (one == two).any()
+    again = Words(data[5:], np.array([0, len(data) - 5]), "space", False)
+    assert (again.hashes()[1:] == one[-again.n + 1 :]).all()

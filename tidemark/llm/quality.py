@@ -47,7 +47,7 @@ def _shapes(w) -> np.ndarray:
         np.cumsum(kind, out=c[1:])
         code |= (c[w.end] > c[w.start]).astype(np.uint32) << np.uint32(bit)
     code |= (w.end - w.start == 1).astype(np.uint32) << np.uint32(4)
-    h = w.hashes()
+    h = w.cells()
     again = np.zeros(w.n, bool)
     again[1:] = h[1:] == h[:-1]
     at = w.first[:-1]

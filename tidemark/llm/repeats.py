@@ -93,7 +93,7 @@ def _anchors(kind: str, window: int):
                 if not len(at):
                     continue
                 lo, hi = _context(w.first, row, at, window, width)
-                around = {"c": signed(span_hashes(hashes, lo, hi, 2) ^ ((at - lo) * 64 + hi - at).astype(np.uint64))} if kind == "cover" else {}
+                around = {"c": signed(span_hashes(w.hashes(1), lo, hi, 2) ^ ((at - lo) * 64 + hi - at).astype(np.uint64))} if kind == "cover" else {}
                 own = {k: batch.column(k).take(pa.array(row + a)) for k in KEY}
                 yield pa.RecordBatch.from_pydict({"h": signed(h), **around, **own, "pos": pa.array((at - w.first[row]).astype(np.int32))})
 
@@ -150,7 +150,7 @@ def _suffixes(window: int, width: int):
                     "prefix": _binary(codes[np.repeat(at, at - lo) - 1 - counting(at - lo)], at - lo),
                 }
                 own = {k: batch.column(k).take(pa.array(row + a)) for k in KEY}
-                yield pa.RecordBatch.from_pydict({**words, "c": signed(span_hashes(hashes, lo, hi, 2)), **own, "pos": pa.array((at - w.first[row]).astype(np.int32))})
+                yield pa.RecordBatch.from_pydict({**words, "c": signed(span_hashes(w.hashes(1), lo, hi, 2)), **own, "pos": pa.array((at - w.first[row]).astype(np.int32))})
 
     return emit
 
@@ -276,7 +276,7 @@ def _windows(window: int):
                 row = np.searchsorted(w.first, at, "right") - 1
                 own = {k: batch.column(k).take(pa.array(row + a)) for k in KEY}
                 yield pa.RecordBatch.from_pydict(
-                    {"h1": signed(runs(h, window)[at]), "h2": signed(runs(h ^ np.uint64(0x5851F42D4C957F2D), window, 1)[at]), **own, "pos": pa.array((at - w.first[row]).astype(np.int32))}
+                    {"h1": signed(runs(h, window)[at]), "h2": signed(runs(w.hashes(1), window, 1)[at]), **own, "pos": pa.array((at - w.first[row]).astype(np.int32))}
                 )
 
     return emit

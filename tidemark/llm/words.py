@@ -2,8 +2,8 @@
 
 A task hands in an Arrow string column; the helper walks it in chunks of rows of about `CHUNK_BYTES` bytes of
 text, so that memory is bounded by the chunk or by the longest single text.  Words are maximal runs of bytes
-that a 256-entry table doesn't mark as separators; hashes are polynomial prefix sums modulo 2**64 with a
-final mix, so that the hash of any run of words comes from two prefix values.
+that a 256-entry table doesn't mark as separators, hashed in mixed lanes.  Runs of words are hashed by polynomial
+prefix sums of these hashes modulo 2**64 with a final mix, so that the hash of any run comes from two prefix values.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 CHUNK_BYTES = 1 << 20
 _B = 0x9E3779B97F4A7C15 | 1
 _M = (1 << 64) - 1
+_LANE = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # the first k bytes of a lane
 
 
 @lru_cache(maxsize=None)
@@ -101,7 +102,23 @@ class Words:
         self.first = np.searchsorted(self.start, offsets)
         self.n = len(self.start)
 
-    def hashes(self) -> np.ndarray:
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        """64 bits of each word, in eight-byte lanes: each lane is mixed with a key of its place, and the sum with the length. Words of up to eight bytes and one length never collide; two seeds give independent bits."""
+        n = self.end - self.start
+        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        lanes = np.ndarray(len(self.data) + 1, "<u8", padded, strides=(1,))
+        keys = lambda i: mix64(np.asarray(i, np.uint64) * np.uint64(_B) + np.uint64(0xC2B2AE3D27D4EB4F * (2 * seed + 1) & _M))
+        out = mix64((lanes[self.start] & _LANE[np.minimum(n, 8)]) ^ keys([0]))
+        long = np.flatnonzero(n > 8)
+        if len(long):
+            k = (n[long] + 7) // 8
+            row, i = np.repeat(long, k), counting(k)
+            parts = mix64((lanes[self.start[row] + 8 * i] & _LANE[np.minimum(n[row] - 8 * i, 8)]) ^ keys(i))
+            out[long] = np.add.reduceat(parts, np.cumsum(k) - k)
+        return mix64(out + n.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+
+    def cells(self) -> np.ndarray:
+        """Polynomial hashes modulo 2**64, for features only: structured words of some thousand bytes can share one."""
         p, inverse = powers(len(self.data) + 1)
         c = np.zeros(len(self.data) + 1, np.uint64)
         np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * p[:-1], out=c[1:])
