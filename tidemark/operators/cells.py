@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import scratch
+
 
 def digit(x: Column, start: float, step: float) -> Column:
     """The number of the half-open bin [start + (i - 1) * step, start + i * step) that holds x, from 1 on."""
@@ -15,10 +17,61 @@ def bin_centre(i: Column, start: float, step: float) -> Column:
     return start + (i - 0.5) * step
 
 
-def bin_stats(df: DataFrame, x: str, y: str, z: str, x0: float, y0: float, dx: float, dy: float) -> DataFrame:
-    """Per cell: median, mean and number of z. Cells without rows are absent; nulls are skipped."""
-    keyed = df.select(digit(F.col(x), x0, dx).alias("ix"), digit(F.col(y), y0, dy).alias("iy"), F.col(z).alias("z")).where("z IS NOT NULL AND ix IS NOT NULL AND iy IS NOT NULL")
-    return keyed.groupBy("ix", "iy").agg(F.median("z").alias("median"), F.avg("z").alias("mean"), F.count("z").alias("n"))
+SMALL = 1 << 16  # rows of a group that one task may hold
+
+
+def _saved(df: DataFrame) -> DataFrame:
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def exact_medians(rows: DataFrame, keys: list[str], value: str, small: int = SMALL, bins: int = 64) -> DataFrame:
+    """keys, median: of every group's values, exactly; nulls and NaN are skipped, null keys are a group.
+
+    A group of up to `small` values is one aggregation. In a larger one the two middle ranks are searched for without gathering it: its range is cut into `bins`, counts, least and largest
+    value per bin are summed up in every task before they move, and the bin that holds the rank is the next range, until its values are equal or at most `small`, which are then sorted. So the rows of a popular
+    group stay spread over all tasks; only the ranges are joined to them.
+    """
+    v = F.col("_v")
+    rows = rows.select(*keys, F.col(value).cast("double").alias("_v")).where(v.isNotNull() & ~F.isnan(v))
+    hot = _saved(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")).where(F.col("_n") > small))
+    own = [F.col(c).alias(f"_k_{c}") for c in keys]
+    drop = [f"_k_{c}" for c in keys]
+    if hot.limit(1).count() == 0:
+        return rows.groupBy(*keys).agg(F.median("_v").alias("median"))
+    cold = rows.join(hot.select(*own), _on(keys, "_k_"), "left_anti").groupBy(*keys).agg(F.median("_v").alias("median"))
+    ranks = F.array_distinct(F.array(F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)))
+    targets = hot.withColumn("_rank", F.explode(ranks)).withColumn("_left", F.col("_n")).withColumn("_at", F.col("_rank"))
+    targets = _saved(targets.select(*own, "_rank", "_at", "_left", "_lo", "_hi"))
+    found = []
+    while True:
+        settled = targets.where("_lo = _hi").select(*drop, "_rank", F.col("_lo").alias("_m"))
+        few = targets.where(f"_lo < _hi AND _left <= {small}")
+        open_ = targets.where(f"_lo < _hi AND _left > {small}")
+        within = lambda t: rows.join(t, _on(keys, "_k_")).where(v.between(F.col("_lo"), F.col("_hi")))
+        values = within(few).groupBy(*drop, "_rank", "_at").agg(F.sort_array(F.collect_list("_v")).alias("_s"))
+        found += [settled, values.select(*drop, "_rank", F.get("_s", F.col("_at").cast("int")).alias("_m"))]
+        if open_.limit(1).count() == 0:
+            break
+        # halves, so that a range over all doubles doesn't overflow
+        part = F.floor((v / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2) * bins)
+        sums = within(open_).withColumn("_bin", F.least(F.lit(bins - 1), part)).groupBy(*drop, "_rank", "_at", "_bin").agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        before = F.coalesce(F.sum("_c").over(Window.partitionBy(*drop, "_rank").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        held = sums.withColumn("_b", before).where((F.col("_b") <= F.col("_at")) & (F.col("_at") < F.col("_b") + F.col("_c")))
+        targets = _saved(held.select(*drop, "_rank", (F.col("_at") - F.col("_b")).alias("_at"), F.col("_c").alias("_left"), "_lo", "_hi"))
+    middle = found[0]
+    for f in found[1:]:
+        middle = middle.unionByName(f)
+    # the mean of the one or two middle values; halves again
+    middle = middle.groupBy(*drop).agg((F.min("_m") / 2 + F.max("_m") / 2).alias("median"))
+    return cold.unionByName(middle.select(*[F.col(f"_k_{c}").alias(c) for c in keys], "median"))
+
+
+def bin_stats(df: DataFrame, x: str, y: str, z: str, x0: float, y0: float, dx: float, dy: float, small: int = SMALL) -> DataFrame:
+    """Per cell: median, mean and number of z. Cells without rows are absent; nulls and NaN are skipped. Medians by exact_medians, so that a popular cell isn't one task."""
+    keyed = df.select(digit(F.col(x), x0, dx).alias("ix"), digit(F.col(y), y0, dy).alias("iy"), F.col(z).alias("z")).where("z IS NOT NULL AND NOT isnan(z) AND ix IS NOT NULL AND iy IS NOT NULL")
+    return exact_medians(keyed, ["ix", "iy"], "z", small).join(keyed.groupBy("ix", "iy").agg(F.avg("z").alias("mean"), F.count("z").alias("n")), ["ix", "iy"])
 
 
 def _on(keys: list[str], prefix: str) -> Column:
@@ -118,12 +171,47 @@ def pair_filter(sat: Column, mode1: Column, mode2: Column, border1: Column, bord
     return mode & (border1 == 0) & (border2 == 0) & (tide1 != -9999) & (tide2 != -9999)
 
 
+def _class_stats(rows: DataFrame, cell: list[str], use_all: bool, median: bool, small: int) -> DataFrame:
+    """What cell_change returns, of edited rows (cell, cls, dh, dg), by aggregations that sum up in each task and medians by exact_medians."""
+    ad, da = F.col("cls") == "ad", F.col("cls") == "da"
+    out = rows.groupBy(*cell).agg(
+        *[f(F.when(c, F.col(v))).alias(f"_{v}_{c_}_{name}") for v in ("dh", "dg") for c_, c in (("ad", ad), ("da", da)) for name, f in (("n", F.count), ("avg", F.avg))],
+        *[_spread(F.col(v), c).alias(f"_{v}_{c_}_sd") for v in ("dh", "dg") for c_, c in (("ad", ad), ("da", da))],
+        F.count(F.when(ad, 1)).alias("n_ad"), F.count(F.when(da, 1)).alias("n_da"),
+    ).select(*[F.col(c).alias(f"_k_{c}") for c in cell], "*").drop(*cell)
+    for v in ("dh", "dg") if median else ():
+        mid = exact_medians(rows, [*cell, "cls"], v, small).groupBy(*cell).agg(*[F.max(F.when(F.col("cls") == c, F.col("median"))).alias(f"_{v}_{c}_mid") for c in ("ad", "da")])
+        out = mid.join(out, _on(cell, "_k_"), "right").drop(*cell)
+    columns = []
+    for v in ("dh", "dg"):
+        n1, n2, a1, a2, s1, s2 = (F.col(f"_{v}_{c}_{k}") for k in ("n", "avg", "sd") for c in ("ad", "da"))
+        m1, m2 = (F.col(f"_{v}_{c}_mid") for c in ("ad", "da")) if median else (a1, a2)
+        columns += [
+            _either((n1 * m1 + n2 * m2) / (n1 + n2), m1, m2, n1, n2, use_all).alias(f"{v}_mean"),
+            _either(F.sqrt(n1 * s1 * s1 + n2 * s2 * s2) / (n1 + n2), s1 / F.sqrt(n1), s2 / F.sqrt(n2), n1, n2, use_all).alias(f"{v}_error"),
+            _either(F.abs(a1 - a2), s1, s2, n1, n2, use_all).alias(f"{v}_error2"),
+        ]
+    return out.select(*[F.col(f"_k_{c}").alias(c) for c in cell], *columns, "n_ad", "n_da")
+
+
+def _change_of_popular(rows: DataFrame, cell: list[str], k: float, rounds: int, use_all: bool, median: bool, small: int) -> DataFrame:
+    """The edit and the statistics of cells with many rows: sums per group are joined back, and no row is gathered by its cell."""
+    groups = [*cell, "cls"]
+    cuts = sigma_cuts(rows, groups, "dh", k, rounds=rounds).drop("settled")
+    edited = rows.join(cuts, _on(groups, "_k_")).withColumn("ok", F.coalesce(F.abs("dh") <= F.col("cut"), F.lit(True))).drop(*[f"_k_{c}" for c in groups], "cut")
+    any_ok = edited.groupBy(*[F.col(c).alias(f"_k_{c}") for c in cell]).agg(F.max("ok").alias("any_ok"))
+    edited = edited.join(any_ok, _on(cell, "_k_")).where("ok OR NOT any_ok").select(*groups, "dh", "dg")
+    return _class_stats(_saved(edited), cell, use_all, median, small)
+
+
 def cell_change(
     pairs: DataFrame, keys: list[str], x0: float, y0: float, dx: float, dy: float, most: float = 15.0, k: float = 3.0, use_all: bool = True,
-    median: bool = True, rounds: int = 1,
+    median: bool = True, rounds: int = 1, small: int = SMALL,
 ) -> DataFrame:
     """Elevation and backscatter change per key and cell, from filtered pairs.
 
+    Cells of over `small` rows (a count per cell tells, before anything else) are edited and summed up without gathering them; the others as follows.
+
     pairs: keys, lon, lat, h1, h2, tide1, tide2, g1, g2, ftrk1, ftrk2 (0 ascending, 1 descending). dh is corrected for tides; values over `most` go, then the sigma edit per class. If it
     empties both classes of a cell, the values before it stay. dg follows dh's rows. One shuffle on (keys, cell): the edit's window, the rule and the final aggregation share it.
     """
@@ -136,6 +224,11 @@ def cell_change(
         ((F.col("h2") - F.col("tide2")) - (F.col("h1") - F.col("tide1"))).alias("dh"),
         (F.col("g2") - F.col("g1")).alias("dg"),
     ).where((F.abs("dh") <= most) & F.col("cls").isNotNull() & F.col("ix").isNotNull() & F.col("iy").isNotNull())
+    popular = _saved(p.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > small).select(*[F.col(c).alias(f"_k_{c}") for c in cell]))
+    apart = None
+    if popular.limit(1).count():
+        apart = _change_of_popular(p.join(popular, _on(cell, "_k_"), "left_semi"), cell, k, rounds, use_all, median, small)
+        p = p.join(popular, _on(cell, "_k_"), "left_anti")
     # dealt by the cell, so that the windows over (cell, class) and over the cell need no other exchange
     p = p.repartition(*cell)
     p = _edit_dealt(p, [*cell, "cls"], "dh", k, rounds)
@@ -148,4 +241,5 @@ def cell_change(
             weighted_mean(c, ad, da, use_all, median).alias(f"{v}_mean"), weighted_error(c, ad, da, use_all).alias(f"{v}_error"),
             class_difference(c, ad, da, use_all).alias(f"{v}_error2"),
         ]
-    return p.groupBy(*cell).agg(*aggs, F.count(F.when(ad, 1)).alias("n_ad"), F.count(F.when(da, 1)).alias("n_da"))
+    out = p.groupBy(*cell).agg(*aggs, F.count(F.when(ad, 1)).alias("n_ad"), F.count(F.when(da, 1)).alias("n_da"))
+    return out if apart is None else out.unionByName(apart)
