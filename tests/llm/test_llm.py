@@ -645,6 +645,25 @@ def test_mixing_makes_up_for_huge_documents(spark):
     assert sorted(map(str, mixing.mix(df.repartition(2), weights=(3, 1), share=1.2, block=64).collect())) == sorted(map(str, got))
 
 
+@pytest.mark.parametrize("many", [5, 100_000])
+def test_mixing_spreads_copies_over_equal_rows(spark, many):
+    """Equal rows, with and without an id, are one entry: their copies differ by one at most, and what is carried comes back with each row."""
+    equal = spark.range(many).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a b c d e f g").alias("text"), F.lit("x").alias("source"), F.lit("de").alias("lang"))
+    rest = spark.createDataFrame([(i, "w " * (1 + i % 50), "xy"[i % 2], "en") for i in range(500)], "doc_id long, text string, source string, lang string")
+    twice = rest.where("doc_id < 20").withColumn("lang", F.lit("fr"))
+    df = equal.unionByName(equal.withColumn("doc_id", F.lit(9).cast("long"))).unionByName(rest).unionByName(twice).repartition(6)
+    for carry in (None, "row"):
+        rows = df if carry is None else df.withColumn("row", F.struct("doc_id", "text", "lang"))
+        got = mixing.mix(rows, carry=carry)
+        if carry:
+            assert got.groupBy("row").count().exceptAll(rows.groupBy("row").count()).count() == 0
+        assert got.count() == df.count()
+        by = got.groupBy("source", "target").agg(F.sum("taken").alias("taken")).collect()
+        assert len(by) == 2 and all(abs(r["taken"] - r["target"]) <= 60 for r in by)
+        hot = [r for r in got.where("size = 7").groupBy("doc_id").agg(F.min("copies").alias("a"), F.max("copies").alias("b"), F.count(F.lit(1)).alias("n")).collect() if r["n"] >= many]
+        assert len(hot) == 2 and all(0 <= r["a"] <= r["b"] <= min(r["a"] + 1, 2) for r in hot)
+
+
 # 8
 
 
