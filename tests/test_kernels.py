@@ -47,10 +47,63 @@ def test_extrema_alternate(v, delta):
 def test_wavelet_finds_the_period():
     t = np.arange(256)
     scales = np.array([2.0, 4, 8, 16, 32])
-    p = fits.morlet_power(np.sin(2 * np.pi * t / 16), scales).mean(1)
+    p = fits.wavelet_power(np.sin(2 * np.pi * t / 16), scales).mean(1)
     assert scales[p.argmax()] == 16
 
 
+def test_wavelets_are_convolutions():
+    """Each family against the sum over the series of values times the wavelet's own formula; Haar and Paul keep some of their spectrum beyond the sampling's highest frequency, which costs accuracy."""
+    from math import factorial, gamma
+
+    rng = np.random.default_rng(5)
+    n = 256
+    y = np.convolve(rng.normal(size=n), np.ones(9) / 9, "same")
+    y -= y.mean()
+    t = (np.arange(n) + n // 2) % n - n // 2
+    own = {
+        ("morlet", 6): lambda x: np.pi**-0.25 * np.exp(6j * x - x * x / 2),
+        ("real_morlet", 6): lambda x: np.sqrt(2) * np.pi**-0.25 * np.cos(6 * x) * np.exp(-x * x / 2),
+        ("dog", 1): lambda x: -x * np.exp(-x * x / 2) / np.sqrt(gamma(1.5)),
+        ("dog", 2): lambda x: (1 - x * x) * np.exp(-x * x / 2) / np.sqrt(gamma(2.5)),
+        ("dog", 4): lambda x: -(x**4 - 6 * x * x + 3) * np.exp(-x * x / 2) / np.sqrt(gamma(4.5)),
+        **{("paul", m): lambda x, m=m: 2.0**m * factorial(m) / np.sqrt(np.pi * factorial(2 * m)) * (1 - 1j * x) ** -(m + 1.0) for m in (2, 4)},
+        ("haar", 0): lambda x: np.where((x > -0.5) & (x < 0), 1.0, 0) - np.where((x > 0) & (x < 0.5), 1.0, 0) + 0.5 * (x == -0.5) - 0.5 * (x == 0.5),
+    }
+    for (kind, order), psi in own.items():
+        for scale in (6.0, 12.0):
+            # the series repeats, and so does the wavelet
+            kernel = sum(np.conj(psi((t + n * k) / scale)) for k in range(-50, 51)) / np.sqrt(scale)
+            want = np.array([np.sum(y * np.roll(kernel, k)) for k in range(n)])
+            got = fits.wavelet_transform(y, np.array([scale]), kind, order)[0]
+            assert np.abs(got - want).max() < {"haar": 0.5 / scale, "paul": 1e-4}.get(kind, 1e-5) * np.abs(want).max(), (kind, order, scale)
+    assert np.allclose(fits.wavelet_scales(16, 2), 2 * 2 ** (np.arange(7) / 2)) and np.allclose(fits.wavelet_scales(8, 1, False), np.arange(2, 9))
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(3, 40), st.floats(0.01, 1000), st.integers(0, 10**6))
+def test_banded_solutions_are_the_dense_ones(n, penalty, seed):
+    rng = np.random.default_rng(seed)
+    y, x = rng.normal(size=n), np.cumsum(rng.uniform(0.2, 3, n))
+    d = np.diff(np.eye(n), 2, axis=0)
+    assert np.allclose(fits.trend_filter(y, penalty), np.linalg.solve(np.eye(n) + penalty * d.T @ d, y), atol=1e-7)
+    h = np.diff(x)
+    q, r = np.zeros((n, n - 2)), np.zeros((n - 2, n - 2))
+    for j in range(n - 2):
+        q[j : j + 3, j] = 1 / h[j], -1 / h[j] - 1 / h[j + 1], 1 / h[j + 1]
+        r[j, j] = (h[j] + h[j + 1]) / 3
+        if j < n - 3:
+            r[j, j + 1] = r[j + 1, j] = h[j + 1] / 6
+    assert np.allclose(fits.smoothing_spline(x, y, penalty), y - penalty * q @ np.linalg.solve(r + penalty * q.T @ q, q.T @ y), atol=1e-6)
+
+
+def test_filters_of_a_long_series():
+    x = np.arange(1_000_000.0)
+    line = 0.25 * x - 7
+    noise = np.where(x % 2 == 0, 1.0, -1.0)
+    assert np.abs(fits.trend_filter(line + noise, 100.0) - line)[100:-100].max() < 0.01
+    assert np.abs(fits.smoothing_spline(x, line + noise, 100.0) - line)[100:-100].max() < 0.01
+
+
 def test_kriging_and_collocation_meet_their_points():
     x, y = np.array([0.0, 3, 6, 9]), np.array([0.0, 1, 0, 1])
     v = np.array([1.0, 2, 0, -1])

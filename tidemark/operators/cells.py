@@ -107,12 +107,56 @@ def edit_sigma(df: DataFrame, keys: list[str], value: str, k: float = 3.0, flag:
     return df.join(cuts, _on(keys, "_k_"), "left").withColumn(flag, ok).drop(*[f"_k_{c}" for c in keys], "cut", "settled")
 
 
-def edit_sigma_repeated(df: DataFrame, keys: list[str], value: str, k: float = 3.0, rounds: int = 8, flag: str = "ok") -> DataFrame:
-    """The same, again on what is left, until nothing changes or fewer than three values are left; `rounds` passes, each of which sums the rows up per group.
+def final_sigma_cuts(df: DataFrame, keys: list[str], value: str, k: float = 3.0, least: int = 3, small: int = SMALL) -> DataFrame:
+    """(_k_ keys, cut): per group the largest |value| that the sigma edit keeps when it is repeated until nothing changes or fewer than `least` values are left (null: all).
 
-    `settled` tells whether the last pass changed nothing in the group.
+    A group whose first pass changes nothing is done after it, by sums. One with up to `small` values is finished in a task; a larger one goes through passes of
+    sums, each over the values that the last one left in groups that aren't settled, so its rows stay spread over the tasks. Cuts only sink: the last is the least.
     """
-    cuts = sigma_cuts(df, keys, value, k, rounds=rounds)
+    own = [f"_k_{c}" for c in keys]
+    rows = df.where(F.col(value).isNotNull()).select(*[F.col(c).alias(f"_k_{c}") for c in keys], F.col(value).cast("double").alias("_v"))
+
+    def sums(left: DataFrame) -> DataFrame:
+        s = left.groupBy(*own).agg(F.count("_v").alias("_n"), F.stddev_samp("_v").alias("_s"), F.max(F.abs("_v")).alias("_m"))
+        cut = F.when(F.col("_n") >= least, k * F.col("_s"))
+        return _saved(s.select(*own, "_n", cut.alias("cut"), F.coalesce(F.col("_m") <= cut, F.lit(True)).alias("settled")))
+
+    def finish(pdf):
+        v = pdf["_v"].to_numpy()
+        cut = None
+        while len(v) >= least:
+            cut = k * v.std(ddof=1)
+            kept = v[abs(v) <= cut]
+            if len(kept) == len(v):
+                break
+            v = kept
+        return pdf.iloc[:1][own].assign(cut=cut if cut is None else float(cut))
+
+    def of(groups: DataFrame) -> DataFrame:
+        g = groups.select(*[F.col(c).alias(f"_g{c}") for c in own], "cut")
+        on = F.lit(True)
+        for c in own:
+            on = on & F.col(c).eqNullSafe(F.col(f"_g{c}"))
+        return rows.join(g, on).where(F.abs("_v") <= F.col("cut")).select(*own, "_v")
+
+    first = sums(rows)
+    cuts = first.select(*own, "cut")
+    open_ = first.where("NOT settled")
+    few = of(open_.where(F.col("_n") <= small))
+    schema = rows.select(*own).schema.add("cut", "double")
+    cuts = cuts.unionByName(few.groupBy(*own).applyInPandas(finish, schema))
+    open_ = open_.where(F.col("_n") > small)
+    while open_.limit(1).count():
+        rows = _saved(of(open_))
+        now = sums(rows)
+        cuts = cuts.unionByName(now.select(*own, "cut"))
+        open_ = now.where("NOT settled")
+    return cuts.groupBy(*own).agg(F.min("cut").alias("cut"))
+
+
+def edit_sigma_repeated(df: DataFrame, keys: list[str], value: str, k: float = 3.0, flag: str = "ok", small: int = SMALL) -> DataFrame:
+    """edit_sigma again on what is left, until nothing changes in a group or fewer than three values are left, however many passes that takes (final_sigma_cuts)."""
+    cuts = final_sigma_cuts(df, keys, value, k, small=small)
     ok = F.col(value).isNotNull() & F.coalesce(F.abs(F.col(value)) <= F.col("cut"), F.lit(True))
     return df.join(cuts, _on(keys, "_k_"), "left").withColumn(flag, ok).drop(*[f"_k_{c}" for c in keys], "cut")
 

@@ -7,6 +7,7 @@ are Spark's own aggregates (regr_slope, regr_intercept, corr) and need no kernel
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import factorial, gamma
 
 import numpy as np
 import pandas as pd
@@ -82,21 +83,20 @@ def lasso_polynomial(x: np.ndarray, y: np.ndarray, degree: int = 3, penalty: flo
     return a @ b + y.mean()
 
 
-def _lasso(a: np.ndarray, r: np.ndarray, penalties: np.ndarray, rounds: int) -> np.ndarray:
-    """(penalties, columns): L1-penalised coefficients by coordinate descent on the columns' products, each penalty from the one before."""
-    gram, rho = a.T @ a / len(r), a.T @ r / len(r)
-    b, out = np.zeros(len(rho)), []
-    for p in penalties:
-        for _ in range(rounds):
-            most = 0.0
-            for k in range(len(b)):
-                part = rho[k] - gram[k] @ b + gram[k, k] * b[k]
-                new = np.sign(part) * max(abs(part) - p, 0) / max(gram[k, k], 1e-12)
-                most, b[k] = max(most, abs(new - b[k])), new
-            if most < 1e-8:
-                break
-        out.append(b.copy())
-    return np.array(out)
+def _lasso(gram: np.ndarray, rho: np.ndarray, penalties: np.ndarray, rounds: int) -> np.ndarray:
+    """(fits, penalties, columns): L1-penalised coefficients by coordinate descent on gram (fits, columns, columns) and rho (fits, columns), all fits and penalties at once."""
+    b = np.zeros((len(rho), len(penalties), rho.shape[1]))
+    for _ in range(rounds):
+        most = 0.0
+        for k in range(rho.shape[1]):
+            own = gram[:, k, k][:, None]
+            part = rho[:, k][:, None] - np.matmul(b, gram[:, :, k][:, :, None])[:, :, 0] + own * b[:, :, k]
+            new = np.sign(part) * np.maximum(np.abs(part) - penalties, 0) / np.maximum(own, 1e-12)
+            most = max(most, np.abs(new - b[:, :, k]).max())
+            b[:, :, k] = new
+        if most < 1e-8:
+            break
+    return b
 
 
 def lasso_by_folds(x: np.ndarray, y: np.ndarray, most: int = 3, folds: int = 10, penalties: int = 30, rounds: int = 1000) -> np.ndarray:
@@ -117,14 +117,40 @@ def lasso_by_folds(x: np.ndarray, y: np.ndarray, most: int = 3, folds: int = 10,
     a = (powers - mean) / sd
     top = max(np.abs(a[own].T @ (v - v.mean())).max() / len(v), 1e-12)
     path = np.geomspace(top, top / 1000, penalties)
-    errors = np.zeros(penalties)
-    for part in np.array_split(np.arange(len(v)), min(folds, len(v))):
+    parts = np.array_split(np.arange(len(v)), min(folds, len(v)))
+    columns, values = [], []
+    for part in parts:
         rest = np.setdiff1d(np.arange(len(v)), part)
         m, d = scale(own[rest])
-        b = _lasso((powers[own[rest]] - m) / d, v[rest] - v[rest].mean(), path, rounds)
-        errors += ((((powers[own[part]] - m) / d) @ b.T + v[rest].mean() - v[part][:, None]) ** 2).mean(0)
-    best = int(np.argmin(errors))
-    return a @ _lasso(a[own], v - v.mean(), path[: best + 1], rounds)[-1] + v.mean()
+        columns.append((powers - m) / d)
+        values.append((v[rest].mean(), rest))
+    fits = [(c[own[rest]], v[rest] - middle) for c, (middle, rest) in zip(columns, values)] + [(a[own], v - v.mean())]
+    b = _lasso(np.stack([c.T @ c / len(c) for c, _ in fits]), np.stack([c.T @ r / len(c) for c, r in fits]), path, rounds)
+    errors = sum(((c[own[part]] @ f.T + middle - v[part][:, None]) ** 2).mean(0) for part, c, f, (middle, _) in zip(parts, columns, b, values))
+    return a @ b[-1, int(np.argmin(errors))] + v.mean()
+
+
+def solve_five_bands(diagonal: np.ndarray, first: np.ndarray, second: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The solution of a symmetric positive definite system with two bands beside the diagonal: its factors L D L' have the same bands, so memory and time grow with the length."""
+    n = len(diagonal)
+    d, e, f, z = diagonal.tolist(), first.tolist() + [0.0], second.tolist() + [0.0, 0.0], right.tolist()
+    # below[i] and beyond[i]: L's entries in column i, one and two rows further down
+    below, beyond = [0.0] * n, [0.0] * n
+    for i in range(n):
+        if i + 1 < n:
+            below[i] = e[i] / d[i]
+            beyond[i] = f[i] / d[i]
+            d[i + 1] -= below[i] * e[i]
+            e[i + 1] -= below[i] * f[i]
+            z[i + 1] -= below[i] * z[i]
+        if i + 2 < n:
+            d[i + 2] -= beyond[i] * f[i]
+            z[i + 2] -= beyond[i] * z[i]
+    after = last = 0.0
+    for i in range(n - 1, -1, -1):
+        after, last = z[i] / d[i] - below[i] * after - beyond[i] * last, after
+        z[i] = after
+    return np.array(z)
 
 
 def trend_filter(y: np.ndarray, penalty: float = 7.0) -> np.ndarray:
@@ -132,8 +158,13 @@ def trend_filter(y: np.ndarray, penalty: float = 7.0) -> np.ndarray:
     n = len(y)
     if n < 3:
         return y.astype(float)
-    d = np.diff(np.eye(n), 2, axis=0)
-    return np.linalg.solve(np.eye(n) + penalty * d.T @ d, y)
+    # the bands of the products of second differences: each difference (1, -2, 1) adds to three rows
+    d, e = np.zeros(n), np.zeros(n - 1)
+    for k, w in enumerate((1.0, 4.0, 1.0)):
+        d[k : n - 2 + k] += w
+    for k in (0, 1):
+        e[k : n - 2 + k] -= 2.0
+    return solve_five_bands(1 + penalty * d, penalty * e, np.full(n - 2, float(penalty)), y)
 
 
 def extrema(v: np.ndarray, delta: float) -> list[tuple[int, int]]:
@@ -190,23 +221,55 @@ def smoothing_spline(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.n
     n = len(x)
     if n < 3:
         return y.astype(float)
-    q = np.zeros((n, n - 2))
-    r = np.zeros((n - 2, n - 2))
-    for j in range(n - 2):
-        q[j : j + 3, j] = 1 / h[j], -1 / h[j] - 1 / h[j + 1], 1 / h[j + 1]
-        r[j, j] = (h[j] + h[j + 1]) / 3
-        if j < n - 3:
-            r[j, j + 1] = r[j + 1, j] = h[j + 1] / 6
-    return y - penalty * q @ np.linalg.solve(r + penalty * q.T @ q, q.T @ y)
-
-
-def morlet_power(y: np.ndarray, scales: np.ndarray, omega: float = 6.0) -> np.ndarray:
-    """(scales, points): power of the continuous Morlet transform, by FFT (unit energy at each scale)."""
-    n = len(y)
-    freq = 2 * np.pi * np.fft.fftfreq(n)
-    spectrum = np.fft.fft(y - y.mean())
-    daughter = np.pi**-0.25 * np.sqrt(2 * np.pi * scales)[:, None] * np.exp(-0.5 * (scales[:, None] * freq - omega) ** 2) * (freq > 0)
-    return np.abs(np.fft.ifft(spectrum * daughter, axis=1)) ** 2
+    # column j of the second divided differences has three entries, in rows j to j + 2
+    one, three = 1 / h[:-1], 1 / h[1:]
+    two = -one - three
+    d = (h[:-1] + h[1:]) / 3 + penalty * (one**2 + two**2 + three**2)
+    e = h[1:-1] / 6 + penalty * (two[:-1] * one[1:] + three[:-1] * two[1:])
+    g = solve_five_bands(d, e, penalty * three[:-2] * one[2:], one * y[:-2] + two * y[1:-1] + three * y[2:])
+    out = y.astype(float)
+    for k, w in enumerate((one, two, three)):
+        out[k : n - 2 + k] -= penalty * w * g
+    return out
+
+
+def wavelet_spectrum(kind: str, u: np.ndarray, order: float) -> np.ndarray:
+    """The Fourier transform of a wavelet of unit energy at u = scale * angular frequency.
+
+    kind: morlet (order: its frequency), real_morlet (its real part), paul (order m), dog (order m: derivatives of the Gaussian; 2 is the Mexican hat), haar (one, then minus one, half a unit each).
+    """
+    if kind in ("morlet", "real_morlet"):
+        one = np.pi**-0.25 * np.exp(-0.5 * (u - order) ** 2)
+        return one * (u > 0) if kind == "morlet" else (one + np.pi**-0.25 * np.exp(-0.5 * (u + order) ** 2)) / np.sqrt(2 * (1 + np.exp(-(order**2))))
+    m = int(order)
+    if kind == "paul":
+        v = np.maximum(u, 0)
+        return 2.0**m / np.sqrt(m * factorial(2 * m - 1)) * v**m * np.exp(-v) * (u > 0)
+    if kind == "dog":
+        return (-1) ** (m + 1) * 1j**m / np.sqrt(gamma(m + 0.5)) * u**m * np.exp(-0.5 * u * u)
+    if kind == "haar":
+        safe = np.where(u == 0, 1.0, u)
+        return np.where(u == 0, 0, 4j * np.sin(u / 4) ** 2 / safe) / np.sqrt(2 * np.pi)
+    raise ValueError(f"no wavelet {kind}")
+
+
+def wavelet_scales(longest: float, notes: int, logarithmic: bool = True, shortest: float = 2.0) -> np.ndarray:
+    """Scales from `shortest` to `longest`: `notes` per octave, or one per unit over `notes`."""
+    if logarithmic:
+        return shortest * 2.0 ** (np.arange(int(np.floor(notes * np.log2(longest / shortest) + 1e-9)) + 1) / notes)
+    return np.arange(shortest * notes, longest * notes + 1) / notes
+
+
+def wavelet_transform(y: np.ndarray, scales: np.ndarray, kind: str = "morlet", order: float = 6.0) -> np.ndarray:
+    """(scales, points): the continuous transform of a periodic series without its mean, by FFT, with unit energy at each scale."""
+    u = scales[:, None] * 2 * np.pi * np.fft.fftfreq(len(y))
+    daughters = np.sqrt(2 * np.pi * scales)[:, None] * np.conj(wavelet_spectrum(kind, u, order))
+    return np.fft.ifft(np.fft.fft(y - y.mean()) * daughters, axis=1)
+
+
+def wavelet_power(y: np.ndarray, scales: np.ndarray, kind: str = "morlet", order: float = 6.0) -> np.ndarray:
+    """(scales, points): squared absolute values of the transform."""
+    return np.abs(wavelet_transform(y, scales, kind, order)) ** 2
 
 
 def kriging(x: np.ndarray, y: np.ndarray, v: np.ndarray, gx: np.ndarray, gy: np.ndarray, length: float, nugget: float = 0.01) -> tuple[np.ndarray, np.ndarray]:

@@ -37,14 +37,20 @@ def peaks(spark, d):
     return tidy(K.per_series(series(spark, d), "cell", ["t"], _peaks, "cell long, t long, kind int"))
 
 
+_WAVELETS = [("morlet", 6), ("real_morlet", 6), ("paul", 2), ("paul", 4), ("dog", 1), ("dog", 2), ("dog", 4), ("haar", 0)]
+
+
 def _power(pdf: pd.DataFrame) -> pd.DataFrame:
-    scales = np.array([2.0, 4.0, 8.0, 16.0])
-    p = K.morlet_power(pdf["v"].to_numpy(float), scales).mean(1)
-    return pd.DataFrame({"cell": [pdf["cell"].iloc[0]] * 4, "scale": scales, "power": p})
+    y, parts = pdf["v"].to_numpy(float), []
+    for spacing, scales in (("log", K.wavelet_scales(16, 2)), ("linear", K.wavelet_scales(8, 1, False))):
+        for kind, order in _WAVELETS:
+            parts.append(pd.DataFrame({"cell": pdf["cell"].iloc[0], "wavelet": kind, "degree": order, "spacing": spacing, "scale": scales, "power": K.wavelet_power(y, scales, kind, order).mean(1)}))
+    return pd.concat(parts)
 
 
 def power(spark, d):
-    return tidy(K.per_series(series(spark, d), "cell", ["t"], _power, "cell long, scale double, power double"))
+    """Mean power per scale of every family, at scales spaced by halves of octaves and by units."""
+    return tidy(K.per_series(series(spark, d), "cell", ["t"], _power, "cell long, wavelet string, degree int, spacing string, scale double, power double"))
 
 
 def _places(spark, d):
