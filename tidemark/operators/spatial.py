@@ -69,13 +69,6 @@ def circle_join(nodes: DataFrame, points: DataFrame, radius: float) -> DataFrame
     return j.where(F.col("distance") <= radius)
 
 
-def nearest_node(points: DataFrame, nodes: DataFrame, reach: float) -> DataFrame:
-    """Adds to each point (id, x, y) the nearest node (node, nx, ny) within `reach` and its distance; points without one go. Candidates are reduced per point before they move far: a minimum has a partial step."""
-    near = circle_join(nodes, points.select("id", "x", "y"), reach)
-    best = near.groupBy("id").agg(F.min(F.struct("distance", "node")).alias("b")).select(F.col("id").alias("_id"), "b.node", "b.distance")
-    return points.join(best, F.col("id") == F.col("_id")).drop("_id")
-
-
 def square_join(nodes: DataFrame, points: DataFrame, side: float) -> DataFrame:
     """Pairs of a node and a point at most side / 2 away in x and in y."""
     half = side / 2

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import nearest as N
 from ..operators import spatial as P
 from ..operators import tracks as T
 from .views import POINTS, points, table, tidy
@@ -103,7 +104,7 @@ def covariances(spark, d):
 
 def nearest_node(spark, d):
     """The nearest of irregular nodes within 40, the smaller number of equally near ones."""
-    return tidy(P.nearest_node(_places(spark, d), _nodes(spark, d), 40.0).select("id", "node", "distance"))
+    return tidy(N.nearest_node(_places(spark, d), _nodes(spark, d), 40.0).select("id", "node", "distance"))
 
 
 def _grid(spark, d):
