@@ -31,6 +31,13 @@ def crossing(spark, d):
     return tidy(T.crossovers(s.where("track % 2 = 0"), s.where("track % 2 = 1"), ["elev"], "time", 2.0), 4)
 
 
+def crossing_dense(spark, d):
+    """The same tracks, but a third of them shrunk by 1,024, so that a place of one tile holds a third of all segments."""
+    less = "if(pmod(floor(track / 2), 3) = 0, 1024D, 1D)"
+    s = T.segments(_passes(spark, d).withColumns({c: F.expr(f"{c} / {less}") for c in ("x", "y")}), "track", ["event_id"], ["elev"], "time", 1e9)
+    return tidy(T.crossovers(s.where("track % 2 = 0"), s.where("track % 2 = 1"), ["elev"], "time", 2.0, most=1 << 16), 4)
+
+
 _CROSS = """WITH e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events),
 p AS (SELECT user_id AS track, event_id, event_id * 1.0173::DOUBLE AS time, floor(user_id / 2) + CASE WHEN user_id % 2 = 0 THEN i * 0.0513::DOUBLE ELSE 3 - i * 0.0471::DOUBLE END + value * 0.0037::DOUBLE AS x,
   i * 1.0371::DOUBLE + value * 0.0213::DOUBLE AS y, value * 2.0173::DOUBLE AS elev FROM e),
@@ -44,6 +51,12 @@ SELECT track1, track2, round(x1 + s * (x2 - x1), 4) + 0.0 AS x, round(y1 + s * (
   round(e1 + s * (e2 - e1), 4) + 0.0 AS elev1, round(be1 + t * (be2 - be1), 4) + 0.0 AS elev2 FROM k WHERE s >= 0 AND s < 1 AND t >= 0 AND t < 1"""
 
 
+_CROSS_DENSE = _CROSS.replace("time, floor(user_id / 2)", "time, (floor(user_id / 2)").replace("+ value * 0.0037::DOUBLE AS x", "+ value * 0.0037::DOUBLE) / less AS x").replace(
+    "i * 1.0371::DOUBLE + value * 0.0213::DOUBLE AS y", "(i * 1.0371::DOUBLE + value * 0.0213::DOUBLE) / less AS y").replace(
+    " - 1 AS i FROM events", " - 1 AS i, CASE WHEN floor(user_id / 2) % 3 = 0 THEN 1024::DOUBLE ELSE 1::DOUBLE END AS less FROM events").replace(
+    "ON least(a.y1", "ON least(a.x1, a.x2) <= greatest(b.x1, b.x2) AND least(b.x1, b.x2) <= greatest(a.x1, a.x2) AND least(a.y1")
+
+
 def windows(spark, d):
     w = spark.range(1).select(F.explode(P.moving_windows(1704067200, 1706572800, 700000, 200000)).alias("w")).select("w.t1", "w.t2")
     return tidy(P.window_join(points(spark, d), "time", w, 700000.0).groupBy("t1").agg(F.count(F.lit(1)).alias("n"), F.avg("elev").alias("mean")))
@@ -149,6 +162,7 @@ QUERIES = [
     ("OP-JOIN-XPAIR", track_pairs, f"""WITH {POINTS}, t AS (SELECT track % 4 AS sector, track AS name, strftime(min(ts), '%Y-%m-%d') AS day, count(*) % 2 AS trk FROM pt GROUP BY track)
   SELECT a.sector, a.name AS "first", b.name AS "second" FROM t AS a JOIN t AS b ON a.sector = b.sector AND a.name < b.name AND a.trk <> b.trk AND a.day <> b.day"""),
     ("OP-JOIN-XOVER", crossing, _CROSS),
+    ("OP-JOIN-XOVER-DENSE", crossing_dense, _CROSS_DENSE),
     ("OP-JOIN-INTERVAL", windows, f"""WITH {POINTS}, w AS (SELECT 1704067200 + range * 200000 AS t1 FROM range(13)) SELECT t1, count(*) AS n, round(avg(elev), 6) + 0.0 AS mean
   FROM pt JOIN w ON time BETWEEN t1 AND t1 + 700000 GROUP BY t1"""),
     ("OP-JOIN-SECTOR", sectors, f"""WITH {POINTS}, s AS (SELECT range + 1 AS sector, range * 45.0 - 3 AS a, range * 45.0 + 48 AS b FROM range(8)) SELECT sector, count(*) AS n FROM pt
