@@ -252,6 +252,14 @@ def test_sigma_edit_goes_on_to_the_end(spark):
         assert got == want
 
 
+def test_sigma_edit_keeps_what_every_pass_keeps(spark):
+    """The second pass's cut (7.6) takes the tens, the third one's (12.1) would let them in again: in a task, by sums, and by sums first."""
+    df = spark.createDataFrame([(1, x) for x in [-7.0, 7.0, 7.0, 1000.0, *[10.0] * 8]] + [(2, 1.0)], "k int, x double")
+    for small in (1 << 16, 11, 0):
+        got = sorted((r["k"], r["x"]) for r in cells.edit_sigma_repeated(df, ["k"], "x", 1.5, small=small).where("ok").collect())
+        assert got == [(1, -7.0), (1, 7.0), (1, 7.0), (2, 1.0)]
+
+
 def test_bounds_and_open_boxes(spark):
     selection.check_bounds(0, 10, -80, -70)
     with pytest.raises(ValueError):

@@ -111,7 +111,8 @@ def final_sigma_cuts(df: DataFrame, keys: list[str], value: str, k: float = 3.0,
     """(_k_ keys, cut): per group the largest |value| that the sigma edit keeps when it is repeated until nothing changes or fewer than `least` values are left (null: all).
 
     A group whose first pass changes nothing is done after it, by sums. One with up to `small` values is finished in a task; a larger one goes through passes of
-    sums, each over the values that the last one left in groups that aren't settled, so its rows stay spread over the tasks. Cuts only sink: the last is the least.
+    sums, each over the values that the last one left in groups that aren't settled, so its rows stay spread over the tasks, until it is down to `small`. The deviation is about
+    the mean and the cut about zero, so a later cut can be wider than an earlier one: the least of all passes holds.
     """
     own = [f"_k_{c}" for c in keys]
     rows = df.where(F.col(value).isNotNull()).select(*[F.col(c).alias(f"_k_{c}") for c in keys], F.col(value).cast("double").alias("_v"))
@@ -125,7 +126,8 @@ def final_sigma_cuts(df: DataFrame, keys: list[str], value: str, k: float = 3.0,
         v = pdf["_v"].to_numpy()
         cut = None
         while len(v) >= least:
-            cut = k * v.std(ddof=1)
+            now = k * v.std(ddof=1)
+            cut = now if cut is None else min(cut, now)
             kept = v[abs(v) <= cut]
             if len(kept) == len(v):
                 break
@@ -142,11 +144,13 @@ def final_sigma_cuts(df: DataFrame, keys: list[str], value: str, k: float = 3.0,
     first = sums(rows)
     cuts = first.select(*own, "cut")
     open_ = first.where("NOT settled")
-    few = of(open_.where(F.col("_n") <= small))
     schema = rows.select(*own).schema.add("cut", "double")
-    cuts = cuts.unionByName(few.groupBy(*own).applyInPandas(finish, schema))
-    open_ = open_.where(F.col("_n") > small)
-    while open_.limit(1).count():
+    while True:
+        few = of(open_.where(F.col("_n") <= small))
+        cuts = cuts.unionByName(few.groupBy(*own).applyInPandas(finish, schema))
+        open_ = open_.where(F.col("_n") > small)
+        if open_.limit(1).count() == 0:
+            break
         rows = _saved(of(open_))
         now = sums(rows)
         cuts = cuts.unionByName(now.select(*own, "cut"))
