@@ -3,7 +3,7 @@
 import hashlib
 import math
 import zlib
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
@@ -168,6 +168,32 @@ def test_ids_of_words_are_those_of_the_text():
             assert (a[0] == b[0]).all() and a[1].tolist() == b[1].tolist()
 
 
+def test_a_word_is_one_unit_whatever_ends_it():
+    fast, whole = packing.Encoder(tokenizer_path()), packing.Encoder(tokenizer_path(), units=False)
+    column = pa.array(["say word, then word. Then word... it's word### word; word\nword: a.b\nsay word!\n\nsay: x", "don't, 9. é, . word.\"\n"])
+    assert (fast(column)[0] == whole(column)[0]).all()
+    assert {u for u in fast.numbers if b"word" in u} == {b" word", b"\nword", b' word."\n'}
+    assert {u for u in fast.numbers if b"say" in u} == {b"say", b"\nsay"}
+
+
+def test_units_of_a_tokenizer_with_long_white_space(tmp_path):
+    """Runs of white space are tokens here: what begins a text with one is never encoded behind what ends another."""
+    from tokenizers import Tokenizer, decoders, models, pre_tokenizers, trainers
+
+    t = Tokenizer(models.BPE())
+    t.pre_tokenizer, t.decoder = pre_tokenizers.ByteLevel(add_prefix_space=False), decoders.ByteLevel()
+    some = ["".join(p) for p in product(["  ", " \n", "\n\n", "    \n\n", "\t", "a", "b.", "..", "ab"], repeat=3)]
+    t.train_from_iterator(some * 3, trainers.BpeTrainer(vocab_size=400, initial_alphabet=pre_tokenizers.ByteLevel.alphabet(), show_progress=False))
+    t.save(path := str(tmp_path / "t.json"))
+    assert len(t.encode("    ").ids) < 4 and len(t.encode("\n\n").ids) == 1
+    fast, whole = packing.Encoder(path), packing.Encoder(path, units=False)
+    marks = ["a", "b'", "'s", " ", " ", "  ", "\n", "\n", "\t", "é", "\xa0", "\x1c", "9", ".", ".", ",", "_"]
+    rng = np.random.default_rng(8)
+    for part in (["x foo ", "  bar"], some, ["".join(rng.choice(marks, rng.integers(0, 30))) for _ in range(5000)]):
+        a, b = fast(pa.array(part)), whole(pa.array(part))
+        assert a[1].tolist() == b[1].tolist() and (a[0] == b[0]).all()
+
+
 @pytest.mark.parametrize("capacity", [1024, 16])
 def test_packing(spark, capacity):
     from tokenizers import Tokenizer

@@ -14,6 +14,7 @@ budget of nodes is used up, since the problem has no fast exact solution. Result
 from __future__ import annotations
 
 import os
+import string
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -34,13 +35,19 @@ END = 2
 NODES, WIDTH, STEPS = 1500, 2, 150  # budget of the search: nodes, fillings tried at a node, and steps to find them
 LOOK = 64  # nodes from one best-fit incumbent to the next
 LANE = 1 << 16  # pieces of a lane, about
-BATCH_BYTES = 1 << 22
-KNOWN = 1 << 19  # units kept with their ids in a task
+BATCH_BYTES = 1 << 23
+KNOWN = 1 << 20  # units kept with their ids in a task
 JOINED = 2000  # units encoded as one text
 
-# Bytes after which a space may not end a unit: white space, and lead bytes of white space beyond ASCII.
-_UNSURE = np.zeros(256, bool)
-_UNSURE[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3]] = True
+# Classes of bytes: 0 space or newline, which begins a unit unless it stands before one of 0 and 1; 1 other white space, and lead bytes of white space beyond ASCII; 2 anything else; 3 letters; 4 marks, but the apostrophe.
+_CLASS = bytearray(b"\2" * 256)
+for _kind, _of in enumerate((b" \n", bytes([0x09, *range(0x0B, 0x0E), *range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3]), b"", string.ascii_letters.encode(), string.punctuation.replace("'", "").encode())):
+    for _byte in _of:
+        _CLASS[_byte] = _kind
+
+
+def _classes(data: bytes) -> np.ndarray:
+    return np.frombuffer(data.translate(_CLASS), np.uint8)
 
 
 class _Numbers(dict):
@@ -54,9 +61,10 @@ class _Numbers(dict):
 class Encoder:
     """Token ids of texts by a tokenizers file, without special tokens added.
 
-    With `units`, the tokenizer must be a byte-level BPE that cuts texts as the common pattern does. That pattern never joins what stands before a space to the space if
-    a visible character follows it, and BPE never joins what the pattern cuts. So texts are cut at such spaces, every distinct unit of a task is encoded once (many in one text,
-    whose ids are dealt back by their bytes), and the ids of a text are those of its units. Texts that hold an added token's string are encoded whole.
+    With `units`, the tokenizer must be a byte-level BPE that cuts texts as its own pattern (GPT-2's) does. That pattern never joins what stands before a space or newline to it if
+    a visible character follows it, nor a letter to a mark that isn't an apostrophe, and BPE never joins what the pattern cuts. So texts are cut before such spaces and newlines, and
+    between a letter and the marks after it, so that a word is one unit whatever ends it. Every distinct unit of a task is encoded once (many in one text, whose ids are dealt back by
+    their bytes), and the ids of a text are those of its units. Texts that hold an added token's string are encoded whole.
     """
 
     def __init__(self, path: str, units: bool = True):
@@ -67,7 +75,7 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         self.bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]
-        self.units = units
+        self.units = units and not any(c.isspace() for t in self.added for c in t)  # units in one text could make such a token
         self._forget()
 
     def _forget(self) -> None:
@@ -79,8 +87,10 @@ class Encoder:
         return np.fromiter(chain.from_iterable(made), np.uint32), np.fromiter(map(len, made), np.int64, len(made))
 
     def _learn(self, fresh: list[bytes]) -> None:
-        """Encodes units: those that begin with a space in texts of many, the others one by one."""
-        lead = np.fromiter((u[:1] == b" " for u in fresh), bool, len(fresh))
+        """Encodes units: those that begin with a space or newline and a visible character in texts of many, the others one by one."""
+        lengths = np.fromiter(map(len, fresh), np.int64, len(fresh))
+        starts, kind = np.cumsum(lengths) - lengths, _classes(b"".join(fresh) + b" ")
+        lead = (kind[starts] == 0) & (kind[np.minimum(starts + 1, len(kind) - 1)] > 1) & (lengths > 1)
         spaced = [u for u, ok in zip(fresh, lead, strict=True) if ok]
         size = np.zeros(len(fresh), np.int64)
         many, _ = self._whole([b"".join(spaced[i : i + JOINED]).decode() for i in range(0, len(spaced), JOINED)])
@@ -105,8 +115,9 @@ class Encoder:
         offsets = np.frombuffer(raw, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
         data = np.frombuffer(text, np.uint8)[offsets[0] : offsets[-1]] if text is not None else np.zeros(0, np.uint8)
         offsets = offsets - offsets[0]
-        begins = np.zeros(len(data) + 1, bool)
-        begins[: len(data) - 1] = (data[:-1] == 0x20) & ~_UNSURE[data[1:]]
+        begins, kind = np.zeros(len(data) + 1, bool), _classes(data.tobytes())
+        begins[: len(data) - 1] = (kind[:-1] == 0) & (kind[1:] > 1)
+        begins[1 : len(data) - 1] |= (kind[:-2] == 3) & (kind[1:-1] == 4) & ((kind[2:] == 0) | (data[2:] == data[1:-1]))
         begins[offsets[1:] - 1] = False  # the last byte of a text, or of one before empty texts
         begins[offsets] = True
         starts = np.flatnonzero(begins).astype(np.int32)  # ends with the end of the data
@@ -115,9 +126,12 @@ class Encoder:
         number = np.fromiter(map(self.numbers.__getitem__, units.dictionary.to_pylist()), np.int64, len(units.dictionary))
         self._learn(list(islice(reversed(self.numbers), len(self.numbers) - before))[::-1])
         w = number[units.indices.to_numpy()]
-        n = self.ends[w + 1] - self.ends[w]
-        upto = np.concatenate([[0], np.cumsum(n)])[np.searchsorted(starts, offsets)]
-        return self.ids[np.repeat(self.ends[w], n) + counting(n)], np.diff(upto)
+        first = self.ends[w]
+        n = self.ends[w + 1] - first
+        upto = np.concatenate([[0], np.cumsum(n)])
+        at = np.repeat((first - upto[:-1]).astype(np.int32), n)
+        at += np.arange(upto[-1], dtype=np.int32)
+        return self.ids[at], np.diff(upto[np.searchsorted(starts, offsets)])
 
 
 @lru_cache(maxsize=2)
