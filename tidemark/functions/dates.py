@@ -7,7 +7,16 @@ from pyspark.sql import functions as F
 
 
 def seconds_to_timestamp(seconds: Column, year: int = 1985) -> Column:
-    return F.lit(f"{year}-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds.cast("decimal(20,6)"))
+    """Over the whole range of timestamps: whole days go apart, since an interval takes at most 10**12 seconds as such."""
+    s = seconds.cast("decimal(20,6)")
+    days = F.floor(s / 86400).cast("long")
+    return F.lit(f"{year}-01-01").cast("timestamp_ntz") + F.make_dt_interval(days=days.cast("int"), secs=s - days * 86400)
+
+
+def to_text(ts: Column) -> Column:
+    """YYYY-MM-DD hh:mm:ss.mmm; years of more than four digits have no sign, unlike in Spark's patterns, nor have those before the year 0 an era."""
+    y = F.year(ts)
+    return F.concat(F.when(y.between(0, 9999), F.lpad(y.cast("string"), 4, "0")).otherwise(y.cast("string")), F.date_format(ts, "-MM-dd HH:mm:ss.SSS"))
 
 
 def timestamp_to_seconds(ts: Column, year: int = 1985) -> Column:

@@ -26,7 +26,7 @@ def _date(c):
 
 def seconds(spark, d):
     e = table(spark, d, "events").select("event_id", (F.col("event_id") * 86401.25 + 0.5).alias("s"))
-    return e.select("event_id", F.date_format(D.seconds_to_timestamp(F.col("s")), "yyyy-MM-dd HH:mm:ss.SSS").alias("at"))
+    return e.select("event_id", D.to_text(D.seconds_to_timestamp(F.col("s"))).alias("at"))
 
 
 def parts(spark, d):
