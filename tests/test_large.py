@@ -22,3 +22,10 @@ def test_seconds_of_late_years(spark, tmp_path):
     """Years of five and six digits, more than 10**12 seconds, and years before 1985 and before the year 0."""
     got, want = both(spark, tmp_path, "OP-D-SEC2DT", events="SELECT unnest([0, 1, 99999, 2927375, 2927376, 35999999, 60000000, -1, -700000, -730000]) AS event_id")
     assert got == want and len(got) == 10
+
+
+def test_end_of_a_table_of_covariances(spark, tmp_path):
+    """A place exactly at the end of the table, as its SQL has it: 0."""
+    supplier, customer = "SELECT 60 AS s_suppkey, 300.0::DOUBLE AS s_acctbal", "SELECT unnest([60, 120, 180, 240]) AS c_custkey, unnest([25.0::DOUBLE, 575.0, 574.99, 0.0]) AS c_acctbal"
+    got, want = both(spark, tmp_path, "OP-LSC-COVINT", supplier=supplier, customer=customer)
+    assert got == want and [c for _, _, c in got] == [0.0, 0.0, pytest.approx(0.138857, abs=1e-3), 0.0]
