@@ -1,10 +1,12 @@
 """Results that small tables don't reach: late dates, ends of tables, many places."""
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark import queries as core
+from tidemark.operators import covariances, spatial, within
 
 
 def both(spark, tmp_path, name, **tables):
@@ -29,3 +31,57 @@ def test_end_of_a_table_of_covariances(spark, tmp_path):
     supplier, customer = "SELECT 60 AS s_suppkey, 300.0::DOUBLE AS s_acctbal", "SELECT unnest([60, 120, 180, 240]) AS c_custkey, unnest([25.0::DOUBLE, 575.0, 574.99, 0.0]) AS c_acctbal"
     got, want = both(spark, tmp_path, "OP-LSC-COVINT", supplier=supplier, customer=customer)
     assert got == want and [c for _, _, c in got] == [0.0, 0.0, pytest.approx(0.138857, abs=1e-3), 0.0]
+
+
+def scattered(seed, n, lattice):
+    """Places in clusters, some of them equal; on whole numbers, so that many distances are at a limit, or anywhere."""
+    rng = np.random.default_rng(seed)
+    xy = np.concatenate([rng.uniform(-12, 12, (n // 2, 2)), rng.normal(3, 0.4, (n // 4, 2)), np.repeat(rng.uniform(-5, 5, (n // 40, 2)), 10, 0)])
+    if lattice:
+        xy = np.round(xy * 2) / 2
+    return xy[:, 0], xy[:, 1], rng.normal(1, 2, len(xy))
+
+
+@pytest.mark.parametrize("lattice", [False, True])
+def test_sums_within_are_those_of_all_pairs(spark, lattice):
+    """In whole groups and in groups of a few nodes and places each."""
+    x, y, v = scattered(1, 1600, lattice)
+    places = spark.createDataFrame([(i, float(a), float(b), float(c)) for i, (a, b, c) in enumerate(zip(x, y, v))] + [(-1, None, 1.0, 1.0), (-2, float("nan"), 1.0, 1.0)], "id long, x double, y double, v double")
+    nx, ny = x[::5] + (0.0 if lattice else 0.1), y[::5]
+    nodes = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(nx, ny))] + [(9999, 500.0, 0.0)], "node long, nx double, ny double")
+    dx, dy = nx[:, None] - x, ny[:, None] - y
+    for most in ((within.NODES, within.PLACES), (40, 150)):
+        box = (np.abs(dx) <= 2.5) & (np.abs(dy) <= 2.5)
+        got = {r["node"]: (r["n"], r["s"]) for r in within.node_sums(nodes, places, 2.5, {"s": F.col("v")}, box=True, most=most).collect()}
+        assert got.keys() == set(np.flatnonzero(box.any(1))) and all(got[i][0] == k.sum() and abs(got[i][1] - v[k].sum()) < 1e-9 for i, k in enumerate(box) if k.any())
+        far = np.sqrt(dx * dx + dy * dy)
+        got = {r["node"]: (r["n"], r["distance"]) for r in within.node_distances(nodes, places, 2.5, most).collect()}
+        near = dx * dx + dy * dy <= 6.25
+        assert got.keys() == set(np.flatnonzero(near.any(1))) and all(got[i][0] == k.sum() and abs(got[i][1] - far[i][k].mean()) < 1e-9 for i, k in enumerate(near) if k.any())
+        d = np.sqrt((x[:, None] - x) ** 2 + (y[:, None] - y) ** 2)
+        cls, upper = np.floor(d / 1.0 + 0.5), np.triu(np.ones(d.shape, bool))
+        got = {r["class"]: (r["n"], r["cov"]) for r in within.class_products(places, 1.0, 4, most).collect()}
+        for k in range(4):
+            of = (cls == k) & upper
+            assert got[k][0] == of.sum() and abs(got[k][1] - (v[:, None] * v)[of].mean()) < 1e-9
+
+
+def test_covariances_and_counts_of_many_places(spark):
+    """100,000 places in one tile and 1,000 nodes among them: five thousand million pairs, which no join goes through in a test's time."""
+    places = spark.range(100000).selectExpr("id", "id % 100 / 100D AS x", "cast(id / 100 AS long) % 100 / 100D AS y", "id % 2 * 2D - 1 AS v")
+    c = {r["class"]: (r["cov"], r["n"]) for r in spatial.covariance(places, 2.0, 3).collect()}
+    assert sum(n for _, n in c.values()) == 100000 * 100001 // 2 and c[2] == (0.0, 0)
+    nodes = spark.range(1000).selectExpr("id AS node", "0.5D AS nx", "0.5D AS ny")
+    assert {(r["n"], round(r["distance"], 9)) for r in within.node_distances(nodes, places, 3.0).collect()} == {(100000, round(float(np.mean(np.hypot(*(np.mgrid[0:100, 0:100] / 100 - 0.5)))), 9))}
+    got = within.node_sums(nodes, places, 3.0, {"v": F.col("v")}).collect()
+    assert len(got) == 1000 and {(r["n"], r["v"]) for r in got} == {(100000, 0.0)}
+
+
+def test_scale_within_is_that_of_rows(spark):
+    """With a mean far from zero; a node with one kind only, and one with a single observation."""
+    x, y, v = scattered(2, 800, False)
+    o = spark.createDataFrame([(float(a), float(b), "g" if i % 3 == 0 else "h", float(c) * 1e-2 + 1e4) for i, (a, b, c) in enumerate(zip(x, y, v))] + [(90.0, 90.0, "h", 1e4), (91.0, 90.0, "h", 1e4 + 7), (200.0, 0.0, "g", 5.0)], "x double, y double, kind string, v double")
+    nodes = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x[::20], y[::20]))] + [(998, 90.0, 90.0), (999, 200.0, 0.0)], "node long, nx double, ny double")
+    want = {r["node"]: r["scale"] for r in covariances.local_scale(spatial.circle_join(nodes, o, 2.0).select("node", "kind", "v"), 2.0, 40.0).collect()}
+    got = {r["node"]: r["scale"] for r in covariances.local_scale_within(nodes, o, 2.0, 2.0, 40.0).collect()}
+    assert got == pytest.approx(want, rel=1e-6) and len(got) > 30

@@ -7,6 +7,8 @@ from math import ceil, exp
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .within import class_products
+
 
 def window_join(points: DataFrame, t: str, windows: DataFrame, bucket: float) -> DataFrame:
     """Points with every window (name, t1, t2) that holds them, closed at both ends: an equi-join on time buckets, then the exact test. A point on a border falls in both windows."""
@@ -94,10 +96,9 @@ def pairs_within(points: DataFrame, reach: float) -> DataFrame:
 def covariance(points: DataFrame, width: float, classes: int) -> DataFrame:
     """Empirical covariance: the mean product of values of all pairs (self pairs too) per distance class 0 .. classes - 1, and their number; class k holds distances from (k - 1/2) * width on.
 
-    points: id, x, y, v. Pairs come from tiles as wide as the largest distance, so that only neighbouring tiles meet.
+    points: x, y, v. No pair is a row: pairs of a class are counted and summed by ranges (operators/within.py).
     """
-    pairs = pairs_within(points, (classes - 0.5) * width).withColumn("class", F.floor(F.col("distance") / width + 0.5).cast("int"))
-    found = pairs.where(F.col("class") < classes).groupBy("class").agg(F.avg(F.col("a_v") * F.col("b_v")).alias("cov"), F.count(F.lit(1)).alias("n"))
+    found = class_products(points, width, classes)
     every = points.sparkSession.range(classes).select(F.col("id").cast("int").alias("class"))
     return every.join(found, "class", "left").select("class", F.coalesce("cov", F.lit(0.0)).alias("cov"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
