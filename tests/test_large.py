@@ -85,3 +85,25 @@ def test_scale_within_is_that_of_rows(spark):
     want = {r["node"]: r["scale"] for r in covariances.local_scale(spatial.circle_join(nodes, o, 2.0).select("node", "kind", "v"), 2.0, 40.0).collect()}
     got = {r["node"]: r["scale"] for r in covariances.local_scale_within(nodes, o, 2.0, 2.0, 40.0).collect()}
     assert got == pytest.approx(want, rel=1e-6) and len(got) > 30
+
+
+@pytest.mark.parametrize("lattice", [False, True])
+def test_nearest_within_are_those_of_rows(spark, lattice):
+    """Many equally near places, quadrants with none, clusters; in whole groups and in small ones. No join of nodes with places is in the plan that solves."""
+    x, y, v = scattered(4, 1600, lattice)
+    places = spark.createDataFrame([(i, float(a), float(b), float(c)) for i, (a, b, c) in enumerate(zip(x, y, v))], "id long, x double, y double, v double")
+    nodes = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x[::9], y[::9]))] + [(9999, 13.5, 0.0), (10000, 500.0, 0.0)], "node long, nx double, ny double")
+    rows = lambda df: sorted((r["node"], r["id"], round(r["distance"], 9), r["v"]) for r in df.collect())
+    want = rows(covariances.nearest_by_quadrant(spatial.circle_join(nodes, places, 2.5), ["node"], most=5))
+    assert rows(covariances.nearest_within(nodes, places, 2.5, ["v"], 5)) == want and len(want) > 2000
+    parts = within.nearest_places(nodes, places, 2.5, 5, ["v"], most=(40, 150))
+    assert rows(covariances.nearest_by_quadrant(parts, ["node"], most=5)) == want
+
+
+def test_covariances_of_observations_at_the_end_of_a_table(spark, tmp_path):
+    """Two places 5.5 apart, both near one node: 0, as the SQL of OP-LSC-OBS1/2 has it; and many more places around a node than are kept."""
+    supplier = "SELECT unnest([60, 120]) AS s_suppkey, unnest([0.0::DOUBLE, 5000.0]) AS s_acctbal"
+    customer = "SELECT 60 + range AS c_custkey, CASE range WHEN 0 THEN -275.0::DOUBLE WHEN 60 THEN 275 ELSE 4800 + range * 37 % 401 END AS c_acctbal FROM range(3000)"
+    got, want = both(spark, tmp_path, "OP-LSC-OBS1/2", supplier=supplier, customer=customer)
+    assert [r[:3] for r in got] == [r[:3] for r in want] and np.allclose([r[3:] for r in got], [r[3:] for r in want], atol=2e-6)
+    assert [r[3] for r in got if r[0] == 60 and r[1] != r[2]] == [0.0, 0.0] and len(got) > 1000
