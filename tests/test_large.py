@@ -107,3 +107,15 @@ def test_covariances_of_observations_at_the_end_of_a_table(spark, tmp_path):
     got, want = both(spark, tmp_path, "OP-LSC-OBS1/2", supplier=supplier, customer=customer)
     assert [r[:3] for r in got] == [r[:3] for r in want] and np.allclose([r[3:] for r in got], [r[3:] for r in want], atol=2e-6)
     assert [r[3] for r in got if r[0] == 60 and r[1] != r[2]] == [0.0, 0.0] and len(got) > 1000
+
+
+@pytest.mark.parametrize("lattice", [False, True])
+def test_pairs_apart_are_all_pairs(spark, lattice):
+    """In whole groups and in small ones; limits are met exactly on a lattice. The plan makes no row of a pair that isn't one of the result."""
+    x, y, _ = scattered(5, 800, lattice)
+    places = spark.createDataFrame([(i * 7 % 1009, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))] + [(5000, None, 1.0)], "id long, x double, y double")
+    ids, far = np.arange(len(x)) * 7 % 1009, np.sqrt((x[:, None] - x) ** 2 + (y[:, None] - y) ** 2)
+    want = {(int(ids[i]), int(ids[j])): far[i, j] for i, j in zip(*np.nonzero((far >= 1) & (far < 2.5))) if ids[i] < ids[j]}
+    for most in ((within.NODES, within.PLACES), (40, 150)):
+        got = within.pairs_apart(places, 1.0, 2.5, most=most).collect()
+        assert len(got) == len(want) and all(abs(want[r["a_id"], r["b_id"]] - r["distance"]) <= 5.1e-7 for r in got)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import selection as S
 from ..operators import spatial as P
+from ..operators import within as W
 from .views import POINTS, REFERENCED, SERIES, points, referenced, series, table, tidy
 
 _C = "SELECT cell, t, "
@@ -79,8 +80,8 @@ def mask_areas(spark, d):
 
 def pairs(spark, d):
     """All pairs of places 1 to 3 apart, once."""
-    p = table(spark, d, "customer").selectExpr("c_custkey AS id", "c_acctbal / 100 AS x", "cast(c_custkey % 60 AS double) AS y", "c_acctbal AS v")
-    return tidy(P.pairs_within(p, 3.0).where("distance >= 1 AND distance < 3").selectExpr("least(a_id, b_id) AS a_id", "greatest(a_id, b_id) AS b_id", "distance"))
+    p = table(spark, d, "customer").selectExpr("c_custkey AS id", "c_acctbal / 100 AS x", "cast(c_custkey % 60 AS double) AS y")
+    return W.pairs_apart(p, 1.0, 3.0)
 
 
 def placed(spark, d):
